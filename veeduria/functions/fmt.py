@@ -48,3 +48,21 @@ def fixed(c: Column, digits: int) -> Column:
     k = float(10 ** digits)
     r = F.round(c * F.lit(k), 0) / F.lit(k)
     return txt(r.cast(f"decimal(38,{digits})"))
+
+
+def round_half(c: Column, digits: int) -> Column:
+    """round(double, digits) as round(x * 10^d) / 10^d: same IEEE steps in
+    every engine (a plain round(x, d) differs between engines on values
+    such as 1.005)."""
+    k = float(10 ** digits)
+    return F.round(c * F.lit(k), 0) / F.lit(k)
+
+
+def bn(c: str | Column, digits: int) -> Column:
+    """Value in 'mil millones' (1e9), rounded."""
+    return round_half(col_(c).cast("double") / F.lit(1e9), digits)
+
+
+def mm(c: str | Column, digits: int) -> Column:
+    """Value in millions (1e6), rounded."""
+    return round_half(col_(c).cast("double") / F.lit(1e6), digits)

@@ -1,0 +1,64 @@
+"""Exact quantiles without collecting a group into one task.
+
+``percentile`` / ``median`` are exact but buffer every value of a group in
+one task; ``percentile_approx`` is bounded but approximate. The exact
+quantile here uses the sketch only to find a narrow value band that must
+contain the target ranks, then counts exactly:
+
+1. per group: n, and approximate quantiles at p - e and p + e (rank error of
+   the sketch is at most n / accuracy, so with e = 3 / accuracy the band
+   [lo, hi] brackets ranks floor(h) and ceil(h), h = (n - 1) p);
+2. rows below the band are only counted; rows inside it are aggregated by
+   distinct value (so a value repeated by a third of all rows is one row);
+3. a running count over the band's distinct values (at most ~6n/accuracy
+   rows per group) finds the two order statistics; linear interpolation
+   between them as in SQL ``quantile_cont``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+ACCURACY = 10_000
+
+
+def exact_quantile(df: DataFrame, col: str, p: float, by: list[str] | None = None,
+                   alias: str = "q", accuracy: int = ACCURACY) -> DataFrame:
+    """Exact continuous quantile of ``col`` (as double) per group ``by``.
+
+    Two scans: one for n and the sketch band, one for the exact counts (rows
+    below the band collapse into one NULL-keyed row per group).
+    """
+    glob = not by
+    by = ["_g"] if glob else list(by)
+    x = F.col(col).cast("double")
+    e = 3.0 / accuracy
+    base = df.select(*([F.lit(0).alias("_g")] if glob else by), x.alias("_x")).where(F.col("_x").isNotNull())
+    qs = F.array(F.lit(max(0.0, p - e)), F.lit(min(1.0, p + e)))
+    stats = (base.groupBy(*by)
+                 .agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_x", qs, accuracy).alias("_b"),
+                      F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
+                 .select(*by, "_n",
+                         (F.col("_mn") if p - e <= 0 else F.col("_b")[0]).alias("_lo"),
+                         (F.col("_mx") if p + e >= 1 else F.col("_b")[1]).alias("_hi")))
+    # one row per group: broadcasting is bounded when there is no group key
+    j = base.join(F.broadcast(stats) if glob else stats, by)
+    xk = F.when(F.col("_x") >= F.col("_lo"), F.col("_x"))
+    band = (j.where(F.col("_x") <= F.col("_hi"))
+             .groupBy(*by, xk.alias("_xk"), "_n")
+             .agg(F.count(F.lit(1)).alias("_c")))
+    w = Window.partitionBy(*by).orderBy(F.asc_nulls_first("_xk")).rowsBetween(Window.unboundedPreceding, 0)
+    band = band.withColumn("_pos", F.sum("_c").over(w))
+    h = (F.col("_n") - 1).cast("double") * F.lit(float(p))
+    picks = band.groupBy(*by).agg(
+        F.min(F.when(F.col("_pos") > F.floor(h), F.col("_xk"))).alias("_a"),
+        F.min(F.when(F.col("_pos") > F.ceil(h), F.col("_xk"))).alias("_b"),
+        F.max(h).alias("_h"))
+    frac = F.col("_h") - F.floor(F.col("_h"))
+    out = picks.select(*by, (F.col("_a") + (F.col("_b") - F.col("_a")) * frac).alias(alias))
+    return out.drop("_g") if glob else out
+
+
+def exact_median(df: DataFrame, col: str, by: list[str] | None = None, alias: str = "median") -> DataFrame:
+    return exact_quantile(df, col, 0.5, by, alias)

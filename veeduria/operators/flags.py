@@ -23,7 +23,6 @@ from veeduria.operators.derive import is_service, is_vague
 from veeduria.params import FLAG_LEVELS, FLAG_NAMES, FLAG_SEVERITY, Params
 from veeduria.schema import ALERT
 
-NULL_S = F.lit(None).cast("string")
 
 
 def _d(x) -> Column:
@@ -31,11 +30,17 @@ def _d(x) -> Column:
     return F.lit(Decimal(str(x)))
 
 
-def alert(code: str, *, nombre_entidad: Column = NULL_S, nit_entidad: Column = NULL_S,
-          proveedor: Column = NULL_S, documento_proveedor: Column = NULL_S,
-          id_contrato: Column = NULL_S, anio: Column, detalle: Column, valor_cop: Column) -> list[Column]:
-    """Projection to the alert schema (types fixed, so unions line up)."""
+def alert(code: str, *, nombre_entidad: Column | None = None, nit_entidad: Column | None = None,
+          proveedor: Column | None = None, documento_proveedor: Column | None = None,
+          id_contrato: Column | None = None, anio: Column, detalle: Column, valor_cop: Column) -> list[Column]:
+    """Projection to the alert schema (types fixed, so unions line up);
+    absent keys are typed NULLs."""
     t = {f.name: f.dataType for f in ALERT.fields}
+
+    def null_s(c: Column | None) -> Column:
+        return F.lit(None).cast("string") if c is None else c
+    nombre_entidad, nit_entidad, proveedor, documento_proveedor, id_contrato = map(
+        null_s, (nombre_entidad, nit_entidad, proveedor, documento_proveedor, id_contrato))
     return [
         F.lit(code).alias("codigo"),
         F.lit(FLAG_NAMES[code]).alias("bandera"),
@@ -52,7 +57,9 @@ def alert(code: str, *, nombre_entidad: Column = NULL_S, nit_entidad: Column = N
     ]
 
 
-V = F.col("valor_del_contrato")
+def _v():
+    """The contract value column."""
+    return F.col("valor_del_contrato")
 
 
 def f01_split(c: DataFrame, p: Params = Params()) -> DataFrame:
@@ -61,7 +68,7 @@ def f01_split(c: DataFrame, p: Params = Params()) -> DataFrame:
     g = (c.where(F.col("es_sin_competencia")
                  & F.col("nit_entidad").isNotNull() & F.col("documento_proveedor").isNotNull())
           .groupBy("nit_entidad", "documento_proveedor", "anio")
-          .agg(F.count(F.lit(1)).alias("n"), F.sum(V).alias("v"),
+          .agg(F.count(F.lit(1)).alias("n"), F.sum(_v()).alias("v"),
                F.max("nombre_entidad").alias("ne"), F.max("proveedor_adjudicado").alias("pr"))
           .where((F.col("n") >= p.f01_min_contracts) & (F.col("v") > _d(p.f01_min_value))))
     det = F.concat(txt("n"), F.lit(" contratos sin competencia con la misma entidad en "), txt("anio"),
@@ -75,7 +82,7 @@ def supplier_years(c: DataFrame) -> DataFrame:
     """Yearly billing per supplier (input of F02 and of growth reports)."""
     return (c.where(F.col("documento_proveedor").isNotNull())
              .groupBy("documento_proveedor", "anio")
-             .agg(F.sum(V).alias("total"), F.max("proveedor_adjudicado").alias("proveedor")))
+             .agg(F.sum(_v()).alias("total"), F.max("proveedor_adjudicado").alias("proveedor")))
 
 
 def f02_jump(c: DataFrame, p: Params = Params()) -> DataFrame:
@@ -89,7 +96,7 @@ def entity_months(c: DataFrame) -> DataFrame:
     """Contracts and value per buyer and signature month."""
     return (c.where(F.col("nit_entidad").isNotNull())
              .groupBy("nit_entidad", "mes_firma")
-             .agg(F.count(F.lit(1)).alias("n"), F.sum(V).alias("total"),
+             .agg(F.count(F.lit(1)).alias("n"), F.sum(_v()).alias("total"),
                   F.max("nombre_entidad").alias("nombre_entidad")))
 
 
@@ -130,7 +137,7 @@ def f04_hhi(c: DataFrame, p: Params = Params()) -> DataFrame:
     supplier id counts as one supplier."""
     by_sup = (c.where(F.col("nit_entidad").isNotNull())
                .groupBy("nit_entidad", "anio", "documento_proveedor")
-               .agg(F.sum(V).alias("v_prov"), F.count(F.lit(1)).alias("n_prov"),
+               .agg(F.sum(_v()).alias("v_prov"), F.count(F.lit(1)).alias("n_prov"),
                     F.max("nombre_entidad").alias("ne")))
     return f04_from_pairs(by_sup, p)
 
@@ -157,7 +164,7 @@ def f06_octopus(c: DataFrame, p: Params = Params()) -> DataFrame:
     g = (c.where(F.col("es_persona_natural") & is_service(p) & F.col("documento_proveedor").isNotNull())
           .groupBy("documento_proveedor", "anio")
           .agg(F.count(F.lit(1)).alias("n"), F.countDistinct("nit_entidad").alias("ents"),
-               F.sum(V).alias("v"), F.max("proveedor_adjudicado").alias("pr"))
+               F.sum(_v()).alias("v"), F.max("proveedor_adjudicado").alias("pr"))
           .where((F.col("ents") >= p.f06_min_entities) & (F.col("n") >= p.f06_min_contracts)))
     det = F.concat(txt("n"), F.lit(" contratos de prestación de servicios con "), txt("ents"),
                    F.lit(" entidades distintas en "), txt("anio"), F.lit(" por $"), txt(millions("v")),
@@ -171,8 +178,8 @@ def f08_dominance(c: DataFrame, p: Params = Params()) -> DataFrame:
     competition per buyer and year (alert value is the non-competitive part)."""
     g = (c.where(F.col("nit_entidad").isNotNull())
           .groupBy("nit_entidad", "anio")
-          .agg(F.count(F.lit(1)).alias("n"), F.sum(V).alias("v"),
-               F.sum(F.when(F.col("es_sin_competencia"), V).otherwise(F.lit(0))).alias("v_nc"),
+          .agg(F.count(F.lit(1)).alias("n"), F.sum(_v()).alias("v"),
+               F.sum(F.when(F.col("es_sin_competencia"), _v()).otherwise(F.lit(0))).alias("v_nc"),
                F.max("nombre_entidad").alias("ne")))
     return f08_from_totals(g, p)
 
@@ -188,30 +195,30 @@ def f08_from_totals(g: DataFrame, p: Params) -> DataFrame:
 
 
 def _f09_cond(p: Params) -> Column:
-    return (V > _d(p.f09_min_value)) & is_vague(p)
+    return (_v() > _d(p.f09_min_value)) & is_vague(p)
 
 
 def _f09_detail(p: Params) -> Column:
-    return F.concat(F.lit("Contrato "), txt("id_contrato"), F.lit(" por $"), txt(millions(V)),
+    return F.concat(F.lit("Contrato "), txt("id_contrato"), F.lit(" por $"), txt(millions(_v())),
                     F.lit("M con objeto genérico: "),
                     txt(F.substring("objeto_del_contrato", 1, p.detail_object_chars)))
 
 
 def _f10_cond(p: Params) -> Column:
-    return (F.col("dias_adicionados") >= p.f10_min_days) & (V > _d(p.f10_min_value))
+    return (F.col("dias_adicionados") >= p.f10_min_days) & (_v() > _d(p.f10_min_value))
 
 
 def _f10_detail() -> Column:
     plazo = F.datediff(F.col("fecha_de_fin_del_contrato"), F.col("fecha_de_inicio_del_contrato"))
     return F.concat(F.lit("Contrato "), txt("id_contrato"), F.lit(" con "), txt("dias_adicionados"),
                     F.lit(" días adicionados sobre plazo original de "), txt(plazo),
-                    F.lit(" días ($"), txt(millions(V)), F.lit("M)"))
+                    F.lit(" días ($"), txt(millions(_v())), F.lit("M)"))
 
 
 def _row_alert(code: str, det: Column) -> list[Column]:
     return alert(code, nombre_entidad=F.col("nombre_entidad"), nit_entidad=F.col("nit_entidad"),
                  proveedor=F.col("proveedor_adjudicado"), documento_proveedor=F.col("documento_proveedor"),
-                 id_contrato=F.col("id_contrato"), anio=F.col("anio"), detalle=det, valor_cop=V)
+                 id_contrato=F.col("id_contrato"), anio=F.col("anio"), detalle=det, valor_cop=_v())
 
 
 def f09_vague(c: DataFrame, p: Params = Params()) -> DataFrame:
@@ -269,9 +276,9 @@ def run_flags_shared(c: DataFrame, p: Params = Params()) -> DataFrame:
     ops = F.col("es_persona_natural") & is_service(p)
     zero = F.lit(0)
     base = (c.groupBy("nit_entidad", "documento_proveedor", "anio")
-             .agg(F.count(F.lit(1)).alias("n"), F.sum(V).alias("v"),
-                  F.count(F.when(nc, 1)).alias("n_nc"), F.sum(F.when(nc, V)).alias("v_nc"),
-                  F.count(F.when(ops, 1)).alias("n_ops"), F.sum(F.when(ops, V)).alias("v_ops"),
+             .agg(F.count(F.lit(1)).alias("n"), F.sum(_v()).alias("v"),
+                  F.count(F.when(nc, 1)).alias("n_nc"), F.sum(F.when(nc, _v())).alias("v_nc"),
+                  F.count(F.when(ops, 1)).alias("n_ops"), F.sum(F.when(ops, _v())).alias("v_ops"),
                   F.max("nombre_entidad").alias("ne"), F.max(F.when(nc, F.col("nombre_entidad"))).alias("ne_nc"),
                   F.max("proveedor_adjudicado").alias("pr"),
                   F.max(F.when(nc, F.col("proveedor_adjudicado"))).alias("pr_nc"),

@@ -106,8 +106,16 @@ def flag_df(ctx: Context, code: str) -> DataFrame:
 
 
 def alerts_df(ctx: Context) -> DataFrame:
-    """Alert table, each flag on its calibrated binding."""
-    return FL.union_alerts([flag_df(ctx, k) for k in FL.REGISTRY])
+    """Alert table, each flag on its calibrated binding. In a
+    materialising context it is written once (partitioned by flag) and every
+    score and report reads the written table."""
+    key = ("alerts",)
+    if key not in ctx._cache:
+        a = FL.union_alerts([flag_df(ctx, k) for k in FL.REGISTRY])
+        if ctx.materialize:
+            a = ctx.write_table(a, "alerts", partition_by="codigo")
+        ctx._cache[key] = a
+    return ctx._cache[key]
 
 
 def alerts_sql_body() -> str:

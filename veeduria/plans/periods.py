@@ -15,7 +15,10 @@ from veeduria.plans.catalog import (CUSTOMER_SUPPLIER, DEFAULT, NATION_CUSTOMER,
 from veeduria.plans.context import Context
 from veeduria.plans.profiles import ENTITY
 
-V = F.col("valor_del_contrato")
+
+def _v():
+    """The contract value column."""
+    return F.col("valor_del_contrato")
 
 
 # ------------------------------------------------------------ operators ---
@@ -24,7 +27,7 @@ def same_month(c: DataFrame, month: int) -> DataFrame:
     """R29 one calendar month across years, with the ratio to the previous
     year's same month (only when that year exists)."""
     g = (c.where(F.col("mes") == month).groupBy("anio")
-          .agg(F.count(F.lit(1)).alias("n"), F.sum(V).alias("valor")))
+          .agg(F.count(F.lit(1)).alias("n"), F.sum(_v()).alias("valor")))
     prev = g.select((F.col("anio") + 1).alias("anio"), F.col("n").alias("n_prev"),
                     F.col("valor").alias("valor_prev"))
     return (g.join(prev, "anio", "left")
@@ -41,7 +44,7 @@ def month_of(c: DataFrame, month: str) -> DataFrame:
 def top_days(c: DataFrame, month: str, n: int = 10) -> DataFrame:
     """R30 busiest days of a month."""
     g = (month_of(c, month).groupBy(F.to_date("fecha_de_firma").alias("dia"))
-         .agg(F.count(F.lit(1)).alias("contratos"), F.sum(V).alias("valor")))
+         .agg(F.count(F.lit(1)).alias("contratos"), F.sum(_v()).alias("valor")))
     return g.orderBy(F.desc("contratos"), F.asc("dia")).limit(n)
 
 
@@ -54,12 +57,12 @@ def composition(c: DataFrame, month: str, p: Params = Params()) -> DataFrame:
     g = m.agg(F.count(F.lit(1)).alias("n"),
               F.count(F.when(is_service(p), 1)).alias("n_servicios"),
               F.count(F.when(F.col("es_persona_natural"), 1)).alias("n_natural"),
-              F.sum(F.when(F.col("es_persona_natural"), V)).alias("v_natural"),
+              F.sum(F.when(F.col("es_persona_natural"), _v())).alias("v_natural"),
               F.count(F.when(F.col("es_sin_competencia"), 1)).alias("n_sin_competencia"),
               F.count(F.when(is_vague(p), 1)).alias("n_vaga"),
-              F.sum(F.when(is_vague(p), V)).alias("v_vaga"),
+              F.sum(F.when(is_vague(p), _v())).alias("v_vaga"),
               F.countDistinct("documento_proveedor").alias("proveedores"),
-              F.count(F.when(ops, 1)).alias("n_ops"), F.sum(F.when(ops, V)).alias("v_ops"))
+              F.count(F.when(ops, 1)).alias("n_ops"), F.sum(F.when(ops, _v())).alias("v_ops"))
     g = g.select("*", (F.lit(100.0) * F.col("n_servicios") / F.col("n")).alias("pct_servicios"),
                  (F.lit(100.0) * F.col("n_natural") / F.col("n")).alias("pct_natural"),
                  (F.lit(100.0) * F.col("n_sin_competencia") / F.col("n")).alias("pct_sin_competencia"),
@@ -83,7 +86,7 @@ def first_time_suppliers(c: DataFrame, month: str) -> DataFrame:
     g = (c.where(F.col("documento_proveedor").isNotNull())
           .groupBy("documento_proveedor")
           .agg(F.min("fecha_de_firma").alias("primera"), F.count(F.when(inm, 1)).alias("n_mes"),
-               F.sum(F.when(inm, V)).alias("valor_mes")))
+               F.sum(F.when(inm, _v())).alias("valor_mes")))
     return g.where((F.col("n_mes") > 0) & (F.to_date("primera") >= start))
 
 
@@ -104,7 +107,7 @@ def pair_history(c: DataFrame, entity_name: str) -> DataFrame:
     burst of the pair in that year."""
     e = c.where(F.col("nombre_entidad") == F.lit(entity_name))
     daily = (e.groupBy("nit_entidad", "documento_proveedor", "anio", F.to_date("fecha_de_firma").alias("dia"))
-              .agg(F.count(F.lit(1)).alias("nd"), F.sum(V).alias("vd")))
+              .agg(F.count(F.lit(1)).alias("nd"), F.sum(_v()).alias("vd")))
     return (daily.groupBy("nit_entidad", "documento_proveedor", "anio")
                  .agg(F.sum("nd").alias("n"), F.sum("vd").alias("valor"), F.max("nd").alias("max_dia")))
 
@@ -115,9 +118,9 @@ def flows(as_supplier: DataFrame, as_buyer: DataFrame, by: list[str] | None = No
     aggregates; margin = received - contracted."""
     by = list(by or [])
     rec = (as_supplier.where(F.col("documento_proveedor").isNotNull())
-           .groupBy(F.col("documento_proveedor").alias("id"), *by).agg(F.sum(V).alias("recibido")))
+           .groupBy(F.col("documento_proveedor").alias("id"), *by).agg(F.sum(_v()).alias("recibido")))
     out = (as_buyer.where(F.col("nit_entidad").isNotNull())
-           .groupBy(F.col("nit_entidad").alias("id"), *by).agg(F.sum(V).alias("contratado")))
+           .groupBy(F.col("nit_entidad").alias("id"), *by).agg(F.sum(_v()).alias("contratado")))
     j = rec.join(out, ["id", *by], "full_outer")
     z = F.lit(0).cast("decimal(28,4)")
     return j.withColumn("margen", F.coalesce("recibido", z) - F.coalesce("contratado", z))
@@ -127,7 +130,7 @@ def pre_post(c: DataFrame, cut: str) -> DataFrame:
     """R36 modality shares before and after a cut date."""
     periodo = F.when(F.col("fecha_de_firma") < F.lit(cut).cast("timestamp_ntz"), F.lit("antes")).otherwise(F.lit("despues"))
     g = (c.groupBy(periodo.alias("periodo"), F.col("modalidad_de_contratacion").alias("modalidad"))
-          .agg(F.count(F.lit(1)).alias("n"), F.sum(V).alias("valor")))
+          .agg(F.count(F.lit(1)).alias("n"), F.sum(_v()).alias("valor")))
     w = Window.partitionBy("periodo")
     # exact decimal total per period, then one double division
     return g.withColumn("share", F.col("valor").cast("double") / F.sum("valor").over(w).cast("double"))
@@ -137,7 +140,7 @@ def largest_contract(c: DataFrame) -> DataFrame:
     """R37 each buyer's largest contract with its dates, modality,
     justification and paid value: ``max(struct)`` is a hash aggregate with a
     map-side partial, so a hot buyer is not sorted in one task."""
-    s = F.struct(V.alias("valor"), F.col("id_contrato"), F.col("fecha_de_firma"),
+    s = F.struct(_v().alias("valor"), F.col("id_contrato"), F.col("fecha_de_firma"),
                  F.col("fecha_de_inicio_del_contrato"), F.col("fecha_de_fin_del_contrato"),
                  F.col("modalidad_de_contratacion"), F.col("justificacion_modalidad_de"), F.col("valor_pagado"))
     g = c.where(F.col("nit_entidad").isNotNull()).groupBy("nit_entidad").agg(F.max(s).alias("m"))

@@ -14,7 +14,12 @@ from veeduria.plans import oracle as O
 from veeduria.plans.catalog import DEFAULT, TEST, alerts_cte, alerts_df, register, with_ctes
 from veeduria.plans.context import Context
 
-V = F.col("valor_del_contrato")
+
+def _v():
+    """The contract value column."""
+    return F.col("valor_del_contrato")
+
+
 CC = O.cte_name(DEFAULT)
 
 # Catalogue arguments: a buyer name and a supplier id present at every scale.
@@ -31,8 +36,8 @@ def entity_list(c: DataFrame) -> DataFrame:
 def entity_summary(c: DataFrame, name: str) -> DataFrame:
     """R16 contracts, value, non-competitive value and suppliers of a buyer."""
     e = c.where(F.col("nombre_entidad") == F.lit(name))
-    return e.agg(F.count(F.lit(1)).alias("n"), F.sum(V).alias("v"),
-                 F.sum(F.when(F.col("es_sin_competencia"), V)).alias("vd"),
+    return e.agg(F.count(F.lit(1)).alias("n"), F.sum(_v()).alias("v"),
+                 F.sum(F.when(F.col("es_sin_competencia"), _v())).alias("vd"),
                  F.countDistinct("documento_proveedor").alias("provs"))
 
 
@@ -40,14 +45,14 @@ def entity_modalities(c: DataFrame, name: str) -> DataFrame:
     """R17 value by modality for a buyer."""
     return (c.where(F.col("nombre_entidad") == F.lit(name))
              .groupBy(F.col("modalidad_de_contratacion").alias("m"))
-             .agg(F.sum(V).alias("valor")).withColumn("v", bn("valor", 3)))
+             .agg(F.sum(_v()).alias("valor")).withColumn("v", bn("valor", 3)))
 
 
 def entity_top_suppliers(c: DataFrame, name: str, n: int = 10) -> DataFrame:
     """R18 a buyer's top suppliers by value."""
     g = (c.where(F.col("nombre_entidad") == F.lit(name))
           .groupBy(F.col("proveedor_adjudicado").alias("contratista"))
-          .agg(F.count(F.lit(1)).alias("contratos"), F.sum(V).alias("valor")))
+          .agg(F.count(F.lit(1)).alias("contratos"), F.sum(_v()).alias("valor")))
     return (g.orderBy(F.desc("valor"), F.asc_nulls_last("contratista")).limit(n)
              .withColumn("v", bn("valor", 2)))
 
@@ -67,7 +72,7 @@ def supplier_search(c: DataFrame, term: str, n: int = 50) -> DataFrame:
     g = (c.where(hit)
           .groupBy(F.col("proveedor_adjudicado").alias("contratista"), F.col("documento_proveedor").alias("documento"))
           .agg(F.count(F.lit(1)).alias("contratos"), F.countDistinct("nombre_entidad").alias("entidades"),
-               F.sum(V).alias("valor"), F.min("fecha_de_firma").alias("desde"),
+               F.sum(_v()).alias("valor"), F.min("fecha_de_firma").alias("desde"),
                F.max("fecha_de_firma").alias("hasta")))
     return (g.orderBy(F.desc("valor"), F.asc_nulls_last("documento"), F.asc_nulls_last("contratista")).limit(n)
              .withColumn("valor_m", mm("valor", 1)))
@@ -78,7 +83,7 @@ def supplier_history(c: DataFrame, doc: str) -> DataFrame:
     return (c.where(F.col("documento_proveedor") == F.lit(doc))
              .select(F.col("fecha_de_firma").alias("firma"), F.col("nombre_entidad").alias("entidad"),
                      F.col("tipo_de_contrato").alias("tipo"), F.col("modalidad_de_contratacion").alias("modalidad"),
-                     mm(V, 1).alias("valor_m"), F.col("objeto_del_contrato").alias("objeto"),
+                     mm(_v(), 1).alias("valor_m"), F.col("objeto_del_contrato").alias("objeto"),
                      F.col("id_contrato")))
 
 

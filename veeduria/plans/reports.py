@@ -19,7 +19,12 @@ from veeduria.plans.catalog import (CUSTOMER_SUPPLIER, DEFAULT, NATION_SUPPLIER,
                                     alerts_df, register, with_ctes)
 from veeduria.plans.context import Context
 
-V = F.col("valor_del_contrato")
+
+def _v():
+    """The contract value column."""
+    return F.col("valor_del_contrato")
+
+
 CC = O.cte_name(DEFAULT)
 
 
@@ -28,11 +33,11 @@ CC = O.cte_name(DEFAULT)
 def kpi(c: DataFrame) -> DataFrame:
     """R7 national KPIs (one global aggregate; count-distincts are planned
     as a distributed two-level aggregate)."""
-    nc = F.sum(F.when(F.col("es_sin_competencia"), V))
+    nc = F.sum(F.when(F.col("es_sin_competencia"), _v()))
     return c.agg(
-        F.count(F.lit(1)).alias("contratos"), F.sum(V).alias("valor_total"),
+        F.count(F.lit(1)).alias("contratos"), F.sum(_v()).alias("valor_total"),
         nc.alias("valor_sin_competencia"),
-        F.round(F.lit(100.0) * F.coalesce(nc, F.lit(0)).cast("double") / F.sum(V).cast("double"), 0)
+        F.round(F.lit(100.0) * F.coalesce(nc, F.lit(0)).cast("double") / F.sum(_v()).cast("double"), 0)
          .alias("pct_sin_competencia"),
         F.countDistinct("nit_entidad").alias("entidades"),
         F.countDistinct("documento_proveedor").alias("proveedores"),
@@ -109,13 +114,13 @@ def top_alerts(a: DataFrame, n: int = 12) -> DataFrame:
 def daily(c: DataFrame) -> DataFrame:
     """R23 contracts and value per signature day."""
     return (c.groupBy(F.to_date("fecha_de_firma").alias("dia"))
-             .agg(F.count(F.lit(1)).alias("contratos"), F.sum(V).alias("valor")))
+             .agg(F.count(F.lit(1)).alias("contratos"), F.sum(_v()).alias("valor")))
 
 
 def weekly(c: DataFrame) -> DataFrame:
     """R24 contracts and value per Monday-based week."""
     return (c.groupBy(F.trunc(F.to_date("fecha_de_firma"), "week").alias("d"))
-             .agg(F.count(F.lit(1)).alias("n"), F.sum(V).alias("valor"))
+             .agg(F.count(F.lit(1)).alias("n"), F.sum(_v()).alias("valor"))
              .withColumn("v", bn("valor", 2)))
 
 
@@ -123,7 +128,7 @@ def month_modality(c: DataFrame, top: int = 6) -> DataFrame:
     """R25 value per month and modality, for the top modalities by value.
     The top list has at most ``top`` rows, so broadcasting it is bounded."""
     g = (c.groupBy(F.col("mes_firma").alias("mes"), F.col("modalidad_de_contratacion").alias("modalidad"))
-          .agg(F.sum(V).alias("valor")).where(F.col("valor") > 0))
+          .agg(F.sum(_v()).alias("valor")).where(F.col("valor") > 0))
     tops = (g.groupBy("modalidad").agg(F.sum("valor").alias("t"))
              .orderBy(F.desc("t"), F.asc_nulls_last("modalidad")).limit(top).select("modalidad"))
     return g.join(F.broadcast(tops), g["modalidad"].eqNullSafe(tops["modalidad"]), "left_semi")
@@ -132,7 +137,7 @@ def month_modality(c: DataFrame, top: int = 6) -> DataFrame:
 def modality_totals(c: DataFrame, top: int = 9) -> DataFrame:
     """R26 contracts, value and non-competitive marker per modality."""
     g = (c.groupBy(F.col("modalidad_de_contratacion").alias("m"))
-          .agg(F.count(F.lit(1)).alias("n"), F.sum(V).alias("valor"),
+          .agg(F.count(F.lit(1)).alias("n"), F.sum(_v()).alias("valor"),
                F.bool_or("es_sin_competencia").alias("sin_comp")))
     return (g.orderBy(F.desc("valor"), F.asc_nulls_last("m")).limit(top)
              .withColumn("v", bn("valor", 1)))

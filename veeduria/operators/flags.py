@@ -22,6 +22,7 @@ from veeduria.functions.fmt import fixed, millions, txt
 from veeduria.operators.derive import is_service, is_vague
 from veeduria.params import FLAG_LEVELS, FLAG_NAMES, FLAG_SEVERITY, Params
 from veeduria.schema import ALERT
+from veeduria.session import reuse
 
 
 
@@ -270,8 +271,10 @@ def run_flags(c: DataFrame, p: Params = Params(), codes: list[str] | None = None
 def run_flags_shared(c: DataFrame, p: Params = Params()) -> DataFrame:
     """R1 with shared aggregates: one (buyer, supplier, year) aggregate feeds
     F01, F02, F04, F06 and F08, so the raw table is shuffled once (as
-    partial aggregates) for five flags; F03 has its own month key; F09 and
-    F10 come from one map-only pass. Same rows as ``run_flags``."""
+    partial aggregates) for five flags; the aggregate is checkpointed (it is
+    far smaller than the contracts) so the five consumers read it instead of
+    re-planning it; F03 has its own month key; F09 and F10 come from one
+    map-only pass. Same rows as ``run_flags``."""
     nc = F.col("es_sin_competencia")
     ops = F.col("es_persona_natural") & is_service(p)
     zero = F.lit(0)
@@ -283,6 +286,7 @@ def run_flags_shared(c: DataFrame, p: Params = Params()) -> DataFrame:
                   F.max("proveedor_adjudicado").alias("pr"),
                   F.max(F.when(nc, F.col("proveedor_adjudicado"))).alias("pr_nc"),
                   F.max(F.when(ops, F.col("proveedor_adjudicado"))).alias("pr_ops")))
+    base = reuse(base)
     # F01
     f01 = (base.where(F.col("nit_entidad").isNotNull() & F.col("documento_proveedor").isNotNull()
                       & (F.col("n_nc") >= p.f01_min_contracts) & (F.col("v_nc") > _d(p.f01_min_value))))

@@ -28,36 +28,41 @@ def exact_quantile(df: DataFrame, col: str, p: float, by: list[str] | None = Non
     """Exact continuous quantile of ``col`` (as double) per group ``by``.
 
     Two scans: one for n and the sketch band, one for the exact counts (rows
-    below the band collapse into one NULL-keyed row per group).
+    below the band collapse into one NULL-keyed row per group). Without
+    groups the band bounds are a scalar subquery (no join at all).
     """
-    glob = not by
-    by = ["_g"] if glob else list(by)
+    by = list(by or [])
     x = F.col(col).cast("double")
     e = 3.0 / accuracy
-    base = df.select(*([F.lit(0).alias("_g")] if glob else by), x.alias("_x")).where(F.col("_x").isNotNull())
+    base = df.select(*by, x.alias("_x")).where(F.col("_x").isNotNull())
     qs = F.array(F.lit(max(0.0, p - e)), F.lit(min(1.0, p + e)))
-    stats = (base.groupBy(*by)
-                 .agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_x", qs, accuracy).alias("_b"),
-                      F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
-                 .select(*by, "_n",
-                         (F.col("_mn") if p - e <= 0 else F.col("_b")[0]).alias("_lo"),
-                         (F.col("_mx") if p + e >= 1 else F.col("_b")[1]).alias("_hi")))
-    # one row per group: broadcasting is bounded when there is no group key
-    j = base.join(F.broadcast(stats) if glob else stats, by)
+    stats = ((base.groupBy(*by) if by else base)
+             .agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_x", qs, accuracy).alias("_b"),
+                  F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
+             .select(*by, "_n",
+                     (F.col("_mn") if p - e <= 0 else F.col("_b")[0]).alias("_lo"),
+                     (F.col("_mx") if p + e >= 1 else F.col("_b")[1]).alias("_hi")))
+    if by:
+        j = base.join(stats, by)
+    else:
+        s = stats.select(F.struct("_n", "_lo", "_hi").alias("s")).scalar()
+        j = base.select("_x", s["_n"].alias("_n"), s["_lo"].alias("_lo"), s["_hi"].alias("_hi"))
     xk = F.when(F.col("_x") >= F.col("_lo"), F.col("_x"))
     band = (j.where(F.col("_x") <= F.col("_hi"))
              .groupBy(*by, xk.alias("_xk"), "_n")
              .agg(F.count(F.lit(1)).alias("_c")))
-    w = Window.partitionBy(*by).orderBy(F.asc_nulls_first("_xk")).rowsBetween(Window.unboundedPreceding, 0)
+    # the band holds at most ~6n/accuracy distinct values per group (plus one
+    # row for everything below it), so the running count is cheap
+    w = (Window.partitionBy(*by) if by else Window).orderBy(F.asc_nulls_first("_xk")) \
+        .rowsBetween(Window.unboundedPreceding, 0)
     band = band.withColumn("_pos", F.sum("_c").over(w))
     h = (F.col("_n") - 1).cast("double") * F.lit(float(p))
-    picks = band.groupBy(*by).agg(
+    picks = (band.groupBy(*by) if by else band).agg(
         F.min(F.when(F.col("_pos") > F.floor(h), F.col("_xk"))).alias("_a"),
         F.min(F.when(F.col("_pos") > F.ceil(h), F.col("_xk"))).alias("_b"),
         F.max(h).alias("_h"))
     frac = F.col("_h") - F.floor(F.col("_h"))
-    out = picks.select(*by, (F.col("_a") + (F.col("_b") - F.col("_a")) * frac).alias(alias))
-    return out.drop("_g") if glob else out
+    return picks.select(*by, (F.col("_a") + (F.col("_b") - F.col("_a")) * frac).alias(alias))
 
 
 def exact_median(df: DataFrame, col: str, by: list[str] | None = None, alias: str = "median") -> DataFrame:

@@ -68,13 +68,8 @@ def composition(c: DataFrame, month: str, p: Params = Params()) -> DataFrame:
                  (F.lit(100.0) * F.col("n_sin_competencia") / F.col("n")).alias("pct_sin_competencia"),
                  (F.col("v_ops").cast("double") / F.col("n_ops").cast("double")).alias("media_ops"))
     med = exact_median(m.where(ops), "valor_del_contrato", alias="mediana_ops")
-    return _attach(g, med)
-
-
-def _attach(one: DataFrame, other: DataFrame) -> DataFrame:
-    """Join two single-row frames (no cross join: constant key, broadcast)."""
-    k = F.lit(1)
-    return one.withColumn("_k", k).join(F.broadcast(other.withColumn("_k", k)), "_k", "left").drop("_k")
+    # one-row result: attached as a scalar subquery, not a join
+    return g.withColumn("mediana_ops", med.scalar())
 
 
 def first_time_suppliers(c: DataFrame, month: str) -> DataFrame:

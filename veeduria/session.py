@@ -53,7 +53,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     created and registered.
     """
     sc = spark.sparkContext
-    d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="veeduria-ckpt-")
     sc.setCheckpointDir(d)
@@ -64,3 +67,12 @@ def scratch_table_dir(spark: SparkSession, name: str) -> str:
     """A folder for an intermediate table, under the shared checkpoint dir."""
     base = ensure_checkpoint_dir(spark)
     return base.rstrip("/") + "/tables/" + name
+
+
+def reuse(df):
+    """Compute ``df`` once for several consumers: reliable checkpoint into
+    the shared checkpoint folder (lineage cut, survives executor loss).
+    Catalyst would otherwise push each consumer's filters and column
+    pruning into ``df`` and plan it once per consumer."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

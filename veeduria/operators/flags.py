@@ -134,8 +134,9 @@ def f03_spike(c: DataFrame, p: Params = Params()) -> DataFrame:
 
 def f04_hhi(c: DataFrame, p: Params = Params()) -> DataFrame:
     """F04 captured buyer: Herfindahl index of supplier value shares per
-    buyer and year, as Σv²/(Σv)² (two aggregates, no window). A NULL
-    supplier id counts as one supplier."""
+    buyer and year, as Σv²/(Σv)² (two aggregates, no window), with the sum
+    of squares exact in integer units. A NULL supplier id counts as one
+    supplier."""
     by_sup = (c.where(F.col("nit_entidad").isNotNull())
                .groupBy("nit_entidad", "anio", "documento_proveedor")
                .agg(F.sum(_v()).alias("v_prov"), F.count(F.lit(1)).alias("n_prov"),
@@ -143,12 +144,24 @@ def f04_hhi(c: DataFrame, p: Params = Params()) -> DataFrame:
     return f04_from_pairs(by_sup, p)
 
 
+def units(c: Column) -> Column:
+    """Money in integer units of 1e-4 (exact for values with <= 4 decimals)."""
+    return (c * F.lit(10000)).cast("decimal(38,0)")
+
+
+def hhi_of(sq: Column, total: Column) -> Column:
+    """HHI = Σv² / (Σv)² from the exact integer sum of squares ``sq`` (in
+    units²) and the exact total: one double division, order-independent."""
+    t = units(total).cast("double")
+    return sq.cast("double") / (t * t)
+
+
 def f04_from_pairs(by_sup: DataFrame, p: Params) -> DataFrame:
-    vd = F.col("v_prov").cast("double")
+    vi = units(F.col("v_prov"))
     g = (by_sup.groupBy("nit_entidad", "anio")
-               .agg(F.sum(vd * vd).alias("sq"), F.sum("v_prov").alias("v_total"),
+               .agg(F.sum(vi * vi).alias("sq"), F.sum("v_prov").alias("v_total"),
                     F.sum("n_prov").alias("n_total"), F.max("ne").alias("ne")))
-    hhi = F.col("sq") / (F.col("v_total").cast("double") * F.col("v_total").cast("double"))
+    hhi = hhi_of(F.col("sq"), F.col("v_total"))
     g = g.withColumn("hhi", hhi).where(
         (F.col("hhi") > F.lit(float(p.f04_min_hhi))) & (F.col("n_total") >= p.f04_min_contracts)
         & (F.col("v_total") > _d(p.f04_min_value)))

@@ -50,6 +50,15 @@ def dbl(x: str) -> str:
     return f"CAST({x} AS DOUBLE)"
 
 
+def units(x: str) -> str:
+    return f"CAST(({x}) * 10000 AS HUGEINT)"
+
+
+def hhi_of(sq: str, total: str) -> str:
+    t = f"CAST({units(total)} AS DOUBLE)"
+    return f"(CAST({sq} AS DOUBLE) / ({t} * {t}))"
+
+
 def ilike_any(col: str, patterns) -> str:
     return "(" + " OR ".join(f"{col} ILIKE {q(p)}" for p in patterns) + ")"
 
@@ -184,9 +193,9 @@ def flag_sql(code: str, cc: str, p: Params) -> str:
         by = (f"(SELECT nit_entidad, anio, documento_proveedor, sum({V}) AS v_prov, count(*) AS n_prov,"
               f" max(nombre_entidad) AS ne FROM {cc} WHERE nit_entidad IS NOT NULL"
               f" GROUP BY nit_entidad, anio, documento_proveedor)")
-        g = (f"(SELECT nit_entidad, anio, sum({dbl('v_prov')} * {dbl('v_prov')}) AS sq, sum(v_prov) AS v_total,"
+        g = (f"(SELECT nit_entidad, anio, sum({units('v_prov')} * {units('v_prov')}) AS sq, sum(v_prov) AS v_total,"
              f" sum(n_prov) AS n_total, max(ne) AS ne FROM {by} GROUP BY nit_entidad, anio)")
-        h = f"(SELECT *, sq / ({dbl('v_total')} * {dbl('v_total')}) AS hhi FROM {g})"
+        h = f"(SELECT *, {hhi_of('sq', 'v_total')} AS hhi FROM {g})"
         det = (f"'HHI ' || {fixed('hhi', 2)} || ' con ' || {txt('n_total')} || ' contratos por $' || "
                f"{txt(millions('v_total'))} || 'M'")
         return (f"SELECT {_alert_cols('F04', ne='ne', nit='nit_entidad', anio='anio', det=det, val='v_total')}"

@@ -223,7 +223,7 @@ def r33(ctx):
 
 
 @register("r34_pair", with_ctes(f"""
-SELECT nit_entidad, documento_proveedor, anio, sum(nd) AS n, CAST(sum(vd) AS DOUBLE) AS valor, max(nd) AS max_dia
+SELECT nit_entidad, documento_proveedor, anio, CAST(sum(nd) AS BIGINT) AS n, CAST(sum(vd) AS DOUBLE) AS valor, max(nd) AS max_dia
 FROM (SELECT nit_entidad, documento_proveedor, anio, CAST(fecha_de_firma AS DATE) AS dia, count(*) AS nd,
              sum(valor_del_contrato) AS vd
       FROM {CC} WHERE nombre_entidad = {O.q(ENTITY)} GROUP BY 1, 2, 3, 4)

@@ -9,8 +9,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python's str.strip drops every whitespace; Spark's trim only blanks.
-_EDGE_SPACE = r"^[\s\u00A0]+|[\s\u00A0]+$"
+# Python's str.strip() drops every character for which str.isspace() is
+# true; Spark's one-argument trim only drops blanks. The set is derived by
+# that rule, so strip() below equals Python's strip() exactly.
+WHITESPACE = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
 
 
 def col_(c: str | Column) -> Column:
@@ -18,12 +20,14 @@ def col_(c: str | Column) -> Column:
 
 
 def strip(c: str | Column) -> Column:
-    """Remove leading and trailing whitespace of any kind (tabs, newlines)."""
-    return F.regexp_replace(col_(c), _EDGE_SPACE, "")
+    """Remove leading and trailing whitespace of any kind (tabs, newlines,
+    no-break spaces): a character-set trim, no regular expression."""
+    return F.trim(col_(c), F.lit(WHITESPACE))
 
 
 def empty_to_null(c: Column) -> Column:
-    return F.when(c == "", F.lit(None).cast("string")).otherwise(c)
+    """'' -> NULL (``nullif``: the expression is evaluated once)."""
+    return F.nullif(c, F.lit(""))
 
 
 def clean_id(c: str | Column) -> Column:
@@ -35,7 +39,7 @@ def clean_id(c: str | Column) -> Column:
 
 def clean_entity_name(c: str | Column) -> Column:
     """Buyer name: strip, drop trailing '*', upper case."""
-    return empty_to_null(F.upper(F.regexp_replace(strip(c), r"\*+$", "")))
+    return empty_to_null(F.upper(F.rtrim(strip(c), F.lit("*"))))
 
 
 def clean_supplier_name(c: str | Column) -> Column:

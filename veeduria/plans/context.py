@@ -18,7 +18,7 @@ from veeduria.operators.normalize import dedupe as dedupe_op
 from veeduria.operators.normalize import normalize
 from veeduria.params import Params
 from veeduria.session import scratch_table_dir
-from veeduria.sources.bindings import Binding, TableSet, bind_contracts
+from veeduria.sources.bindings import Binding, TableSet, join_tables, project
 
 
 class Context:
@@ -29,8 +29,19 @@ class Context:
         self.materialize = materialize
         self._cache: dict[tuple, DataFrame] = {}
 
+    def joined(self) -> DataFrame:
+        """Star join of the driver tables; with ``materialize`` it runs once
+        and every binding projects from the written table."""
+        key = ("joined",)
+        if key not in self._cache:
+            j = join_tables(self.tables)
+            if self.materialize:
+                j = self.write_table(j, "joined")
+            self._cache[key] = j
+        return self._cache[key]
+
     def raw_contracts(self, b: Binding = Binding()) -> DataFrame:
-        return bind_contracts(self.tables, b)
+        return project(self.joined(), b)
 
     def normalized(self, b: Binding = Binding(), dedupe: bool = False) -> DataFrame:
         c = normalize(self.raw_contracts(b))

@@ -11,7 +11,12 @@ from __future__ import annotations
 from veeduria.params import FLAG_LEVELS, FLAG_NAMES, FLAG_SEVERITY, Params
 from veeduria.sources.bindings import Binding
 
-EDGE = r"'^[\s\x{00A0}]+|[\s\x{00A0}]+$'"
+def _ws() -> str:
+    from veeduria.functions.text import WHITESPACE
+    return " || ".join(f"chr({ord(ch)})" for ch in WHITESPACE)
+
+
+WS = f"({_ws()})"
 
 
 def q(s: str) -> str:
@@ -20,7 +25,7 @@ def q(s: str) -> str:
 
 
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, {EDGE}, '', 'g')"
+    return f"trim({x}, {WS})"
 
 
 def clean_id(x: str) -> str:
@@ -108,7 +113,7 @@ def raw_contracts_sql(b: Binding) -> str:
 
 
 def normalized_sql(src: str) -> str:
-    ent = f"NULLIF(upper(regexp_replace({strip('nombre_entidad')}, '\\*+$', '')), '')"
+    ent = f"NULLIF(upper(rtrim({strip('nombre_entidad')}, '*')), '')"
     sup = f"NULLIF(upper({strip('proveedor_adjudicado')}), '')"
     return (f"SELECT * REPLACE ({clean_id('nit_entidad')} AS nit_entidad, "
             f"{clean_id('documento_proveedor')} AS documento_proveedor, "

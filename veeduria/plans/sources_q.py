@@ -200,7 +200,7 @@ def n04(ctx: Context):
 
 @register("n06_names", with_ctes(f"""
 SELECT DISTINCT ' ' || nombre_entidad || '** ' AS raw,
-  NULLIF(upper(regexp_replace({O.strip("' ' || nombre_entidad || '** '")}, '\\*+$', '')), '') AS clean, 'entidad' AS kind
+  NULLIF(upper(rtrim({O.strip("' ' || nombre_entidad || '** '")}, '*')), '') AS clean, 'entidad' AS kind
 FROM {RAW}
 UNION ALL
 SELECT DISTINCT chr(9) || lower(proveedor_adjudicado) || ' ' AS raw,

@@ -70,9 +70,13 @@ def scratch_table_dir(spark: SparkSession, name: str) -> str:
 
 
 def reuse(df):
-    """Compute ``df`` once for several consumers: reliable checkpoint into
-    the shared checkpoint folder (lineage cut, survives executor loss).
+    """Compute ``df`` once for several consumers: written as a Parquet table
+    in the shared checkpoint folder and read back (lineage cut, survives
+    executor loss, computed once; the read keeps pushdown and pruning).
     Catalyst would otherwise push each consumer's filters and column
     pruning into ``df`` and plan it once per consumer."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    import uuid
+
+    path = scratch_table_dir(df.sparkSession, f"reuse_{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -59,8 +59,9 @@ def _raw_id(prefix: str, key: Column) -> Column:
     return F.concat(F.lit(prefix), s, F.lit("-"), F.substring(s, -1, 1))
 
 
-def bind_contracts(t: TableSet, b: Binding = Binding()) -> DataFrame:
-    """Raw (not yet normalised) contract records, one per line item."""
+def join_tables(t: TableSet) -> DataFrame:
+    """The star join every binding projects from (one row per line item,
+    only the columns some binding uses)."""
     li = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                            "l_extendedprice", "l_discount", "l_tax", "l_linestatus", "l_shipdate")
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
@@ -69,13 +70,20 @@ def bind_contracts(t: TableSet, b: Binding = Binding()) -> DataFrame:
         .select("n_nationkey", "n_name", "r_name")
     pa = t.part.select("p_partkey", "p_name", "p_type")
     su = t.supplier.select("s_suppkey", "s_name")
+    return (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+              .join(cu, F.col("o_custkey") == F.col("c_custkey"))
+              .join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"))
+              .join(pa, F.col("l_partkey") == F.col("p_partkey"))
+              .join(su, F.col("l_suppkey") == F.col("s_suppkey")))
+
+
+def bind_contracts(t: TableSet, b: Binding = Binding()) -> DataFrame:
+    """Raw (not yet normalised) contract records, one per line item."""
+    return project(join_tables(t), b)
 
-    j = (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-           .join(cu, F.col("o_custkey") == F.col("c_custkey"))
-           .join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"))
-           .join(pa, F.col("l_partkey") == F.col("p_partkey"))
-           .join(su, F.col("l_suppkey") == F.col("s_suppkey")))
 
+def project(j: DataFrame, b: Binding = Binding()) -> DataFrame:
+    """Contract record of a binding from the star join (map-only)."""
     if b.entity == "nation":
         nit, name, orden = _raw_id("N", F.col("n_nationkey")), F.col("n_name"), F.lit("Nacional")
         cod_ent = F.col("n_nationkey").cast("string")

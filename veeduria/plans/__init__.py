@@ -6,7 +6,7 @@ def register_all() -> None:
     import importlib
 
     for m in ("catalog", "scores_q", "reports", "profiles", "dossier_q", "periods", "sources_q",
-              "stream_q", "extra_q"):
+              "stream_q", "extra_q", "graph_q"):
         try:
             importlib.import_module(f"veeduria.plans.{m}")
         except ModuleNotFoundError as e:  # module not written yet

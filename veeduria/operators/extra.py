@@ -188,3 +188,62 @@ def lightning(c: DataFrame, p: float = 0.05) -> DataFrame:
     q = exact_quantile(dur, "dias", p, ["modalidad_de_contratacion"], alias="umbral")
     return (dur.join(q, "modalidad_de_contratacion").where(F.col("dias") < F.col("umbral"))
                .select("id_contrato", "modalidad_de_contratacion", "dias", "umbral", "valor_del_contrato"))
+
+
+def vagueness(c: DataFrame, terms: dict[str, int]) -> DataFrame:
+    """XV weighted vagueness score of the object text: sum of the weights of
+    the ILIKE terms it matches, per contract (map-only)."""
+    score = None
+    for pat, wgt in terms.items():
+        t = F.when(F.col("objeto_del_contrato").ilike(pat), F.lit(wgt)).otherwise(F.lit(0))
+        score = t if score is None else score + t
+    return c.withColumn("vaguedad", score)
+
+
+def vagueness_by_entity(c: DataFrame, terms: dict[str, int]) -> DataFrame:
+    """XV per buyer: contracts, contracts with a vague object, total score."""
+    v = vagueness(c.where(F.col("nit_entidad").isNotNull()), terms)
+    return (v.groupBy("nit_entidad")
+             .agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("vaguedad") > 0, 1)).alias("n_vagos"),
+                  F.sum("vaguedad").alias("puntaje")))
+
+
+def contracts_in_periods(c: DataFrame, periods: DataFrame, key: str = "documento_proveedor") -> DataFrame:
+    """XS contracts signed while their supplier is inside a period
+    [desde, hasta) (sanction, watch): equi-join on the id, then a range
+    filter; never a cross join."""
+    j = c.join(periods, key)
+    f = F.to_date("fecha_de_firma")
+    return j.where((f >= F.col("desde")) & (f < F.col("hasta")))
+
+
+def company_age(c: DataFrame, max_days: int, min_value: int = 0) -> DataFrame:
+    """XD contracts signed by a supplier within ``max_days`` of its first
+    appearance (company-age proxy), above ``min_value``: one aggregate per
+    supplier joined back (no window over a supplier's rows)."""
+    first = (c.where(F.col("documento_proveedor").isNotNull())
+              .groupBy("documento_proveedor").agg(F.min("fecha_de_firma").alias("primera")))
+    j = c.join(first, "documento_proveedor").withColumn(
+        "edad_dias", F.datediff(F.col("fecha_de_firma"), F.col("primera")))
+    return j.where((F.col("edad_dias") <= max_days) & (F.col("valor_del_contrato") > F.lit(min_value)))
+
+
+def loser_winner_pairs(c: DataFrame, min_together: int = 2) -> DataFrame:
+    """XR suppliers that keep appearing beside the same winner: per process
+    the winner is the supplier of the largest award (``max(struct)``, a hash
+    aggregate); every other participant gets one (loser, winner) edge, so a
+    process with k participants emits k-1 rows, never all pairs. Pairs seen
+    in at least ``min_together`` processes, with the share of the loser's
+    processes that the winner took."""
+    part = (c.where(F.col("documento_proveedor").isNotNull() & F.col("proceso_de_compra").isNotNull())
+             .groupBy("proceso_de_compra", "documento_proveedor").agg(F.sum(_v()).alias("v")))
+    win = (part.groupBy("proceso_de_compra")
+               .agg(F.max(F.struct("v", "documento_proveedor")).alias("w"), F.count(F.lit(1)).alias("k"))
+               .where(F.col("k") >= 2)
+               .select("proceso_de_compra", F.col("w.documento_proveedor").alias("ganador")))
+    lost = (part.join(win, "proceso_de_compra").where(F.col("documento_proveedor") != F.col("ganador"))
+                .select(F.col("documento_proveedor").alias("perdedor"), "ganador", "proceso_de_compra"))
+    pairs = lost.groupBy("perdedor", "ganador").agg(F.count(F.lit(1)).alias("juntos"))
+    n_lost = lost.groupBy("perdedor").agg(F.count(F.lit(1)).alias("derrotas"))
+    return (pairs.where(F.col("juntos") >= min_together).join(n_lost, "perdedor")
+                 .withColumn("confianza", F.col("juntos").cast("double") / F.col("derrotas").cast("double")))

@@ -171,3 +171,74 @@ d AS (SELECT *, CAST(datediff('day', fecha_de_inicio_del_contrato, fecha_de_fin_
 def x07(ctx: Context):
     """X07 lightning awards: duration in the lowest 5 % of the modality."""
     return X.lightning(ctx.contracts(DEFAULT, TEST), 0.05)
+
+
+# Test-binding term weights for the vagueness score (part names play objects).
+VAGUE_TERMS = {"%old%": 2, "%gizmo%": 1, "%ring%": 1}
+_vsc = " + ".join(f"CASE WHEN objeto_del_contrato ILIKE {O.q(p)} THEN {w} ELSE 0 END" for p, w in VAGUE_TERMS.items())
+
+
+@register("xv_vague", with_ctes(f"""
+SELECT nit_entidad, count(*) AS n, count_if(v > 0) AS n_vagos, CAST(sum(v) AS BIGINT) AS puntaje FROM (
+  SELECT nit_entidad, {_vsc} AS v FROM {CC} WHERE nit_entidad IS NOT NULL) GROUP BY 1"""))
+def xv(ctx: Context):
+    """XV weighted vagueness score of object texts per buyer."""
+    return X.vagueness_by_entity(ctx.contracts(DEFAULT, TEST), VAGUE_TERMS)
+
+
+_F02 = O.flag_sql("F02", NC, TEST)
+
+
+@register("xs_periods", with_ctes(f"""
+SELECT c.id_contrato, c.documento_proveedor, CAST(c.fecha_de_firma AS VARCHAR) AS fecha_de_firma,
+       CAST(c.valor_del_contrato AS DOUBLE) AS valor_del_contrato, CAST(p.desde AS VARCHAR) AS desde,
+       CAST(p.hasta AS VARCHAR) AS hasta
+FROM {NC} c JOIN p ON c.documento_proveedor = p.documento_proveedor
+WHERE CAST(c.fecha_de_firma AS DATE) >= p.desde AND CAST(c.fecha_de_firma AS DATE) < p.hasta""",
+    [NATION_CUSTOMER], f"""
+p AS (SELECT documento_proveedor, make_date(anio + 1, 1, 1) AS desde, make_date(anio + 2, 1, 1) AS hasta
+      FROM ({_F02}))"""))
+def xs(ctx: Context):
+    """XS contracts signed inside a supplier's watch period (the year after a
+    billing-jump alert): interval join on id + period."""
+    c = ctx.contracts(NATION_CUSTOMER, TEST)
+    a = FL.f02_jump(c, TEST)
+    periods = a.select("documento_proveedor",
+                       F.make_date(F.col("anio") + 1, F.lit(1), F.lit(1)).alias("desde"),
+                       F.make_date(F.col("anio") + 2, F.lit(1), F.lit(1)).alias("hasta"))
+    return (X.contracts_in_periods(c, periods)
+             .select("id_contrato", "documento_proveedor", "fecha_de_firma", "valor_del_contrato", "desde", "hasta"))
+
+
+@register("xd_company_age", with_ctes(f"""
+SELECT c.id_contrato, c.documento_proveedor, CAST(c.fecha_de_firma AS VARCHAR) AS fecha_de_firma,
+       CAST(f.primera AS VARCHAR) AS primera, CAST(datediff('day', f.primera, c.fecha_de_firma) AS INTEGER) AS edad_dias,
+       CAST(c.valor_del_contrato AS DOUBLE) AS valor_del_contrato
+FROM {NC} c JOIN (SELECT documento_proveedor, min(fecha_de_firma) AS primera FROM {NC}
+                  WHERE documento_proveedor IS NOT NULL GROUP BY 1) f USING (documento_proveedor)
+WHERE datediff('day', f.primera, c.fecha_de_firma) <= 30 AND c.valor_del_contrato > 80000""", [NATION_CUSTOMER]))
+def xd(ctx: Context):
+    """XD large contracts signed within 30 days of the supplier's first
+    appearance (company-age proxy)."""
+    r = X.company_age(ctx.contracts(NATION_CUSTOMER, TEST), 30, 80000)
+    return r.select("id_contrato", "documento_proveedor", "fecha_de_firma", "primera", "edad_dias",
+                    "valor_del_contrato")
+
+
+@register("xr_pairs", with_ctes(f"""
+WITH_X
+SELECT p.perdedor, p.ganador, p.juntos, n.derrotas, CAST(p.juntos AS DOUBLE) / CAST(n.derrotas AS DOUBLE) AS confianza
+FROM (SELECT perdedor, ganador, count(*) AS juntos FROM lost GROUP BY 1, 2 HAVING count(*) >= 2) p
+JOIN (SELECT perdedor, count(*) AS derrotas FROM lost GROUP BY 1) n USING (perdedor)""".replace("WITH_X\n", ""),
+    [DEFAULT], f"""
+part AS (SELECT proceso_de_compra, documento_proveedor, sum(valor_del_contrato) AS v FROM {CC}
+         WHERE documento_proveedor IS NOT NULL AND proceso_de_compra IS NOT NULL GROUP BY 1, 2),
+win AS (SELECT proceso_de_compra, ganador FROM (
+          SELECT proceso_de_compra, documento_proveedor AS ganador, count(*) OVER (PARTITION BY proceso_de_compra) AS k,
+                 row_number() OVER (PARTITION BY proceso_de_compra ORDER BY v DESC, documento_proveedor DESC) AS rn
+          FROM part) WHERE rn = 1 AND k >= 2),
+lost AS (SELECT part.documento_proveedor AS perdedor, win.ganador, part.proceso_de_compra FROM part
+         JOIN win USING (proceso_de_compra) WHERE part.documento_proveedor <> win.ganador)"""))
+def xr(ctx: Context):
+    """XR suppliers repeatedly beside the same winner in a process."""
+    return X.loser_winner_pairs(ctx.contracts(DEFAULT, TEST), 2)

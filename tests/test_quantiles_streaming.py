@@ -46,3 +46,14 @@ def test_weekly_stream_late_data_updates_week(spark, tmp_path):
     put("b2", [(3, pd.Timestamp("2024-01-07 23:00"), 2, "click", 1.0, "{}")])
     r2 = {(str(r.semana), r.event_type): r.n for r in RF.run_weekly(spark, str(land), None, table, ckpt).collect()}
     assert r2 == {("2024-01-01", "click"): 2, ("2024-01-08", "click"): 1}
+
+
+def test_exact_quantile_small_groups_with_ties(spark):
+    random.seed(5)
+    rows = [(g, float(random.randint(0, 60))) for g in "abcde" for _ in range(random.randint(3, 700))]
+    df = spark.createDataFrame(rows, "k string, v double")
+    pdf = pd.DataFrame(rows, columns=["k", "v"])
+    for p in (0.05, 0.5, 0.95):
+        got = {r.k: r.q for r in exact_quantile(df, "v", p, ["k"]).collect()}
+        exp = pdf.groupby("k")["v"].quantile(p).to_dict()
+        assert all(abs(got[k] - exp[k]) <= 1e-9 for k in exp), (p, got, exp)

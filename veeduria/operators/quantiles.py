@@ -7,7 +7,9 @@ contain the target ranks, then counts exactly:
 
 1. per group: n, and approximate quantiles at p - e and p + e (rank error of
    the sketch is at most n / accuracy, so with e = 3 / accuracy the band
-   [lo, hi] brackets ranks floor(h) and ceil(h), h = (n - 1) p);
+   [lo, hi] brackets ranks floor(h) and ceil(h), h = (n - 1) p, with at
+   least two ranks to spare once n > accuracy; a group of at most
+   ``accuracy`` rows uses its whole [min, max] range, still bounded);
 2. rows below the band are only counted; rows inside it are aggregated by
    distinct value (so a value repeated by a third of all rows is one row);
 3. a running count over the band's distinct values (at most ~6n/accuracy
@@ -40,8 +42,10 @@ def exact_quantile(df: DataFrame, col: str, p: float, by: list[str] | None = Non
              .agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_x", qs, accuracy).alias("_b"),
                   F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
              .select(*by, "_n",
-                     (F.col("_mn") if p - e <= 0 else F.col("_b")[0]).alias("_lo"),
-                     (F.col("_mx") if p + e >= 1 else F.col("_b")[1]).alias("_hi")))
+                     F.when(F.col("_n") <= accuracy, F.col("_mn"))
+                      .otherwise(F.col("_mn") if p - e <= 0 else F.col("_b")[0]).alias("_lo"),
+                     F.when(F.col("_n") <= accuracy, F.col("_mx"))
+                      .otherwise(F.col("_mx") if p + e >= 1 else F.col("_b")[1]).alias("_hi")))
     if by:
         j = base.join(stats, by)
     else:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,15 +61,21 @@ DEDUPE_ORDER = ("fecha_de_firma", "valor_del_contrato", "documento_proveedor", "
 
 def dedupe(df: DataFrame, key: str = "id_contrato", order: tuple[str, ...] = DEDUPE_ORDER) -> DataFrame:
     """Keep one row per ``key``: latest signature date, then largest value,
-    then the remaining columns as tie-breaks (deterministic in any engine).
-
-    One shuffle on ``key``. A hot key only costs a sort of its own rows in
-    one task; rows are never collected into memory as a group.
+    then the remaining order columns, then all other columns (deterministic).
+
+    Written as ``max(struct(order..., rest...))`` per key: a hash aggregate
+    with a map-side partial step, so a key repeated by a third of all rows is
+    reduced inside each task before the shuffle (a ``row_number`` window
+    would sort all of them in one task). ``max`` over a struct orders NULL
+    lowest, which is "descending, NULLs last". Rows without a key are not
+    duplicates of each other and pass through unchanged.
     """
-    w = Window.partitionBy(key).orderBy(
-        *[F.col(c).desc_nulls_last() for c in order])
-    return (df.withColumn("_rn", F.row_number().over(w))
-              .where(F.col("_rn") == 1).drop("_rn"))
+    cols = df.columns
+    rest = [c for c in cols if c not in order and c != key]
+    m = F.max(F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest])).alias("_m")
+    kept = (df.where(F.col(key).isNotNull()).groupBy(key).agg(m)
+              .select(key, *[F.col(f"_m.{c}").alias(c) for c in (*order, *rest)]))
+    return kept.select(*cols).unionByName(df.where(F.col(key).isNull()))
 
 
 __all__ = ["align", "coerce", "clean_identities", "normalize", "dedupe", "CONTRACT_COLUMNS"]

@@ -221,7 +221,8 @@ _DD_ORDER = ", ".join(f"{c} DESC NULLS LAST" for c in DEDUPE_ORDER)
 SELECT id_contrato, CAST(fecha_de_firma AS VARCHAR) AS fecha_de_firma, CAST(valor_del_contrato AS DOUBLE) AS valor,
        documento_proveedor FROM (
   SELECT *, row_number() OVER (PARTITION BY id_contrato ORDER BY {_DD_ORDER}) AS rn FROM norm_{DEFAULT.name})
-WHERE rn = 1 AND valor_del_contrato IS NOT NULL AND valor_del_contrato > 0 AND fecha_de_firma IS NOT NULL"""))
+WHERE (rn = 1 OR id_contrato IS NULL) AND valor_del_contrato IS NOT NULL AND valor_del_contrato > 0
+  AND fecha_de_firma IS NOT NULL"""))
 def n08(ctx: Context):
     """N8 one row per contract id (latest, then largest)."""
     c = derive(dedupe(ctx.normalized(DEFAULT)), TEST)

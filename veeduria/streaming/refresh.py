@@ -62,11 +62,19 @@ def run_weekly(spark: SparkSession, folder: str, pattern: str | None, table_dir:
     """Run the weekly stream to completion of the landed data (update mode
     into the upsert table) and return the current weekly table."""
     keys = list(keys)
-    agg = weekly_counts(event_stream(spark, folder, pattern), keys, value)
-    out = agg.select(F.to_date(F.col("w.start").cast("timestamp_ntz")).alias("semana"), *keys, "n", "v")
-    q = (out.writeStream.outputMode("update").foreachBatch(upsert_sink(table_dir, ["semana", *keys]))
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    # event times are wall-clock (TIMESTAMP_NTZ): the TIMESTAMP cast the
+    # watermark needs, and the window alignment, are done in UTC so weeks
+    # start on Monday 00:00 whatever the session's time zone is
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    try:
+        agg = weekly_counts(event_stream(spark, folder, pattern), keys, value)
+        out = agg.select(F.to_date(F.col("w.start").cast("timestamp_ntz")).alias("semana"), *keys, "n", "v")
+        q = (out.writeStream.outputMode("update").foreachBatch(upsert_sink(table_dir, ["semana", *keys]))
+                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", tz)
     return latest_versions(spark.read.parquet(table_dir), ["semana", *keys])
 
 

@@ -63,15 +63,43 @@ def _v():
     return F.col("valor_del_contrato")
 
 
+def entity_labels(c: DataFrame) -> DataFrame:
+    """(nit_entidad, ne): one display name per buyer id, the largest of its
+    names (a deterministic ``any_value``). Built from distinct (id, name)
+    pairs, so the string ``max`` runs over the small pair table and every
+    flag aggregate stays a hash aggregate of keys and numbers (a string
+    ``max`` inside the flag aggregate would force a sort-based aggregate
+    over all contracts). Every non-NULL id is present (NULL name if it has
+    none), so joining alerts to it is lossless."""
+    return (c.where(F.col("nit_entidad").isNotNull()).select("nit_entidad", "nombre_entidad").distinct()
+             .groupBy("nit_entidad").agg(F.max("nombre_entidad").alias("ne")))
+
+
+def supplier_labels(c: DataFrame) -> DataFrame:
+    """(documento_proveedor, pr): one display name per supplier id."""
+    return (c.where(F.col("documento_proveedor").isNotNull())
+             .select("documento_proveedor", "proveedor_adjudicado").distinct()
+             .groupBy("documento_proveedor").agg(F.max("proveedor_adjudicado").alias("pr")))
+
+
+def with_labels(g: DataFrame, c: DataFrame, entity: bool = False, supplier: bool = False) -> DataFrame:
+    """Attach display names to an (already small) alert-level frame."""
+    if entity:
+        g = g.join(entity_labels(c), "nit_entidad")
+    if supplier:
+        g = g.join(supplier_labels(c), "documento_proveedor")
+    return g
+
+
 def f01_split(c: DataFrame, p: Params = Params()) -> DataFrame:
     """F01 possible splitting: many non-competitive contracts between the
     same buyer and supplier in one year."""
     g = (c.where(F.col("es_sin_competencia")
                  & F.col("nit_entidad").isNotNull() & F.col("documento_proveedor").isNotNull())
           .groupBy("nit_entidad", "documento_proveedor", "anio")
-          .agg(F.count(F.lit(1)).alias("n"), F.sum(_v()).alias("v"),
-               F.max("nombre_entidad").alias("ne"), F.max("proveedor_adjudicado").alias("pr"))
+          .agg(F.count(F.lit(1)).alias("n"), F.sum(_v()).alias("v"))
           .where((F.col("n") >= p.f01_min_contracts) & (F.col("v") > _d(p.f01_min_value))))
+    g = with_labels(g, c, entity=True, supplier=True)
     det = F.concat(txt("n"), F.lit(" contratos sin competencia con la misma entidad en "), txt("anio"),
                    F.lit(" que suman $"), txt(millions("v")), F.lit("M"))
     return g.select(*alert("F01", nombre_entidad=F.col("ne"), nit_entidad=F.col("nit_entidad"),
@@ -83,22 +111,21 @@ def supplier_years(c: DataFrame) -> DataFrame:
     """Yearly billing per supplier (input of F02 and of growth reports)."""
     return (c.where(F.col("documento_proveedor").isNotNull())
              .groupBy("documento_proveedor", "anio")
-             .agg(F.sum(_v()).alias("total"), F.max("proveedor_adjudicado").alias("proveedor")))
+             .agg(F.sum(_v()).alias("total")))
 
 
 def f02_jump(c: DataFrame, p: Params = Params()) -> DataFrame:
     """F02 billing jump vs the previous calendar year (a gap year never
     counts as 'previous'): equi self-join on (doc, year = year' + 1) of the
     small yearly aggregate."""
-    return _f02_from_years(supplier_years(c), p)
+    return _f02_from_years(supplier_years(c), p, supplier_labels(c))
 
 
 def entity_months(c: DataFrame) -> DataFrame:
     """Contracts and value per buyer and signature month."""
     return (c.where(F.col("nit_entidad").isNotNull())
              .groupBy("nit_entidad", "mes_firma")
-             .agg(F.count(F.lit(1)).alias("n"), F.sum(_v()).alias("total"),
-                  F.max("nombre_entidad").alias("nombre_entidad")))
+             .agg(F.count(F.lit(1)).alias("n"), F.sum(_v()).alias("total")))
 
 
 def with_month_stats(m: DataFrame) -> DataFrame:
@@ -123,12 +150,13 @@ def f03_spike(c: DataFrame, p: Params = Params()) -> DataFrame:
     k2 = _d(Decimal(str(p.f03_min_z)) ** 2)
     hit = s.where((F.col("meses") >= p.f03_min_months) & (var_m2 > 0)
                   & (F.col("n") >= p.f03_min_contracts) & (dev >= 0) & (dev * dev >= k2 * var_m2))
+    hit = with_labels(hit, c, entity=True)
     media = F.col("s1").cast("double") / F.col("meses").cast("double")
     sd = F.sqrt((m * F.col("s2") - F.col("s1") * F.col("s1")).cast("double")) / F.col("meses").cast("double")
     z = (F.col("n").cast("double") - media) / sd
     det = F.concat(txt("n"), F.lit(" contratos firmados en "), F.date_format("mes_firma", "yyyy-MM"),
                    F.lit(" vs media mensual de "), fixed(media, 1), F.lit(" (z="), fixed(z, 1), F.lit(")"))
-    return hit.select(*alert("F03", nombre_entidad=F.col("nombre_entidad"), nit_entidad=F.col("nit_entidad"),
+    return hit.select(*alert("F03", nombre_entidad=F.col("ne"), nit_entidad=F.col("nit_entidad"),
                              anio=F.year("mes_firma"), detalle=det, valor_cop=F.col("total")))
 
 
@@ -139,9 +167,8 @@ def f04_hhi(c: DataFrame, p: Params = Params()) -> DataFrame:
     supplier."""
     by_sup = (c.where(F.col("nit_entidad").isNotNull())
                .groupBy("nit_entidad", "anio", "documento_proveedor")
-               .agg(F.sum(_v()).alias("v_prov"), F.count(F.lit(1)).alias("n_prov"),
-                    F.max("nombre_entidad").alias("ne")))
-    return f04_from_pairs(by_sup, p)
+               .agg(F.sum(_v()).alias("v_prov"), F.count(F.lit(1)).alias("n_prov")))
+    return f04_from_pairs(by_sup, p, entity_labels(c))
 
 
 def units(c: Column) -> Column:
@@ -156,15 +183,16 @@ def hhi_of(sq: Column, total: Column) -> Column:
     return sq.cast("double") / (t * t)
 
 
-def f04_from_pairs(by_sup: DataFrame, p: Params) -> DataFrame:
+def f04_from_pairs(by_sup: DataFrame, p: Params, labels: DataFrame) -> DataFrame:
     vi = units(F.col("v_prov"))
     g = (by_sup.groupBy("nit_entidad", "anio")
                .agg(F.sum(vi * vi).alias("sq"), F.sum("v_prov").alias("v_total"),
-                    F.sum("n_prov").alias("n_total"), F.max("ne").alias("ne")))
+                    F.sum("n_prov").alias("n_total")))
     hhi = hhi_of(F.col("sq"), F.col("v_total"))
     g = g.withColumn("hhi", hhi).where(
         (F.col("hhi") > F.lit(float(p.f04_min_hhi))) & (F.col("n_total") >= p.f04_min_contracts)
         & (F.col("v_total") > _d(p.f04_min_value)))
+    g = g.join(labels, "nit_entidad")
     det = F.concat(F.lit("HHI "), fixed(F.col("hhi"), 2), F.lit(" con "), txt("n_total"),
                    F.lit(" contratos por $"), txt(millions("v_total")), F.lit("M"))
     return g.select(*alert("F04", nombre_entidad=F.col("ne"), nit_entidad=F.col("nit_entidad"),
@@ -178,8 +206,9 @@ def f06_octopus(c: DataFrame, p: Params = Params()) -> DataFrame:
     g = (c.where(F.col("es_persona_natural") & is_service(p) & F.col("documento_proveedor").isNotNull())
           .groupBy("documento_proveedor", "anio")
           .agg(F.count(F.lit(1)).alias("n"), F.countDistinct("nit_entidad").alias("ents"),
-               F.sum(_v()).alias("v"), F.max("proveedor_adjudicado").alias("pr"))
+               F.sum(_v()).alias("v"))
           .where((F.col("ents") >= p.f06_min_entities) & (F.col("n") >= p.f06_min_contracts)))
+    g = with_labels(g, c, supplier=True)
     det = F.concat(txt("n"), F.lit(" contratos de prestación de servicios con "), txt("ents"),
                    F.lit(" entidades distintas en "), txt("anio"), F.lit(" por $"), txt(millions("v")),
                    F.lit("M"))
@@ -193,14 +222,14 @@ def f08_dominance(c: DataFrame, p: Params = Params()) -> DataFrame:
     g = (c.where(F.col("nit_entidad").isNotNull())
           .groupBy("nit_entidad", "anio")
           .agg(F.count(F.lit(1)).alias("n"), F.sum(_v()).alias("v"),
-               F.sum(F.when(F.col("es_sin_competencia"), _v()).otherwise(F.lit(0))).alias("v_nc"),
-               F.max("nombre_entidad").alias("ne")))
-    return f08_from_totals(g, p)
+               F.sum(F.when(F.col("es_sin_competencia"), _v()).otherwise(F.lit(0))).alias("v_nc")))
+    return f08_from_totals(g, p, entity_labels(c))
 
 
-def f08_from_totals(g: DataFrame, p: Params) -> DataFrame:
+def f08_from_totals(g: DataFrame, p: Params, labels: DataFrame) -> DataFrame:
     g = g.where((F.col("n") >= p.f08_min_contracts) & (F.col("v") > _d(p.f08_min_value))
                 & (F.col("v_nc") > F.col("v") * _d(p.f08_min_share)))
+    g = g.join(labels, "nit_entidad")
     pct = F.lit(100.0) * F.col("v_nc").cast("double") / F.col("v").cast("double")
     det = F.concat(txt(F.round(pct, 0).cast("bigint")), F.lit("% del valor adjudicado sin competencia ("),
                    txt("n"), F.lit(" contratos, $"), txt(millions("v")), F.lit("M)"))
@@ -294,36 +323,35 @@ def run_flags_shared(c: DataFrame, p: Params = Params()) -> DataFrame:
     base = (c.groupBy("nit_entidad", "documento_proveedor", "anio")
              .agg(F.count(F.lit(1)).alias("n"), F.sum(_v()).alias("v"),
                   F.count(F.when(nc, 1)).alias("n_nc"), F.sum(F.when(nc, _v())).alias("v_nc"),
-                  F.count(F.when(ops, 1)).alias("n_ops"), F.sum(F.when(ops, _v())).alias("v_ops"),
-                  F.max("nombre_entidad").alias("ne"), F.max(F.when(nc, F.col("nombre_entidad"))).alias("ne_nc"),
-                  F.max("proveedor_adjudicado").alias("pr"),
-                  F.max(F.when(nc, F.col("proveedor_adjudicado"))).alias("pr_nc"),
-                  F.max(F.when(ops, F.col("proveedor_adjudicado"))).alias("pr_ops")))
+                  F.count(F.when(ops, 1)).alias("n_ops"), F.sum(F.when(ops, _v())).alias("v_ops")))
     base = reuse(base)
+    ent, sup = entity_labels(c), supplier_labels(c)
     # F01
     f01 = (base.where(F.col("nit_entidad").isNotNull() & F.col("documento_proveedor").isNotNull()
                       & (F.col("n_nc") >= p.f01_min_contracts) & (F.col("v_nc") > _d(p.f01_min_value))))
+    f01 = f01.join(ent, "nit_entidad").join(sup, "documento_proveedor")
     det01 = F.concat(txt("n_nc"), F.lit(" contratos sin competencia con la misma entidad en "), txt("anio"),
                      F.lit(" que suman $"), txt(millions("v_nc")), F.lit("M"))
-    f01 = f01.select(*alert("F01", nombre_entidad=F.col("ne_nc"), nit_entidad=F.col("nit_entidad"),
-                            proveedor=F.col("pr_nc"), documento_proveedor=F.col("documento_proveedor"),
+    f01 = f01.select(*alert("F01", nombre_entidad=F.col("ne"), nit_entidad=F.col("nit_entidad"),
+                            proveedor=F.col("pr"), documento_proveedor=F.col("documento_proveedor"),
                             anio=F.col("anio"), detalle=det01, valor_cop=F.col("v_nc")))
     # F02
     ys = (base.where(F.col("documento_proveedor").isNotNull())
               .groupBy("documento_proveedor", "anio")
-              .agg(F.sum("v").alias("total"), F.max("pr").alias("proveedor")))
-    f02 = _f02_from_years(ys, p)
+              .agg(F.sum("v").alias("total")))
+    f02 = _f02_from_years(ys, p, sup)
     # F04
     pairs = (base.where(F.col("nit_entidad").isNotNull())
                  .select("nit_entidad", "anio", "documento_proveedor", F.col("v").alias("v_prov"),
-                         F.col("n").alias("n_prov"), "ne"))
-    f04 = f04_from_pairs(pairs, p)
+                         F.col("n").alias("n_prov")))
+    f04 = f04_from_pairs(pairs, p, ent)
     # F06
     g6 = (base.where(F.col("documento_proveedor").isNotNull() & (F.col("n_ops") > 0))
               .groupBy("documento_proveedor", "anio")
               .agg(F.sum("n_ops").alias("n"), F.count(F.col("nit_entidad")).alias("ents"),
-                   F.sum("v_ops").alias("v"), F.max("pr_ops").alias("pr"))
-              .where((F.col("ents") >= p.f06_min_entities) & (F.col("n") >= p.f06_min_contracts)))
+                   F.sum("v_ops").alias("v"))
+              .where((F.col("ents") >= p.f06_min_entities) & (F.col("n") >= p.f06_min_contracts))
+              .join(sup, "documento_proveedor"))
     det06 = F.concat(txt("n"), F.lit(" contratos de prestación de servicios con "), txt("ents"),
                      F.lit(" entidades distintas en "), txt("anio"), F.lit(" por $"), txt(millions("v")),
                      F.lit("M"))
@@ -333,8 +361,8 @@ def run_flags_shared(c: DataFrame, p: Params = Params()) -> DataFrame:
     g8 = (base.where(F.col("nit_entidad").isNotNull())
               .groupBy("nit_entidad", "anio")
               .agg(F.sum("n").alias("n"), F.sum("v").alias("v"),
-                   F.sum(F.coalesce(F.col("v_nc"), zero)).alias("v_nc"), F.max("ne").alias("ne")))
-    f08 = f08_from_totals(g8, p)
+                   F.sum(F.coalesce(F.col("v_nc"), zero)).alias("v_nc")))
+    f08 = f08_from_totals(g8, p, ent)
     # F09 + F10 in one pass
     c9, c10 = _f09_cond(p), _f10_cond(p)
     rows = (c.where(c9 | c10)
@@ -345,17 +373,18 @@ def run_flags_shared(c: DataFrame, p: Params = Params()) -> DataFrame:
     return union_alerts([f01, f02, f03_spike(c, p), f04, f06, f08, r9, r10])
 
 
-def _f02_from_years(y: DataFrame, p: Params) -> DataFrame:
+def _f02_from_years(y: DataFrame, p: Params, labels: DataFrame) -> DataFrame:
     a = y.alias("a")
     b = y.select(F.col("documento_proveedor").alias("b_doc"), (F.col("anio") + 1).alias("b_next"),
                  F.col("total").alias("b_total"))
     j = (a.join(b, (F.col("a.documento_proveedor") == F.col("b_doc")) & (F.col("a.anio") == F.col("b_next")))
           .where((F.col("total") > F.col("b_total") * _d(p.f02_factor))
                  & (F.col("total") > _d(p.f02_min_value))))
+    j = j.join(labels, F.col("a.documento_proveedor") == labels["documento_proveedor"])
     ratio = F.col("total").cast("double") / F.col("b_total").cast("double")
     det = F.concat(F.lit("Facturó $"), txt(millions("total")), F.lit("M en "), txt(F.col("a.anio")),
                    F.lit(" vs $"), txt(millions("b_total")), F.lit("M el año anterior ("),
                    fixed(ratio, 1), F.lit("x)"))
-    return j.select(*alert("F02", proveedor=F.col("proveedor"),
+    return j.select(*alert("F02", proveedor=F.col("pr"),
                            documento_proveedor=F.col("a.documento_proveedor"),
                            anio=F.col("a.anio"), detalle=det, valor_cop=F.col("total")))

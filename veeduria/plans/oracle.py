@@ -158,29 +158,40 @@ def _alert_cols(code, *, ne="CAST(NULL AS VARCHAR)", nit="CAST(NULL AS VARCHAR)"
 V = "valor_del_contrato"
 
 
+def lbl_e(cc: str, outer: str) -> str:
+    """Buyer label: largest name over all rows of the id (as entity_labels)."""
+    return f"(SELECT max(x.nombre_entidad) FROM {cc} x WHERE x.nit_entidad = {outer}.nit_entidad)"
+
+
+def lbl_s(cc: str, outer: str) -> str:
+    """Supplier label: largest name over all rows of the id."""
+    return (f"(SELECT max(x.proveedor_adjudicado) FROM {cc} x"
+            f" WHERE x.documento_proveedor = {outer}.documento_proveedor)")
+
+
 def flag_sql(code: str, cc: str, p: Params) -> str:
     """One flag as a SELECT over the clean contract relation ``cc``."""
     if code == "F01":
         det = (f"{txt('count(*)')} || ' contratos sin competencia con la misma entidad en ' || {txt('anio')}"
                f" || ' que suman $' || {txt(millions(f'sum({V})'))} || 'M'")
-        return (f"SELECT {_alert_cols('F01', ne='max(nombre_entidad)', nit='nit_entidad', pr='max(proveedor_adjudicado)', doc='documento_proveedor', anio='anio', det=det, val=f'sum({V})')}"
-                f" FROM {cc} WHERE es_sin_competencia AND nit_entidad IS NOT NULL AND documento_proveedor IS NOT NULL"
-                f" GROUP BY nit_entidad, documento_proveedor, anio"
+        return (f"SELECT {_alert_cols('F01', ne=lbl_e(cc, 't'), nit='t.nit_entidad', pr=lbl_s(cc, 't'), doc='t.documento_proveedor', anio='t.anio', det=det, val=f'sum({V})')}"
+                f" FROM {cc} t WHERE es_sin_competencia AND nit_entidad IS NOT NULL AND documento_proveedor IS NOT NULL"
+                f" GROUP BY t.nit_entidad, t.documento_proveedor, t.anio"
                 f" HAVING count(*) >= {p.f01_min_contracts} AND sum({V}) > {p.f01_min_value}")
     if code == "F02":
         ratio = f"{dbl('a.total')} / {dbl('b.total')}"
         det = (f"'Facturó $' || {txt(millions('a.total'))} || 'M en ' || {txt('a.anio')} || ' vs $' || "
                f"{txt(millions('b.total'))} || 'M el año anterior (' || {fixed(ratio, 1)} || 'x)'")
-        y = (f"(SELECT documento_proveedor, anio, sum({V}) AS total, max(proveedor_adjudicado) AS proveedor"
+        y = (f"(SELECT documento_proveedor, anio, sum({V}) AS total"
              f" FROM {cc} WHERE documento_proveedor IS NOT NULL GROUP BY documento_proveedor, anio)")
-        return (f"SELECT {_alert_cols('F02', pr='a.proveedor', doc='a.documento_proveedor', anio='a.anio', det=det, val='a.total')}"
+        return (f"SELECT {_alert_cols('F02', pr=lbl_s(cc, 'a'), doc='a.documento_proveedor', anio='a.anio', det=det, val='a.total')}"
                 f" FROM {y} a JOIN {y} b ON a.documento_proveedor = b.documento_proveedor AND a.anio = b.anio + 1"
                 f" WHERE a.total > b.total * {p.f02_factor} AND a.total > {p.f02_min_value}")
     if code == "F03":
         from fractions import Fraction
         from decimal import Decimal
         k2 = Fraction(Decimal(str(p.f03_min_z))) ** 2
-        m = (f"(SELECT nit_entidad, mes_firma, count(*) AS n, sum({V}) AS total, max(nombre_entidad) AS nombre_entidad"
+        m = (f"(SELECT nit_entidad, mes_firma, count(*) AS n, sum({V}) AS total"
              f" FROM {cc} WHERE nit_entidad IS NOT NULL GROUP BY nit_entidad, mes_firma)")
         s = (f"(SELECT *, CAST(count(*) OVER w AS HUGEINT) AS meses, sum(CAST(n AS HUGEINT)) OVER w AS s1,"
              f" sum(CAST(n AS HUGEINT) * CAST(n AS HUGEINT)) OVER w AS s2 FROM {m} WINDOW w AS (PARTITION BY nit_entidad))")
@@ -191,35 +202,35 @@ def flag_sql(code: str, cc: str, p: Params) -> str:
         z = f"(({dbl('n')} - {media}) / {sd})"
         det = (f"{txt('n')} || ' contratos firmados en ' || strftime(mes_firma, '%Y-%m') || ' vs media mensual de ' || "
                f"{fixed(media, 1)} || ' (z=' || {fixed(z, 1)} || ')'")
-        return (f"SELECT {_alert_cols('F03', ne='nombre_entidad', nit='nit_entidad', anio='year(mes_firma)', det=det, val='total')}"
+        return (f"SELECT {_alert_cols('F03', ne=lbl_e(cc, 's'), nit='s.nit_entidad', anio='year(mes_firma)', det=det, val='total')}"
                 f" FROM {s} s WHERE meses >= {p.f03_min_months} AND {var} > 0 AND n >= {p.f03_min_contracts}"
                 f" AND {dev} >= 0 AND {k2.denominator} * {dev} * {dev} >= {k2.numerator} * {var}")
     if code == "F04":
-        by = (f"(SELECT nit_entidad, anio, documento_proveedor, sum({V}) AS v_prov, count(*) AS n_prov,"
-              f" max(nombre_entidad) AS ne FROM {cc} WHERE nit_entidad IS NOT NULL"
+        by = (f"(SELECT nit_entidad, anio, documento_proveedor, sum({V}) AS v_prov, count(*) AS n_prov"
+              f" FROM {cc} WHERE nit_entidad IS NOT NULL"
               f" GROUP BY nit_entidad, anio, documento_proveedor)")
         g = (f"(SELECT nit_entidad, anio, sum({units('v_prov')} * {units('v_prov')}) AS sq, sum(v_prov) AS v_total,"
-             f" sum(n_prov) AS n_total, max(ne) AS ne FROM {by} GROUP BY nit_entidad, anio)")
+             f" sum(n_prov) AS n_total FROM {by} GROUP BY nit_entidad, anio)")
         h = f"(SELECT *, {hhi_of('sq', 'v_total')} AS hhi FROM {g})"
         det = (f"'HHI ' || {fixed('hhi', 2)} || ' con ' || {txt('n_total')} || ' contratos por $' || "
                f"{txt(millions('v_total'))} || 'M'")
-        return (f"SELECT {_alert_cols('F04', ne='ne', nit='nit_entidad', anio='anio', det=det, val='v_total')}"
-                f" FROM {h} WHERE hhi > {float(p.f04_min_hhi)} AND n_total >= {p.f04_min_contracts}"
+        return (f"SELECT {_alert_cols('F04', ne=lbl_e(cc, 'h'), nit='h.nit_entidad', anio='anio', det=det, val='v_total')}"
+                f" FROM {h} h WHERE hhi > {float(p.f04_min_hhi)} AND n_total >= {p.f04_min_contracts}"
                 f" AND v_total > {p.f04_min_value}")
     if code == "F06":
         det = (f"{txt('count(*)')} || ' contratos de prestación de servicios con ' || {txt('count(DISTINCT nit_entidad)')}"
                f" || ' entidades distintas en ' || {txt('anio')} || ' por $' || {txt(millions(f'sum({V})'))} || 'M'")
-        return (f"SELECT {_alert_cols('F06', pr='max(proveedor_adjudicado)', doc='documento_proveedor', anio='anio', det=det, val=f'sum({V})')}"
-                f" FROM {cc} WHERE es_persona_natural AND {ilike_any('tipo_de_contrato', p.service)}"
-                f" AND documento_proveedor IS NOT NULL GROUP BY documento_proveedor, anio"
+        return (f"SELECT {_alert_cols('F06', pr=lbl_s(cc, 't'), doc='t.documento_proveedor', anio='t.anio', det=det, val=f'sum({V})')}"
+                f" FROM {cc} t WHERE es_persona_natural AND {ilike_any('tipo_de_contrato', p.service)}"
+                f" AND documento_proveedor IS NOT NULL GROUP BY t.documento_proveedor, t.anio"
                 f" HAVING count(DISTINCT nit_entidad) >= {p.f06_min_entities} AND count(*) >= {p.f06_min_contracts}")
     if code == "F08":
         vnc = f"sum(CASE WHEN es_sin_competencia THEN {V} ELSE 0 END)"
         pct = f"CAST(round(100.0 * {dbl(vnc)} / {dbl(f'sum({V})')}) AS BIGINT)"
         det = (f"{txt(pct)} || '% del valor adjudicado sin competencia (' || {txt('count(*)')} || ' contratos, $' || "
                f"{txt(millions(f'sum({V})'))} || 'M)'")
-        return (f"SELECT {_alert_cols('F08', ne='max(nombre_entidad)', nit='nit_entidad', anio='anio', det=det, val=vnc)}"
-                f" FROM {cc} WHERE nit_entidad IS NOT NULL GROUP BY nit_entidad, anio"
+        return (f"SELECT {_alert_cols('F08', ne=lbl_e(cc, 't'), nit='t.nit_entidad', anio='t.anio', det=det, val=vnc)}"
+                f" FROM {cc} t WHERE nit_entidad IS NOT NULL GROUP BY t.nit_entidad, t.anio"
                 f" HAVING count(*) >= {p.f08_min_contracts} AND sum({V}) > {p.f08_min_value}"
                 f" AND {vnc} > sum({V}) * {p.f08_min_share}")
     row = dict(ne="nombre_entidad", nit="nit_entidad", pr="proveedor_adjudicado", doc="documento_proveedor",

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veeduria.operators.derive import is_service, is_vague
-from veeduria.operators.flags import entity_months, with_month_stats
+from veeduria.operators.flags import entity_labels, entity_months, with_month_stats
 from veeduria.operators.quantiles import exact_median
 from veeduria.params import Params
 from veeduria.plans import oracle as O
@@ -92,9 +92,10 @@ def multiple_of_mean(c: DataFrame, month: str, min_n: int, factor: float) -> Dat
     s = with_month_stats(entity_months(c))
     mean = F.col("s1").cast("double") / F.col("meses").cast("double")
     s = s.where((F.year("mes_firma") == y) & (F.month("mes_firma") == m))
-    return (s.withColumn("media", mean).withColumn("veces", F.col("n").cast("double") / F.col("media"))
-             .where((F.col("n") >= min_n) & (F.col("n").cast("double") > F.lit(float(factor)) * F.col("media")))
-             .select("nit_entidad", "nombre_entidad", "n", "total", "media", "veces"))
+    hit = (s.withColumn("media", mean).withColumn("veces", F.col("n").cast("double") / F.col("media"))
+            .where((F.col("n") >= min_n) & (F.col("n").cast("double") > F.lit(float(factor)) * F.col("media"))))
+    return (hit.join(entity_labels(c), "nit_entidad")
+               .select("nit_entidad", F.col("ne").alias("nombre_entidad"), "n", "total", "media", "veces"))
 
 
 def pair_history(c: DataFrame, entity_name: str) -> DataFrame:
@@ -133,12 +134,17 @@ def pre_post(c: DataFrame, cut: str) -> DataFrame:
 
 def largest_contract(c: DataFrame) -> DataFrame:
     """R37 each buyer's largest contract with its dates, modality,
-    justification and paid value: ``max(struct)`` is a hash aggregate with a
-    map-side partial, so a hot buyer is not sorted in one task."""
+    justification and paid value. Step 1 is a hash aggregate of the maximum
+    value per buyer; an equi-join on (buyer, value) keeps only the tied
+    candidates; ``max(struct)`` then breaks ties over those few rows, so the
+    string-bearing (sort-based) aggregate never sees the whole table."""
+    b = c.where(F.col("nit_entidad").isNotNull())
+    top = b.groupBy("nit_entidad").agg(F.max(_v()).alias("valor_del_contrato"))
+    cand = b.join(top, ["nit_entidad", "valor_del_contrato"])
     s = F.struct(_v().alias("valor"), F.col("id_contrato"), F.col("fecha_de_firma"),
                  F.col("fecha_de_inicio_del_contrato"), F.col("fecha_de_fin_del_contrato"),
                  F.col("modalidad_de_contratacion"), F.col("justificacion_modalidad_de"), F.col("valor_pagado"))
-    g = c.where(F.col("nit_entidad").isNotNull()).groupBy("nit_entidad").agg(F.max(s).alias("m"))
+    g = cand.groupBy("nit_entidad").agg(F.max(s).alias("m"))
     return g.select("nit_entidad", "m.*")
 
 
@@ -214,8 +220,9 @@ SELECT nit_entidad, nombre_entidad, n, CAST(total AS DOUBLE) AS total, media, n
   SELECT *, CAST(s1 AS DOUBLE) / CAST(meses AS DOUBLE) AS media FROM (
     SELECT *, count(*) OVER w AS meses, sum(n) OVER w AS s1 FROM (
       SELECT nit_entidad, mes_firma, count(*) AS n, sum(valor_del_contrato) AS total,
-             max(nombre_entidad) AS nombre_entidad
-      FROM {CC} WHERE nit_entidad IS NOT NULL GROUP BY 1, 2) WINDOW w AS (PARTITION BY nit_entidad)))
+             (SELECT max(x.nombre_entidad) FROM {CC} x WHERE x.nit_entidad = t.nit_entidad) AS nombre_entidad
+      FROM {CC} t WHERE nit_entidad IS NOT NULL GROUP BY t.nit_entidad, t.mes_firma)
+    WINDOW w AS (PARTITION BY nit_entidad)))
 WHERE year(mes_firma) = 1998 AND month(mes_firma) = 1 AND n >= 30 AND CAST(n AS DOUBLE) > 1.0 * media"""))
 def r33(ctx):
     """R33 buyers above their own mean monthly count in a month."""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,30 +32,46 @@ def supplier_scores(a: DataFrame) -> DataFrame:
     return _score(a, "documento_proveedor", "proveedor")
 
 
-def contract_links(c: DataFrame, a: DataFrame, p: Params = Params()) -> DataFrame:
-    """(id_contrato, codigo, severidad) for every alert that covers a
-    contract: contract-level alerts by id, group alerts by the group's keys
-    and the flag's own row predicate. One equi-join per key shape; the alert
-    side is never broadcast by hint (its size grows with the data), AQE
-    decides from runtime sizes and splits skewed keys."""
+# Alert key shapes for contract coverage: flags, key columns, row predicate.
+def _shapes(p: Params):
     nc = F.col("es_sin_competencia")
     ops = F.col("es_persona_natural") & is_service(p)
-    shapes = [
-        (["F01"], ["nit_entidad", "documento_proveedor", "anio"], nc),
-        (["F02"], ["documento_proveedor", "anio"], None),
-        (["F06"], ["documento_proveedor", "anio"], ops),
-        (["F04", "F08"], ["nit_entidad", "anio"], None),
+    return [
+        (1, ["F01"], ["nit_entidad", "documento_proveedor", "anio"], nc),
+        (2, ["F02"], ["documento_proveedor", "anio"], None),
+        (3, ["F06"], ["documento_proveedor", "anio"], ops),
+        (4, ["F04", "F08"], ["nit_entidad", "anio"], None),
     ]
-    parts = []
-    for codes, keys, pred in shapes:
-        al = a.where(F.col("codigo").isin(codes)).select(*keys, "codigo", "severidad")
-        cc = c if pred is None else c.where(pred)
-        cc = cc.where(functools.reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys]))
-        parts.append(cc.select("id_contrato", *keys).join(al, keys)
-                       .select("id_contrato", "codigo", "severidad"))
-    parts.append(a.where(F.col("codigo").isin("F09", "F10") & F.col("id_contrato").isNotNull())
-                  .select("id_contrato", "codigo", "severidad"))
-    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _key(cols: list[str]):
+    """Key text of the given columns; NULL if any part is NULL."""
+    return F.concat(*[x for c in cols for x in (F.lit("\u0001"), F.col(c).cast("string"))])
+
+
+def contract_links(c: DataFrame, a: DataFrame, p: Params = Params()) -> DataFrame:
+    """(id_contrato, codigo, severidad) for every alert that covers a
+    contract: contract-level alerts by id, group alerts by the group's keys
+    and the flag's own row predicate. One scan of the contracts: each row
+    offers one key per shape (NULL when the predicate fails or a key part is
+    NULL), and one equi-join on (shape, key) matches them with the alerts.
+    The alert side is never broadcast by hint (its size grows with the
+    data); AQE decides from runtime sizes and splits skewed keys."""
+    shapes = _shapes(p)
+    offers = F.array(*[F.struct(F.lit(k).alias("shape"),
+                                (_key(cols) if pred is None else F.when(pred, _key(cols))).alias("key"))
+                       for k, _, cols, pred in shapes])
+    ck = (c.select("id_contrato", F.explode(offers).alias("o"))
+           .select("id_contrato", "o.shape", "o.key").where(F.col("key").isNotNull()))
+    ak = None
+    for k, codes, cols, _ in shapes:
+        part = (a.where(F.col("codigo").isin(codes))
+                 .select(F.lit(k).alias("shape"), _key(cols).alias("key"), "codigo", "severidad"))
+        ak = part if ak is None else ak.unionByName(part)
+    grouped = ck.join(ak.where(F.col("key").isNotNull()), ["shape", "key"]).select("id_contrato", "codigo", "severidad")
+    direct = (a.where(F.col("codigo").isin("F09", "F10") & F.col("id_contrato").isNotNull())
+               .select("id_contrato", "codigo", "severidad"))
+    return grouped.unionByName(direct)
 
 
 def contract_scores(c: DataFrame, a: DataFrame, p: Params = Params()) -> DataFrame:

@@ -10,6 +10,7 @@ from veeduria.operators import scores as S
 from veeduria.plans import oracle as O
 from veeduria.plans.catalog import (CUSTOMER_SUPPLIER, DEFAULT, NATION_CUSTOMER, TEST, register, with_ctes)
 from veeduria.plans.context import Context
+from veeduria.session import reuse
 
 CC = O.cte_name(DEFAULT)
 CS = O.cte_name(CUSTOMER_SUPPLIER)
@@ -122,7 +123,7 @@ watch AS (SELECT nit_entidad FROM alertas WHERE nit_entidad IS NOT NULL GROUP BY
 def xw(ctx: Context):
     """XW activity of a watchlist (buyers whose score reaches 100)."""
     c = ctx.contracts(DEFAULT, TEST)
-    a = FL.run_flags_shared(c, TEST)
+    a = reuse(FL.run_flags_shared(c, TEST))     # flags run once for both consumers
     watch = S.entity_scores(a).where(F.col("score") >= 100).select(F.col("key").alias("nit_entidad"))
     return X.watchlist_activity(c, a, watch)
 

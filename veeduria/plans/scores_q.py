@@ -8,6 +8,7 @@ from veeduria.params import FLAG_DESCRIPTIONS
 from veeduria.plans import oracle as O
 from veeduria.plans.catalog import DEFAULT, TEST, alerts_df, register, with_alerts, with_ctes
 from veeduria.plans.context import Context
+from veeduria.session import reuse
 
 
 def _score_sql(key: str, label: str) -> str:
@@ -64,7 +65,8 @@ FROM (
 def m13(ctx: Context):
     """M13 contract-level score on one binding (alerts with shared aggregates)."""
     c = ctx.contracts(DEFAULT, TEST)
-    return S.contract_scores(c, FL.run_flags_shared(c, TEST), TEST)
+    a = reuse(FL.run_flags_shared(c, TEST))     # flags run once, both link kinds read it
+    return S.contract_scores(c, a, TEST)
 
 
 _DESC = ", ".join(f"({O.q(k)}, {O.q(v)})" for k, v in sorted(FLAG_DESCRIPTIONS.items()))

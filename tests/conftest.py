@@ -47,7 +47,7 @@ def make_contracts(spark, rows):
     for i, r in enumerate(rows):
         d = dict(BASE_ROW)
         d["id_contrato"] = f"C-{i}"
-        d.update(r)
+        d.update(r)   # an explicit id_contrato (also None) wins
         for k in ("valor_del_contrato", "valor_pagado", "valor_de_pago_adelantado"):
             if d[k] is not None:
                 d[k] = Decimal(str(d[k])).quantize(Decimal("0.01"))

@@ -101,3 +101,16 @@ def test_strip_all_whitespace(spark):
     assert r.x == "ACME"
     r = spark.createDataFrame([("   ",)], "s string").select(clean_supplier_name(F.col("s")).alias("x")).first()
     assert r.x is None
+
+
+def test_dedupe_hot_key_and_null_ids(contracts):
+    import datetime as dt
+    rows = [dict(id_contrato="HOT", fecha_de_firma=dt.datetime(2024, 1, 1 + i % 28), valor_del_contrato=1000 + i)
+            for i in range(300)]
+    rows += [dict(id_contrato=None, valor_del_contrato=5), dict(id_contrato=None, valor_del_contrato=6)]
+    c = contracts(rows)
+    d = dedupe(c).collect()
+    hot = [r for r in d if r.id_contrato == "HOT"]
+    assert len(hot) == 1 and hot[0].fecha_de_firma == dt.datetime(2024, 1, 28)
+    assert str(hot[0].valor_del_contrato) == "1279.00"        # latest date (i = 27 mod 28), then largest value
+    assert sorted(str(r.valor_del_contrato) for r in d if r.id_contrato is None) == ["5.00", "6.00"]

@@ -97,8 +97,10 @@ def f01_split(c: DataFrame, p: Params = Params()) -> DataFrame:
     g = (c.where(F.col("es_sin_competencia")
                  & F.col("nit_entidad").isNotNull() & F.col("documento_proveedor").isNotNull())
           .groupBy("nit_entidad", "documento_proveedor", "anio")
-          .agg(F.count(F.lit(1)).alias("n"), F.sum(_v()).alias("v"))
+          .agg(F.count(F.lit(1)).alias("n"), F.sum(_v()).alias("v"), F.max(_v()).alias("v_max"))
           .where((F.col("n") >= p.f01_min_contracts) & (F.col("v") > _d(p.f01_min_value))))
+    if p.f01_max_single_share is not None:
+        g = g.where(F.col("v_max") <= F.col("v") * _d(p.f01_max_single_share))
     g = with_labels(g, c, entity=True, supplier=True)
     det = F.concat(txt("n"), F.lit(" contratos sin competencia con la misma entidad en "), txt("anio"),
                    F.lit(" que suman $"), txt(millions("v")), F.lit("M"))
@@ -128,12 +130,20 @@ def entity_months(c: DataFrame) -> DataFrame:
              .agg(F.count(F.lit(1)).alias("n"), F.sum(_v()).alias("total")))
 
 
-def with_month_stats(m: DataFrame) -> DataFrame:
-    """Per-buyer month statistics over the whole history (empty months are
-    absent, the spike month is part of its own mean): months, Σn, Σn²."""
+def with_month_stats(m: DataFrame, fill_gaps: bool = False) -> DataFrame:
+    """Per-buyer month statistics over the whole history (the spike month is
+    part of its own mean): months, Σn, Σn². By default months without
+    contracts are absent; with ``fill_gaps`` they count as zero inside the
+    buyer's first-to-last month span, which only changes the month count
+    (zeros add nothing to Σn and Σn²), so no calendar table is needed."""
     w = Window.partitionBy("nit_entidad")
     n = F.col("n").cast("decimal(38,0)")
-    return (m.withColumn("meses", F.count(F.lit(1)).over(w))
+    if fill_gaps:
+        meses = (F.months_between(F.max("mes_firma").over(w), F.min("mes_firma").over(w)).cast("bigint")
+                 + F.lit(1))
+    else:
+        meses = F.count(F.lit(1)).over(w)
+    return (m.withColumn("meses", meses)
              .withColumn("s1", F.sum(n).over(w))
              .withColumn("s2", F.sum(n * n).over(w)))
 
@@ -142,7 +152,7 @@ def f03_spike(c: DataFrame, p: Params = Params()) -> DataFrame:
     """F03 monthly spike: z = (n - mean) / sd_pop >= k over the buyer's own
     months. Tested exactly in integers:
     n*m - S1 >= 0  and  (n*m - S1)^2 >= k^2 * (m*S2 - S1^2)."""
-    s = with_month_stats(entity_months(c))
+    s = with_month_stats(entity_months(c), p.f03_fill_gaps)
     m = F.col("meses").cast("decimal(38,0)")
     n = F.col("n").cast("decimal(38,0)")
     dev = n * m - F.col("s1")
@@ -323,12 +333,15 @@ def run_flags_shared(c: DataFrame, p: Params = Params()) -> DataFrame:
     base = (c.groupBy("nit_entidad", "documento_proveedor", "anio")
              .agg(F.count(F.lit(1)).alias("n"), F.sum(_v()).alias("v"),
                   F.count(F.when(nc, 1)).alias("n_nc"), F.sum(F.when(nc, _v())).alias("v_nc"),
+                  F.max(F.when(nc, _v())).alias("vmax_nc"),
                   F.count(F.when(ops, 1)).alias("n_ops"), F.sum(F.when(ops, _v())).alias("v_ops")))
     base = reuse(base)
     ent, sup = entity_labels(c), supplier_labels(c)
     # F01
     f01 = (base.where(F.col("nit_entidad").isNotNull() & F.col("documento_proveedor").isNotNull()
                       & (F.col("n_nc") >= p.f01_min_contracts) & (F.col("v_nc") > _d(p.f01_min_value))))
+    if p.f01_max_single_share is not None:
+        f01 = f01.where(F.col("vmax_nc") <= F.col("v_nc") * _d(p.f01_max_single_share))
     f01 = f01.join(ent, "nit_entidad").join(sup, "documento_proveedor")
     det01 = F.concat(txt("n_nc"), F.lit(" contratos sin competencia con la misma entidad en "), txt("anio"),
                      F.lit(" que suman $"), txt(millions("v_nc")), F.lit("M"))

@@ -61,6 +61,9 @@ class Params:
     # F01 possible splitting
     f01_min_contracts: int = 5
     f01_min_value: int = 500_000_000
+    # optional guard (off by default): skip groups where one contract carries
+    # more than this share of the value (one huge contract plus small ones)
+    f01_max_single_share: float | None = None
     # F02 billing jump vs previous calendar year
     f02_factor: int = 10
     f02_min_value: int = 500_000_000
@@ -68,6 +71,8 @@ class Params:
     f03_min_months: int = 4
     f03_min_contracts: int = 20
     f03_min_z: float = 3.0
+    # option: months without contracts inside a buyer's span count as zero
+    f03_fill_gaps: bool = False
     # F04 HHI concentration
     f04_min_hhi: float = 0.5
     f04_min_contracts: int = 10

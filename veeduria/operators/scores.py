@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veeduria.operators.derive import is_service
@@ -17,9 +17,25 @@ def _score(a: DataFrame, key: str, label: str) -> DataFrame:
           .agg(F.max(label).alias("label"), F.sum("severidad").alias("raw_score"),
                F.count(F.lit(1)).alias("n_alertas"), F.sum("valor_cop").alias("valor_bajo_alerta"),
                F.sort_array(F.collect_set("codigo")).alias("banderas")))
+    g = with_percent_rank(g, "raw_score")
     return g.select(F.col(key).alias("key"), "label",
                     F.least(F.lit(SCORE_CAP).cast("bigint"), F.col("raw_score")).cast("int").alias("score"),
-                    "raw_score", "n_alertas", "valor_bajo_alerta", "banderas")
+                    "raw_score", "pct_rank", "n_alertas", "valor_bajo_alerta", "banderas")
+
+
+def with_percent_rank(g: DataFrame, col: str) -> DataFrame:
+    """``percent_rank()`` over ``col`` without a single-partition window over
+    all rows: the window runs over the table of distinct values (raw scores
+    are small integers, so it has a few hundred rows at most) and the result
+    is joined back. (rank - 1) / (n - 1) as SQL defines it; 0 for n = 1."""
+    dist = g.groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
+    below = Window.orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
+    total = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    dist = dist.select(col, F.coalesce(F.sum("_c").over(below), F.lit(0)).alias("_below"),
+                       F.sum("_c").over(total).alias("_n"))
+    pr = F.when(F.col("_n") > 1, F.col("_below").cast("double") / (F.col("_n") - 1).cast("double")) \
+          .otherwise(F.lit(0.0))
+    return g.join(dist.select(col, pr.alias("pct_rank")), col)
 
 
 def entity_scores(a: DataFrame) -> DataFrame:

@@ -14,7 +14,8 @@ from veeduria.session import reuse
 def _score_sql(key: str, label: str) -> str:
     return with_alerts(
         f"SELECT {key} AS key, max({label}) AS label, CAST(least(100, sum(severidad)) AS INTEGER) AS score,"
-        f" CAST(sum(severidad) AS BIGINT) AS raw_score, count(*) AS n_alertas,"
+        f" CAST(sum(severidad) AS BIGINT) AS raw_score,"
+        f" percent_rank() OVER (ORDER BY sum(severidad)) AS pct_rank, count(*) AS n_alertas,"
         f" CAST(sum(valor_cop) AS DOUBLE) AS valor_bajo_alerta,"
         f" array_to_string(list_sort(list(DISTINCT codigo)), ',') AS banderas"
         f" FROM alertas WHERE {key} IS NOT NULL GROUP BY {key}")

@@ -160,6 +160,8 @@ def f03_spike(c: DataFrame, p: Params = Params()) -> DataFrame:
     k2 = _d(Decimal(str(p.f03_min_z)) ** 2)
     hit = s.where((F.col("meses") >= p.f03_min_months) & (var_m2 > 0)
                   & (F.col("n") >= p.f03_min_contracts) & (dev >= 0) & (dev * dev >= k2 * var_m2))
+    if p.f03_months:
+        hit = hit.where(F.month("mes_firma").isin(list(p.f03_months)))
     hit = with_labels(hit, c, entity=True)
     media = F.col("s1").cast("double") / F.col("meses").cast("double")
     sd = F.sqrt((m * F.col("s2") - F.col("s1") * F.col("s1")).cast("double")) / F.col("meses").cast("double")

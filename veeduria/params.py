@@ -73,6 +73,9 @@ class Params:
     f03_min_z: float = 3.0
     # option: months without contracts inside a buyer's span count as zero
     f03_fill_gaps: bool = False
+    # option: only spikes in these calendar months count (e.g. the month
+    # before an electoral restriction); None = any month, as published
+    f03_months: tuple[int, ...] | None = None
     # F04 HHI concentration
     f04_min_hhi: float = 0.5
     f04_min_contracts: int = 10

@@ -120,7 +120,28 @@ def f02_jump(c: DataFrame, p: Params = Params()) -> DataFrame:
     """F02 billing jump vs the previous calendar year (a gap year never
     counts as 'previous'): equi self-join on (doc, year = year' + 1) of the
     small yearly aggregate."""
-    return _f02_from_years(supplier_years(c), p, supplier_labels(c))
+    return _f02(supplier_years(c), p, supplier_labels(c))
+
+
+def _f02(y: DataFrame, p: Params, labels: DataFrame) -> DataFrame:
+    return _f02_history(y, p, labels) if p.f02_history_mean else _f02_from_years(y, p, labels)
+
+
+def _f02_history(y: DataFrame, p: Params, labels: DataFrame) -> DataFrame:
+    """F02 variant: total against the mean of all earlier years of the
+    supplier (window over the small supplier-year aggregate)."""
+    w = Window.partitionBy("documento_proveedor").orderBy("anio").rowsBetween(Window.unboundedPreceding, -1)
+    h = (y.withColumn("prev_sum", F.sum("total").over(w)).withColumn("prev_n", F.count(F.lit(1)).over(w))
+          .where(F.col("prev_n") > 0)
+          .where((F.col("total") * F.col("prev_n") > F.col("prev_sum") * _d(p.f02_factor))
+                 & (F.col("total") > _d(p.f02_min_value))))
+    h = h.join(labels, "documento_proveedor")
+    mean = F.col("prev_sum").cast("double") / F.col("prev_n").cast("double")
+    det = F.concat(F.lit("Facturó $"), txt(millions("total")), F.lit("M en "), txt("anio"),
+                   F.lit(" vs media histórica de $"), txt(F.round(mean / F.lit(1e6), 0).cast("bigint")),
+                   F.lit("M ("), fixed(F.col("total").cast("double") / mean, 1), F.lit("x)"))
+    return h.select(*alert("F02", proveedor=F.col("pr"), documento_proveedor=F.col("documento_proveedor"),
+                           anio=F.col("anio"), detalle=det, valor_cop=F.col("total")))
 
 
 def entity_months(c: DataFrame) -> DataFrame:
@@ -354,7 +375,7 @@ def run_flags_shared(c: DataFrame, p: Params = Params()) -> DataFrame:
     ys = (base.where(F.col("documento_proveedor").isNotNull())
               .groupBy("documento_proveedor", "anio")
               .agg(F.sum("v").alias("total")))
-    f02 = _f02_from_years(ys, p, sup)
+    f02 = _f02(ys, p, sup)
     # F04
     pairs = (base.where(F.col("nit_entidad").isNotNull())
                  .select("nit_entidad", "anio", "documento_proveedor", F.col("v").alias("v_prov"),

@@ -67,6 +67,9 @@ class Params:
     # F02 billing jump vs previous calendar year
     f02_factor: int = 10
     f02_min_value: int = 500_000_000
+    # option: compare with the mean of all earlier years ("history") instead
+    # of the previous calendar year (published)
+    f02_history_mean: bool = False
     # F03 monthly spike
     f03_min_months: int = 4
     f03_min_contracts: int = 20

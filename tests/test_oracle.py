@@ -28,3 +28,15 @@ def test_query_matches_oracle(spark, con, name):
         assert res[0] == "OK", res
     else:
         assert res[0] == "rows-only", res
+
+
+SPARK_TO_DUCK = {"string": "VARCHAR", "double": "DOUBLE", "bigint": "BIGINT", "int": "INTEGER",
+                 "boolean": "BOOLEAN"}
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_output_types_match_oracle(spark, con, name):
+    df = E.queries()[name](spark, SF_SMALL)
+    st = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    dt = {d[0]: str(d[1]) for d in con.execute(f"SELECT * FROM ({SQL[name]}) LIMIT 0").description}
+    assert st == dt

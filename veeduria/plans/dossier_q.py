@@ -64,8 +64,8 @@ top AS (SELECT *, row_number() OVER (ORDER BY {ORDER_SQL}) AS rank FROM ({top}))
 ev AS ({ev}),
 evr AS (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY valor_del_contrato DESC, id_contrato ASC,
           proceso_de_compra ASC, fecha_de_firma ASC, objeto_del_contrato ASC NULLS LAST) AS ev_rank FROM ev)
-SELECT t.rank, t.codigo, t.bandera, t.nombre_entidad AS a_entidad, t.proveedor AS a_proveedor, t.anio AS a_anio,
-       t.detalle, CAST(t.valor_cop AS DOUBLE) AS valor_cop, t.severidad, e.ev_rank, e.id_contrato,
+SELECT CAST(t.rank AS INTEGER) AS rank, t.codigo, t.bandera, t.nombre_entidad AS a_entidad, t.proveedor AS a_proveedor, t.anio AS a_anio,
+       t.detalle, CAST(t.valor_cop AS DOUBLE) AS valor_cop, t.severidad, CAST(e.ev_rank AS INTEGER) AS ev_rank, e.id_contrato,
        e.proceso_de_compra, CAST(CAST(e.fecha_de_firma AS DATE) AS VARCHAR) AS firma, e.nombre_entidad,
        e.proveedor_adjudicado, e.modalidad_de_contratacion AS modalidad,
        CAST(round(e.valor_del_contrato / 1000000) AS BIGINT) AS millones, e.dias_adicionados,

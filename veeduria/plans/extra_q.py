@@ -21,8 +21,8 @@ THRESHOLD = 50_000
 @register("x05_bunching", with_ctes(f"""
 SELECT nit_entidad, n_90, n_80, CAST(n_90 AS DOUBLE) / CAST(n_80 AS DOUBLE) AS ratio FROM (
   SELECT nit_entidad,
-         count_if(valor_del_contrato >= {THRESHOLD * 0.9} AND valor_del_contrato < {THRESHOLD}) AS n_90,
-         count_if(valor_del_contrato >= {THRESHOLD * 0.8} AND valor_del_contrato < {THRESHOLD * 0.9}) AS n_80
+         CAST(count_if(valor_del_contrato >= {THRESHOLD * 0.9} AND valor_del_contrato < {THRESHOLD}) AS BIGINT) AS n_90,
+         CAST(count_if(valor_del_contrato >= {THRESHOLD * 0.8} AND valor_del_contrato < {THRESHOLD * 0.9}) AS BIGINT) AS n_80
   FROM {CC} WHERE nit_entidad IS NOT NULL GROUP BY 1) WHERE n_80 >= 1"""))
 def x05(ctx: Context):
     """X05 values bunched under a threshold."""
@@ -33,7 +33,7 @@ _EXP = ", ".join(f"({d}, CAST({repr(v)} AS DOUBLE))" for d, v in sorted(X.BENFOR
 
 
 @register("xb_benford", with_ctes(f"""
-SELECT g.digito, g.nit_entidad, g.total, CAST(coalesce(d.n, 0) AS BIGINT) AS n, e.esperado,
+SELECT CAST(g.digito AS INTEGER) AS digito, g.nit_entidad, g.total, CAST(coalesce(d.n, 0) AS BIGINT) AS n, e.esperado,
        CAST(coalesce(d.n, 0) AS DOUBLE) / CAST(g.total AS DOUBLE) AS observado,
        abs(CAST(coalesce(d.n, 0) AS DOUBLE) / CAST(g.total AS DOUBLE) - e.esperado) AS desvio
 FROM (SELECT t.nit_entidad, t.total, r.digito FROM t, (SELECT unnest(range(1, 10)) AS digito) r) g
@@ -180,7 +180,7 @@ _vsc = " + ".join(f"CASE WHEN objeto_del_contrato ILIKE {O.q(p)} THEN {w} ELSE 0
 
 
 @register("xv_vague", with_ctes(f"""
-SELECT nit_entidad, count(*) AS n, count_if(v > 0) AS n_vagos, CAST(sum(v) AS BIGINT) AS puntaje FROM (
+SELECT nit_entidad, count(*) AS n, CAST(count_if(v > 0) AS BIGINT) AS n_vagos, CAST(sum(v) AS BIGINT) AS puntaje FROM (
   SELECT nit_entidad, {_vsc} AS v FROM {CC} WHERE nit_entidad IS NOT NULL) GROUP BY 1"""))
 def xv(ctx: Context):
     """XV weighted vagueness score of object texts per buyer."""

@@ -184,11 +184,11 @@ _ops = f"({_svc} AND es_persona_natural)"
 
 
 @register("r31_composition", with_ctes(f"""
-SELECT count(*) AS n, count_if({_svc}) AS n_servicios, count_if(es_persona_natural) AS n_natural,
+SELECT count(*) AS n, CAST(count_if({_svc}) AS BIGINT) AS n_servicios, CAST(count_if(es_persona_natural) AS BIGINT) AS n_natural,
   CAST(sum(CASE WHEN es_persona_natural THEN valor_del_contrato END) AS DOUBLE) AS v_natural,
-  count_if(es_sin_competencia) AS n_sin_competencia, count_if({_vag}) AS n_vaga,
+  CAST(count_if(es_sin_competencia) AS BIGINT) AS n_sin_competencia, CAST(count_if({_vag}) AS BIGINT) AS n_vaga,
   CAST(sum(CASE WHEN {_vag} THEN valor_del_contrato END) AS DOUBLE) AS v_vaga,
-  count(DISTINCT documento_proveedor) AS proveedores, count_if({_ops}) AS n_ops,
+  count(DISTINCT documento_proveedor) AS proveedores, CAST(count_if({_ops}) AS BIGINT) AS n_ops,
   CAST(sum(CASE WHEN {_ops} THEN valor_del_contrato END) AS DOUBLE) AS v_ops,
   100.0 * count_if({_svc}) / count(*) AS pct_servicios, 100.0 * count_if(es_persona_natural) / count(*) AS pct_natural,
   100.0 * count_if(es_sin_competencia) / count(*) AS pct_sin_competencia,
@@ -205,7 +205,7 @@ FT_MONTH = "1995-06"
 
 @register("r32_first_time", with_ctes(f"""
 SELECT documento_proveedor, CAST(min(fecha_de_firma) AS VARCHAR) AS primera,
-  count_if(anio = 1995 AND mes = 6) AS n_mes,
+  CAST(count_if(anio = 1995 AND mes = 6) AS BIGINT) AS n_mes,
   CAST(sum(CASE WHEN anio = 1995 AND mes = 6 THEN valor_del_contrato END) AS DOUBLE) AS valor_mes
 FROM {O.cte_name(NATION_CUSTOMER)} WHERE documento_proveedor IS NOT NULL GROUP BY documento_proveedor
 HAVING count_if(anio = 1995 AND mes = 6) > 0 AND CAST(min(fecha_de_firma) AS DATE) >= DATE '1995-06-01'""",

@@ -36,7 +36,7 @@ def get_spark(master: str | None = None, app: str = "veeduria",
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if master and master.startswith("local"):
-        conf.setdefault("spark.driver.memory", os.environ.get("VEEDURIA_DRIVER_MEMORY", "16g"))
+        conf.setdefault("spark.driver.memory", os.environ.get("VEEDURIA_DRIVER_MEMORY", "4g"))
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -58,6 +58,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="veeduria-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
@@ -79,4 +81,14 @@ def reuse(df):
 
     path = scratch_table_dir(df.sparkSession, f"reuse_{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_written(df) -> None:
+    """Delete the scratch tables that ``df`` reads, once nothing needs them."""
+    spark = df.sparkSession
+    tables = scratch_table_dir(spark, "")
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/tables/reuse_" in folder and tables.rstrip("/").rpartition("/")[2] in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

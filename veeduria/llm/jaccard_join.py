@@ -83,18 +83,18 @@ def identity(s: np.ndarray) -> tuple[int, int]:
 
 
 def candidates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Per document: id, set size, class (c1, c2), and whether enough of its
-    shingles recur (``maybe``)."""
-    def hashes(doc_id, text):
+    """Per document: id, hash of the text, set size, class (c1, c2), and
+    whether enough of its shingles recur (``maybe``)."""
+    def hashes(doc_id, text_key, text):
         s = shingles(text)
-        return s, (doc_id, len(s), *identity(s))
+        return s, (doc_id, text_key, len(s), *identity(s))
 
     def finish(meta, mask):
-        n = meta[1]
+        n = meta[2]
         return [(*meta, bool(n) and 100 * int(mask.sum()) >= percent * n)]
 
-    return mark_recurring(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), hashes, finish,
-                          "doc_id long, n_shingles long, c1 long, c2 long, maybe boolean")
+    return mark_recurring(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text"), "text"), hashes,
+                          finish, "doc_id long, text_key long, n_shingles long, c1 long, c2 long, maybe boolean")
 
 
 def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -245,16 +245,39 @@ def links(sets: DataFrame, cluster: DataFrame, percent: int = PERCENT, block: in
 
 
 def components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK_SHINGLES) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, and the class
-    (c1, c2) that equal sets share."""
+    """Per document: doc_id, n_shingles, component_id, a hash of its text and
+    ``label``, the component's number (null for a document without words)."""
     every = reuse(candidates(docs, percent))
     classes = reuse(every.where("maybe").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")))
     sets = reuse(sets_of(docs, classes))
     found = reuse(links(sets, clusters(sets, percent), percent, block))
     label = connected_components(found, "a", "b").select(F.col("node").alias("c1"), "component")
-    named = classes.join(label, "c1", "left").withColumn("component", F.coalesce("component", "c1"))
-    names = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(names, "component").select(F.col("c1").alias("_c1"), F.col("c2").alias("_c2"), "component_id")
+    named = classes.join(label, "c1", "left").withColumn("label", F.coalesce("component", "c1"))
+    names = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+    named = named.join(names, "label").select(F.col("c1").alias("_c1"), F.col("c2").alias("_c2"), "component_id", "label")
     return (every.join(named, (F.col("c1") == F.col("_c1")) & (F.col("c2") == F.col("_c2"))
                        & (F.col("n_shingles") > 0), "left")
-                 .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "c1", "c2"))
+                 .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_key",
+                         F.when(F.col("n_shingles") > 0, F.coalesce("label", "c1")).alias("label")))
+
+
+def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, all columns: of each component the document
+    with the smallest id, and every document without words."""
+    c = reuse(components(docs, percent))
+    first = c.where("label is not null").groupBy("label").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("f")).select("f.doc_id", "f.text_key")
+    bare = c.where("label is null").select("doc_id", "text_key").distinct()
+    rows = c.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("size"))
+    keep = reuse(first.unionByName(bare).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).join(
+        rows, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key")))
+        .select("_id", "_key", ((F.col("n") > 1) & (F.col("size") > 0)).alias("_repeated")))
+
+    def chosen(k):
+        return docs.join(k, docs["doc_id"].cast("long").eqNullSafe(k["_id"])
+                         & (F.xxhash64(docs["text"]) == k["_key"]), "left_semi")
+    if keep.where("_repeated").isEmpty():
+        return chosen(keep)
+    # rows equal in id and text are copies too: one of them stays
+    return chosen(keep.where("not _repeated")).unionByName(
+        chosen(keep.where("_repeated")).dropDuplicates(["doc_id", "text"]))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veeduria.llm import (fingerprints, langid, license_scan, mixing, packing, quality, token_orc)
+from veeduria.llm import (fingerprints, html_text, jaccard_join, langid, license_scan, mixing, packing, quality,
+                          substring_dedup, token_orc)
 from veeduria.llm.common import table
 
 
@@ -18,6 +19,14 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.report(table(spark, sf_dir, "documents"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(table(spark, sf_dir, "documents"))
+
+
 def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -34,6 +43,10 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -44,10 +57,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_html_text": op2_html_text,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_token_orc": op4_token_orc,
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,
     "op7_langid": op7_langid,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_mixing": op10_mixing,
 }

@@ -12,13 +12,16 @@ from __future__ import annotations
 
 import re
 
-# Where a single space has white space before or after it, or the text starts
-# or ends with white space, cutting at spaces could change pre-tokens.
-_UNSAFE_SPACE = re.compile(r" \s|\s |^\s|\s\Z")
-_ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
+import numpy as np
+
+# Where a space has white space before or after it, or the text starts or
+# ends with white space, cutting at spaces could change pre-tokens.
+_UNSAFE = tuple({p for c in " \t\n\x0b\x0c\r" for p in (" " + c, c + " ")})
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ODD_ASCII = re.compile("[\x1c-\x1f]")
 _RUNS = re.compile(r"[ \t\n\x0b\f\r]*[^ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+")
 
-KEEP_CHUNKS = 400_000
+KEEP_CHUNKS = 1_200_000
 KEEP_CHARS = 48
 
 
@@ -27,6 +30,9 @@ class Encoder:
 
     ``drops_space``: the tokenizer discards white space (word vocabularies),
     so words are the chunks; else a chunk is a word with the space before it.
+    New chunks are encoded many at a time, set apart by a bar after a space,
+    which is a pre-token of its own with one id; chunks with a bar, and those
+    that could join it because they start with a sign, are encoded alone.
     """
 
     def __init__(self, path: str, drops_space: bool):
@@ -35,43 +41,69 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.drops_space = drops_space
-        self.known: dict = {}
+        self.joint = " | " if drops_space else " |"
+        (self.mark_id,) = self._ids(" |")
+        self.known: dict[str, bytes] = {}       # word -> ids of the word (with a space before it)
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        import numpy as np
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-        encoded = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
+    def _whole(self, text: str) -> bytes:
+        return np.array(self._ids(text), "<u4").tobytes()
 
-    def _chunks(self, text: str) -> list[str] | None:
+    def _together(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks without the mark, in one call."""
+        ids = np.array(self._ids(self.joint.join(chunks)), "<u4")
+        at = np.flatnonzero(ids == self.mark_id)
+        data, first, last = ids.tobytes(), np.r_[0, at + 1] * 4, np.r_[at, len(ids)] * 4
+        return [data[a:b] for a, b in zip(first.tolist(), last.tolist())]
+
+    def _encode(self, chunks: list[str]) -> list[bytes]:
+        plain = [self.drops_space or c[0].isspace() or c[0].isalpha() for c in chunks]
+        plain = [p and "|" not in c for p, c in zip(plain, chunks)]
+        ids = iter([x for part in _parts([c for c, p in zip(chunks, plain) if p], 20_000) for x in self._together(part)])
+        return [next(ids) if p else self._whole(c) for c, p in zip(chunks, plain)]
+
+    def _cut(self, text: str) -> list[str] | None:
+        """Keys of the chunks: words, or words with the space before them cut
+        off; chunks as they are (the first word) are marked by a space."""
         if not text:
             return []
+        odd = not text.isascii() and _ODD_SPACE.search(text) or _ODD_ASCII.search(text)
         if self.drops_space:
-            return [w.decode() for w in text.encode().split()] if _ODD_SPACE.search(text) else text.split()
-        if not _UNSAFE_SPACE.search(text):
-            first, *rest = text.split(" ")
-            return [first, *[" " + w for w in rest]]
-        return None if _ODD_SPACE.search(text) else _RUNS.findall(text)
+            return [w.decode() for w in text.encode().split()] if odd else text.split()
+        if odd:
+            return None
+        if any(p in text for p in _UNSAFE) or text[0].isspace() or text[-1].isspace():
+            return [" " + c for c in _RUNS.findall(text)]
+        words = text.split(" ")
+        words[0] = " " + words[0]
+        return words
+
+    def _chunk(self, key: str) -> str:
+        if self.drops_space:
+            return key
+        return key[1:] if key[0] == " " else " " + key
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: none) as little-endian 32-bit integers."""
-        cut = [self._chunks(t or "") for t in texts]
+        cut = [self._cut(t or "") for t in texts]
         if len(self.known) > KEEP_CHUNKS:
             self.known.clear()
         known, long = self.known, {}
-        new = set().union(*[c for c in cut if c]).difference(known)
-        for part in _parts(list(new), 20_000):
-            for chunk, ids in zip(part, self._encode(part)):
-                (known if len(chunk) <= KEEP_CHARS else long)[chunk] = ids
-        out = []
-        for text, chunks in zip(texts, cut):
-            if chunks is None:
-                out.append(self._encode([text])[0])
-            elif long:
-                out.append(b"".join([known[c] if c in known else long[c] for c in chunks]))
-            else:
-                out.append(b"".join(map(known.__getitem__, chunks)))
-        return out
+        new = list(set().union(*[w for w in cut if w]).difference(known))
+        for w, ids in zip(new, self._encode([self._chunk(w) for w in new])):
+            (known if len(w) <= KEEP_CHARS else long)[w] = ids
+        table = known if not long else _Both(known, long)
+        return [self._whole(t) if w is None else b"".join(map(table.__getitem__, w)) for t, w in zip(texts, cut)]
+
+
+class _Both:
+    def __init__(self, known: dict, long: dict):
+        self.known, self.long = known, long
+
+    def __getitem__(self, key):
+        return self.known[key] if key in self.known else self.long[key]
 
 
 def _parts(items: list, n: int):

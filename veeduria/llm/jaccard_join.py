@@ -97,21 +97,47 @@ def candidates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                           finish, "doc_id long, text_key long, n_shingles long, c1 long, c2 long, maybe boolean")
 
 
+MAP_BITS = 1 << 24
+
+
+def id_bitmap(rows: DataFrame) -> np.ndarray:
+    """Bitmap of ``MAP_BITS`` bits of the rows' hashes ``h``: 2 MB at most,
+    whatever the number of rows."""
+    bit = (F.pmod("h", F.lit(MAP_BITS)) + 1).alias("bit")
+    got = (rows.select(bit).groupBy(F.bitmap_bucket_number("bit").alias("k"))
+               .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("m")).collect())
+    out = np.zeros((MAP_BITS // 32_768 + 2, 4096), np.uint8)
+    for r in got:
+        out[r["k"]] = np.frombuffer(r["m"], np.uint8)
+    return np.unpackbits(out[1:].reshape(-1), bitorder="little")
+
+
 def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Shingle sets (c1, c2, n, tokens) of the classes' first documents."""
+    """Shingle sets (c1, c2, n, tokens) of the classes' first documents.
+
+    Texts are not shuffled: the scan skips the documents whose id is not in
+    a bitmap of the first documents' ids, and the sets that a shared bit lets
+    through are dropped by their class. A text that several documents of a
+    task share is emitted once."""
+    bits = np.packbits(id_bitmap(classes.select(F.xxhash64(F.col("rep").cast("long")).alias("h"))))
+
     def run(batches):
+        known = np.unpackbits(bits)
+        seen = set()
         for b in batches:
             rows = []
-            for text in b.column(0).to_pylist():
-                s = shingles(text)
-                rows.append((*identity(s), len(s), s.view(np.int64)))
-            cols = list(zip(*rows))
+            for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if known[h]:
+                    s = shingles(text)
+                    key = identity(s)
+                    if key not in seen:
+                        seen.add(key)
+                        rows.append((*key, len(s), s.view(np.int64)))
+            cols = list(zip(*rows)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))],
                 names=["c1", "c2", "n", "tokens"])
-    first = classes.select(F.col("rep").alias("_rep")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(
-        first, F.col("_id").eqNullSafe(F.col("_rep")), "left_semi").select("text")
+    texts = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(MAP_BITS)).alias("h"), "text")
     return texts.mapInArrow(run, "c1 long, c2 long, n long, tokens array<long>").join(
         classes.select("c1", "c2"), ["c1", "c2"], "left_semi")
 
@@ -210,8 +236,7 @@ def forest(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int
 
 def links(sets: DataFrame, cluster: DataFrame, percent: int = PERCENT, block: int = BLOCK_SHINGLES) -> DataFrame:
     """(a, b): spanning forests of the links within all clusters."""
-    x = sets.select("c1", "c2", "n", "tokens").join(cluster, "c1")
-    sized = x.select("c1", "c2", "n", "cluster").distinct()
+    sized = sets.select("c1", "c2", "n").distinct().join(cluster, "c1")
     upto = F.sum("n").over(Window.partitionBy("cluster").orderBy("n", "c1", "c2")
                            .rowsBetween(Window.unboundedPreceding, -1))
     sized = reuse(sized.withColumn("block", F.floor(F.coalesce(upto, F.lit(0)) / block)))
@@ -228,7 +253,9 @@ def links(sets: DataFrame, cluster: DataFrame, percent: int = PERCENT, block: in
     pairs = (pairs.withColumn("partners", F.max("right").over(alone))
                   .where((F.col("left") < F.col("right")) | (F.col("partners") == F.col("left"))).select("cluster", "left", "right"))
     sides = pairs.select("cluster", "left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
-    placed = x.join(sized.select("c1", "c2", "block"), ["c1", "c2"]).join(sides, ["cluster", "block"])
+    # narrow rows first: the sets move once to their class and once to their task
+    places = reuse(sized.select("c1", "c2", "cluster", "block").join(sides, ["cluster", "block"]))
+    placed = sets.select("c1", "c2", "tokens").join(places, ["c1", "c2"])
 
     def run(table: pa.Table) -> pa.Table:
         rows = {}

@@ -3,7 +3,7 @@
 Each task walks its documents in chunks. Hashes that repeat within a chunk
 are known at once; every other hash is sent, as 32 bits of it, to the bucket
 that its remaining bits name, packed with the hashes of the same chunk and
-bucket in one binary row. A hash that a third of all documents carry
+bucket in one binary row (places as gaps, in byte planes that compress). A hash that a third of all documents carry
 therefore leaves a task once per chunk. The bucket tells which of the sent
 hashes came from elsewhere too, and one row per chunk and bucket goes back
 to the chunk. Cutting hashes to 32 bits and a bucket can only report too
@@ -34,6 +34,20 @@ def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
                                       names=[n for n, _ in fields])
 
 
+def _gaps(at: np.ndarray) -> bytes:
+    """Increasing places as gaps: low bytes first, then the higher planes."""
+    gaps = np.diff(at, prepend=np.uint32(0)).astype("<u4")
+    width = 2 if not len(gaps) or gaps.max() < 1 << 16 else 4
+    return bytes([width]) + np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 4)[:, :width].T).tobytes()
+
+
+def _places(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    gaps = np.zeros((planes.shape[1], 4), np.uint8)
+    gaps[:, :data[0]] = planes.T
+    return np.cumsum(gaps.reshape(-1).view("<u4"), dtype=np.uint32)
+
+
 def _packed(meta: list[tuple], sizes: list[int], local: np.ndarray) -> bytes:
     import pickle
 
@@ -63,13 +77,14 @@ def mark_recurring(docs: DataFrame, hashes: Callable, finish: Callable, schema:
             place[inverse] = np.arange(len(every), dtype="<u4")       # right where a value is single
             rows = []
             many = np.flatnonzero(counts > 1)
-            once, many = (x[np.argsort(home[x], kind="stable")] for x in (once, many))
+            once = once[np.lexsort((place[once], home[once]))]
+            many = many[np.argsort(home[many], kind="stable")]
             ids = np.arange(buckets + 1)
             once_at, many_at = np.searchsorted(home[once], ids), np.searchsorted(home[many], ids)
             for b in range(buckets):
                 o, m = once[once_at[b]:once_at[b + 1]], many[many_at[b]:many_at[b + 1]]
                 if len(o) or len(m):
-                    rows.append((b, chunk, place[o].tobytes(), cut[o].tobytes(), cut[m].tobytes(), None))
+                    rows.append((b, chunk, _gaps(place[o]), cut[o].tobytes(), cut[m].tobytes(), None))
             rows.append((chunk % buckets, chunk, None, None, None, _packed(meta, [len(a) for a in arrays], local)))
             return _rows(_SENT, rows)
 
@@ -100,7 +115,7 @@ def mark_recurring(docs: DataFrame, hashes: Callable, finish: Callable, schema:
                 hit = again[i:i + len(c)]
                 i += len(c) + 2 * len(k)
                 if hit.any():
-                    out.append((chunk, np.frombuffer(at, "<u4")[hit].tobytes(), None))
+                    out.append((chunk, _gaps(_places(at)[hit]), None))
         return pa.Table.from_batches([_rows(_FOUND, out)])
 
     def gather(table: pa.Table) -> pa.Table:
@@ -111,7 +126,7 @@ def mark_recurring(docs: DataFrame, hashes: Callable, finish: Callable, schema:
         mask = np.unpackbits(np.frombuffer(local, np.uint8), count=n).astype(bool)
         for a in at:
             if a is not None:
-                mask[np.frombuffer(a, "<u4")] = True
+                mask[_places(a)] = True
         rows, i = [], 0
         for m, size in zip(metas, sizes):
             rows += finish(m, mask[i:i + size])

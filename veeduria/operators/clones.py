@@ -9,10 +9,9 @@ Near: MinHash over word k-shingles of the whole text. Shingle hashes are
 exploded and the signature is a plain hash aggregate of ``min`` columns
 (codegen, map-side partial). LSH bands put similar texts in a common bucket;
 a bucket never emits pairs: each member gets one edge to the bucket's
-smallest id, and connected components join overlapping buckets. Each
-member is then verified by the exact Jaccard similarity of its shingle set
-with its component's representative (one join on (representative,
-shingle)); members under the threshold are dropped from the group.
+smallest id. Every such edge is verified by the exact Jaccard similarity of
+its two shingle sets (one join on (id, shingle)); the groups are the
+connected components of the edges that pass.
 """
 
 from __future__ import annotations
@@ -69,9 +68,11 @@ def minhash(sh: DataFrame, num_perm: int = 32, seed: int = 7) -> DataFrame:
 
 def near_clones(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, k: int = 5,
                 bands: int = 8, rows: int = 4) -> DataFrame:
-    """(id, grupo, jaccard): documents whose shingle set has Jaccard >=
-    ``threshold`` with their group's representative (smallest id of the LSH
-    component); representatives themselves are listed with jaccard 1."""
+    """(id, grupo, jaccard): documents with a verified link of Jaccard >=
+    ``threshold`` to another one, the smallest id of their component of
+    verified links, and the highest Jaccard of their links. A document
+    without a partner is not listed. Candidates come from MinHash, so a link
+    may be missed if no band pairs its two ends with a common smallest id."""
     sh = reuse(shingle_hashes(df, id_col, text_col, k))     # four consumers below
     sig = minhash(sh, bands * rows)
     keys = F.array(*[F.struct(F.lit(b).alias("band"),
@@ -82,15 +83,16 @@ def near_clones(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.
                 .where(F.col("n") >= 2))
     edges = bk.join(bucket, ["band", "key"]).where(F.col("id") != F.col("rep")) \
               .select(F.col("id").alias("src"), F.col("rep").alias("dst")).distinct()
-    cc = connected_components(edges)
-    # exact Jaccard of each member against the component representative
-    member = cc.select(F.col("node").alias("id"), F.col("component").alias("grupo"))
+    # exact Jaccard of every candidate edge; only edges that pass count
     size = sh.groupBy("id").agg(F.count(F.lit(1)).alias("ns"))
-    rep_sh = sh.select(F.col("id").alias("grupo"), "h")
-    inter = (sh.join(member, "id").join(rep_sh, ["grupo", "h"])
-               .groupBy("id", "grupo").agg(F.count(F.lit(1)).alias("inter")))
-    j = (inter.join(size, "id")
-              .join(size.select(F.col("id").alias("grupo"), F.col("ns").alias("nr")), "grupo")
-              .withColumn("jaccard", F.col("inter") / (F.col("ns") + F.col("nr") - F.col("inter"))))
-    return (j.where(F.col("jaccard") >= threshold)
-             .select(F.col("id").alias(id_col), "grupo", "jaccard"))
+    inter = (sh.join(edges, sh["id"] == edges["src"]).select("src", "dst", "h")
+               .join(sh.select(F.col("id").alias("dst"), "h"), ["dst", "h"])
+               .groupBy("src", "dst").agg(F.count(F.lit(1)).alias("inter")))
+    j = (inter.join(size.select(F.col("id").alias("src"), F.col("ns").alias("na")), "src")
+              .join(size.select(F.col("id").alias("dst"), F.col("ns").alias("nb")), "dst")
+              .withColumn("jaccard", F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))))
+    links = reuse(j.where(F.col("jaccard") >= threshold).select("src", "dst", "jaccard"))
+    best = (links.select(F.explode(F.array("src", "dst")).alias("id"), "jaccard")
+                 .groupBy("id").agg(F.max("jaccard").alias("jaccard")))
+    cc = connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("grupo"))
+    return cc.join(best, "id").select(F.col("id").alias(id_col), "grupo", "jaccard")

@@ -24,7 +24,7 @@ SELECT c.component, c.node, s.size FROM c
 JOIN (SELECT component, count(*) AS size FROM c GROUP BY component) s USING (component)""")
 def xn(ctx: Context):
     """XN network of buyers and suppliers linked by splitting alerts (F01):
-    connected components by iterative min-label propagation."""
+    connected components by pointer jumping."""
     a = FL.f01_split(ctx.contracts(DEFAULT, TEST), TEST)
     edges = a.select(F.col("nit_entidad").alias("src"), F.col("documento_proveedor").alias("dst"))
     return component_sizes(connected_components(edges))
@@ -44,7 +44,7 @@ def xc(ctx: Context):
 
 @register("xc_near_clones", None)
 def xc_near(ctx: Context):
-    """XC near copies: MinHash LSH buckets -> components -> exact Jaccard
-    of shingle sets against the representative (rows-only; tested against
+    """XC near copies: MinHash LSH buckets -> exact Jaccard of each edge
+    -> components of the edges that pass (rows-only; tested against
     brute force on a fixture)."""
     return CL.near_clones(ctx.tables.documents, "doc_id", "text", threshold=0.8)

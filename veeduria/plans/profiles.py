@@ -65,10 +65,9 @@ def entity_alerts(a: DataFrame, name: str) -> DataFrame:
 
 def supplier_search(c: DataFrame, term: str, n: int = 50) -> DataFrame:
     """R20 suppliers whose name contains the term (upper-cased, literal
-    match) or whose id equals it; terms under 3 characters give no rows."""
-    if len(term) < 3:
-        return c.limit(0).select(F.lit(None).cast("string").alias("contratista"))
-    hit = F.upper(F.col("proveedor_adjudicado")).contains(term.upper()) | (F.col("documento_proveedor") == term)
+    match) or whose id equals it; terms under 3 characters give no rows, in
+    the same columns."""
+    hit = F.lit(len(term) >= 3) & ( F.upper(F.col("proveedor_adjudicado")).contains(term.upper()) | (F.col("documento_proveedor") == term))
     g = (c.where(hit)
           .groupBy(F.col("proveedor_adjudicado").alias("contratista"), F.col("documento_proveedor").alias("documento"))
           .agg(F.count(F.lit(1)).alias("contratos"), F.countDistinct("nombre_entidad").alias("entidades"),

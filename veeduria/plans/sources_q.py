@@ -117,7 +117,7 @@ def s11(ctx: Context):
     """S11 alert table through a CSV export and back."""
     path = _scratch(ctx, "alerts_csv")
     K.write_csv(alerts_df(ctx), path)
-    return ctx.spark.read.schema(ALERT).option("header", True).csv(path)
+    return K.read_csv(ctx.spark, path, ALERT)
 
 
 _DESC_SQL = ", ".join(f"({O.q(k)}, {O.q(v)})" for k, v in sorted(__import__("veeduria.params", fromlist=["x"]).FLAG_DESCRIPTIONS.items()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,8 +20,15 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV export with header (one file per task; no single-task merge)."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV export with header (one file per task; no single-task merge).
+    Quotes are doubled; ``read_csv`` reads line breaks within a field back."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Reads what ``write_csv`` wrote, line breaks and quotes included."""
+    return (spark.read.schema(schema).option("header", True).option("escape", '"')
+                 .option("multiLine", True).csv(path))
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -49,13 +49,6 @@ PERCENT = 75
 BLOCK_SHINGLES = 4_000_000
 BITMAP = 1024
 FAN_OUT = 16
-_HASHERS: list[Hasher] = []
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    if not _HASHERS:
-        _HASHERS.append(Hasher())
-    return _HASHERS[0](words)
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
@@ -67,9 +60,9 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
         return mixed(out)
 
 
-def shingles(text: str | None) -> np.ndarray:
+def shingles(text: str | None, hasher: Hasher) -> np.ndarray:
     """Sorted distinct shingle hashes of a whole text."""
-    h = word_hashes((text or "").encode().lower().split())
+    h = hasher((text or "").encode().lower().split())
     return np.unique(rolling(h, min(WORDS, len(h)))) if len(h) else h
 
 
@@ -85,8 +78,10 @@ def identity(s: np.ndarray) -> tuple[int, int]:
 def candidates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per document: id, hash of the text, set size, class (c1, c2), and
     whether enough of its shingles recur (``maybe``)."""
+    hasher = Hasher()       # one per task: sent empty, dropped with the task
+
     def hashes(doc_id, text_key, text):
-        s = shingles(text)
+        s = shingles(text, hasher)
         return s, (doc_id, text_key, len(s), *identity(s))
 
     def finish(meta, mask):
@@ -122,13 +117,13 @@ def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     bits = np.packbits(id_bitmap(classes.select(F.xxhash64(F.col("rep").cast("long")).alias("h"))))
 
     def run(batches):
-        known = np.unpackbits(bits)
+        known, hasher = np.unpackbits(bits), Hasher()
         seen = set()
         for b in batches:
             rows = []
             for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if known[h]:
-                    s = shingles(text)
+                    s = shingles(text, hasher)
                     key = identity(s)
                     if key not in seen:
                         seen.add(key)

@@ -41,7 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veeduria.llm.common import partitions
-from veeduria.llm.jaccard_join import rolling, word_hashes
+from veeduria.llm.fingerprints import Hasher
+from veeduria.llm.jaccard_join import rolling
 from veeduria.llm.recurring import mark_recurring
 from veeduria.session import reuse
 
@@ -52,11 +53,11 @@ _PLACES = "shard int, anchor long, passage binary, doc_id long, text_key long, s
 _MARKS = "doc_id long, text_key long, start int, length int"
 
 
-def anchors(words: list[bytes], window: int = WINDOW, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(words: list[bytes], hasher: Hasher, window: int = WINDOW, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first window, last window) of each anchor, in text order."""
     if len(words) < window:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    g = rolling(word_hashes(words), k)
+    g = rolling(hasher(words), k)
     span = window - k + 1
     at = np.concatenate([np.lib.stride_tricks.sliding_window_view(g[i:i + 65_536 + span - 1], span).argmin(axis=1) + i
                          for i in range(0, len(g) - span + 1, 65_536)]) if span > 1 else np.zeros(len(g), np.int64)
@@ -99,8 +100,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def recurring_anchors(docs: DataFrame, window: int, k: int) -> DataFrame:
     """(doc_id, text_key, recurs): one bit per anchor, where any recurs."""
+    hasher = Hasher()       # one per task: sent empty, dropped with the task
+
     def hashes(doc_id, text_key, text):
-        return anchors((text or "").encode().split(), window, k)[0], (doc_id, text_key)
+        return anchors((text or "").encode().split(), hasher, window, k)[0], (doc_id, text_key)
 
     def finish(meta, mask):
         return [(*meta, np.packbits(mask).tobytes())] if mask.any() else []
@@ -123,7 +126,7 @@ def passages(docs: DataFrame, marked: DataFrame, window: int, k: int) -> DataFra
 
     def run(batches):
         best: dict[bytes, tuple] = {}
-        marks = Marks()
+        marks, hasher = Marks(), Hasher()
 
         def flush():
             rows = [(int(np.uint64(a) % np.uint64(shards)), int(np.uint64(a).view(np.int64)), p, *doc, start, length)
@@ -136,7 +139,7 @@ def passages(docs: DataFrame, marked: DataFrame, window: int, k: int) -> DataFra
         for b in batches:
             for doc_id, text_key, text, recurs in zip(*[c.to_pylist() for c in b.columns]):
                 doc, words = (doc_id, text_key), text.encode().split()
-                h, first, last = anchors(words, window, k)
+                h, first, last = anchors(words, hasher, window, k)
                 for i in np.flatnonzero(np.unpackbits(np.frombuffer(recurs, np.uint8), count=len(h))):
                     start, end = int(first[i]), int(last[i]) + window
                     p, now = b" ".join(words[start:end]), _order(doc, start)

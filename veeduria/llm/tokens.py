@@ -21,7 +21,7 @@ _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f
 _ODD_ASCII = re.compile("[\x1c-\x1f]")
 _RUNS = re.compile(r"[ \t\n\x0b\f\r]*[^ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+")
 
-KEEP_CHUNKS = 1_200_000
+KEEP_CHUNKS = 400_000
 KEEP_CHARS = 48
 
 
@@ -43,6 +43,7 @@ class Encoder:
         self.drops_space = drops_space
         self.joint = " | " if drops_space else " |"
         (self.mark_id,) = self._ids(" |")
+        self.signs = {c: self._whole(c) for c in ".,!?;:"}
         self.known: dict[str, bytes] = {}       # word -> ids of the word (with a space before it)
 
     def _ids(self, text: str) -> list[int]:
@@ -71,7 +72,11 @@ class Encoder:
             return []
         odd = not text.isascii() and _ODD_SPACE.search(text) or _ODD_ASCII.search(text)
         if self.drops_space:
-            return [w.decode() for w in text.encode().split()] if odd else text.split()
+            if odd:
+                return [w.decode() for w in text.encode().split()]
+            # the tokenizer lowers letters itself; where that is one to one
+            # (Latin-1), words that differ by case share a chunk
+            return (text.lower() if text.isascii() or max(text) <= "\xff" else text).split()
         if odd:
             return None
         if any(p in text for p in _UNSAFE) or text[0].isspace() or text[-1].isspace():
@@ -91,9 +96,16 @@ class Encoder:
         if len(self.known) > KEEP_CHUNKS:
             self.known.clear()
         known, long = self.known, {}
-        new = list(set().union(*[w for w in cut if w]).difference(known))
+        new = set().union(*[w for w in cut if w]).difference(known)
+        # letters and the sign after them are different pre-tokens
+        signed = [w for w in new if w[-1] in self.signs and w[:-1].isalpha()]
+        new.difference_update(signed)
+        new = list(new.union([w[:-1] for w in signed]).difference(known))
         for w, ids in zip(new, self._encode([self._chunk(w) for w in new])):
             (known if len(w) <= KEEP_CHARS else long)[w] = ids
+        for w in signed:
+            stem = w[:-1]
+            (known if len(w) <= KEEP_CHARS else long)[w] = (known[stem] if stem in known else long[stem]) + self.signs[w[-1]]
         table = known if not long else _Both(known, long)
         return [self._whole(t) if w is None else b"".join(map(table.__getitem__, w)) for t, w in zip(texts, cut)]
 
@@ -124,7 +136,7 @@ def encoder(path: str, drops_space: bool) -> Encoder:
     return _ENCODERS[key]
 
 
-def groups(texts: list[str | None], chars: int = 4_000_000):
+def groups(texts: list[str | None], chars: int = 2_000_000):
     """Index ranges of texts of about ``chars`` characters each."""
     start, total = 0, 0
     for i, t in enumerate(texts):

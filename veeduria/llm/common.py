@@ -34,10 +34,32 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Arrow batch in, Arrow batch out, batch by batch within each task."""
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                yield fn(b)
-    return df.mapInArrow(run, schema)
+def release() -> None:
+    """Hand freed memory back: Python workers outlive their tasks, and what
+    they hold counts against the executor."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable, rows: int = 1000) -> Callable:
+    """``run`` over smaller batches of a task, releasing memory at its end."""
+    def wrapped(batches):
+        try:
+            yield from run(b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+        finally:
+            release()
+    return wrapped
+
+
+def tidy_group(run: Callable) -> Callable:
+    """``run`` for one group, releasing memory afterwards."""
+    def wrapped(table):
+        try:
+            return run(table)
+        finally:
+            release()
+    return wrapped

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veeduria.llm.common import partitions
+from veeduria.llm.common import partitions, tidy
 from veeduria.session import reuse
 
 BITS = 64
@@ -139,7 +139,7 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
                    .repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first())
                    .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()))
-    made = reuse(ordered.mapInArrow(run, FINGERPRINTS))
+    made = reuse(ordered.mapInArrow(tidy(run), FINGERPRINTS))
 
     order = Window.orderBy(F.col("first_id").asc_nulls_first(), F.col("doc_id").asc_nulls_first())
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -155,7 +155,7 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
 
     columns = ["doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "next_fp"]
     return (made.where("n_chars is not null").select(*columns)
-                .unionByName(reuse(edges.mapInArrow(finish, FINGERPRINTS).select(*columns))))
+                .unionByName(reuse(edges.mapInArrow(tidy(finish), FINGERPRINTS).select(*columns))))
 
 
 def blocks_for(n: int, radius: int) -> int:

@@ -28,6 +28,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from veeduria.llm.common import tidy
+
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
@@ -320,4 +322,4 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([visible_text(x) for x in b.column(1).to_pylist()], pa.string())],
                 names=["page_id", "text"])
-    return pages.selectExpr("cast(page_id as long) page_id", "html").mapInArrow(run, "page_id long, text string")
+    return pages.selectExpr("cast(page_id as long) page_id", "html").mapInArrow(tidy(run), "page_id long, text string")

@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veeduria.llm.common import tidy, tidy_group
 from veeduria.llm.fingerprints import Hasher, mixed
 from veeduria.llm.recurring import mark_recurring
 from veeduria.operators.graph import connected_components
@@ -133,7 +134,7 @@ def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
                 [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))],
                 names=["c1", "c2", "n", "tokens"])
     texts = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(MAP_BITS)).alias("h"), "text")
-    return texts.mapInArrow(run, "c1 long, c2 long, n long, tokens array<long>").join(
+    return texts.mapInArrow(tidy(run), "c1 long, c2 long, n long, tokens array<long>").join(
         classes.select("c1", "c2"), ["c1", "c2"], "left_semi")
 
 
@@ -263,7 +264,7 @@ def links(sets: DataFrame, cluster: DataFrame, percent: int = PERCENT, block: in
         return pa.table({"a": pa.array([names[i] for i, _ in found], pa.int64()),
                          "b": pa.array([names[j] for _, j in found], pa.int64())})
 
-    return placed.groupBy("cluster", "left", "right").applyInArrow(run, "a long, b long")
+    return placed.groupBy("cluster", "left", "right").applyInArrow(tidy_group(run), "a long, b long")
 
 
 def components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK_SHINGLES) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veeduria.llm.common import LETTER
+from veeduria.llm.common import LETTER, tidy
 
 BUCKETS = 1 << 15
 DIM = 16
@@ -120,7 +120,7 @@ def sample(docs: DataFrame, per_lang: int = PER_LANG) -> list:
             types = [pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
                                              names=["lang", "h", "buckets", "shares"])
-    got = chosen.mapInArrow(features, "lang string, h long, buckets array<int>, shares array<float>").toArrow()
+    got = chosen.mapInArrow(tidy(features), "lang string, h long, buckets array<int>, shares array<float>").toArrow()
     rows = [(lang, h, np.asarray(b.values), np.asarray(s.values)) for lang, h, b, s in
             zip(got["lang"].to_pylist(), got["h"].to_pylist(), got["buckets"], got["shares"])]
     return sorted(rows, key=lambda r: (r[1], r[0], len(r[2]), r[2].tobytes()))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veeduria.llm.common import partitions
+from veeduria.llm.common import partitions, tidy, tidy_group
 
 CHUNK_HASHES = 2_000_000
 _SENT = "bucket int, chunk long, at binary, cut binary, known binary, meta binary"
@@ -137,5 +137,5 @@ def mark_recurring(docs: DataFrame, hashes: Callable, finish: Callable, schema:
     from pyspark.sql.types import StructType
 
     target = to_arrow_schema(StructType.fromDDL(schema))
-    found = docs.mapInArrow(send, _SENT).groupBy("bucket").applyInArrow(compare, _FOUND)
-    return found.groupBy("chunk").applyInArrow(gather, schema)
+    found = docs.mapInArrow(tidy(send), _SENT).groupBy("bucket").applyInArrow(tidy_group(compare), _FOUND)
+    return found.groupBy("chunk").applyInArrow(tidy_group(gather), schema)

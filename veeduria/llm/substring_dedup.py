@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veeduria.llm.common import partitions
+from veeduria.llm.common import partitions, tidy, tidy_group
 from veeduria.llm.fingerprints import Hasher
 from veeduria.llm.jaccard_join import rolling
 from veeduria.llm.recurring import mark_recurring
@@ -156,7 +156,7 @@ def passages(docs: DataFrame, marked: DataFrame, window: int, k: int) -> DataFra
 
     x = keyed(docs).join(marked.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "recurs"),
                          F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
-    return x.select("doc_id", "text_key", "text", "recurs").mapInArrow(run, _PLACES)
+    return x.select("doc_id", "text_key", "text", "recurs").mapInArrow(tidy(run), _PLACES)
 
 
 def automaton(windows: list[tuple[int, ...]]):
@@ -226,7 +226,7 @@ def removals(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFram
         columns = ("anchor", "passage", "doc_id", "text_key", "start", "length")
         return pa.Table.from_batches([_batch(_MARKS, resolve(list(zip(*[table[c].to_pylist() for c in columns])), window))])
 
-    found = places.where("shard >= 0").groupBy("shard").applyInArrow(run, _MARKS)
+    found = places.where("shard >= 0").groupBy("shard").applyInArrow(tidy_group(run), _MARKS)
     every = places.where("shard < 0").select("doc_id", "text_key", "start", "length").unionByName(found)
     return every.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "length")).alias("ranges"))
 
@@ -265,7 +265,7 @@ def report(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
                 names=["doc_id", "n_words", "n_removed", "kept_sha256"])
     x = with_ranges(docs.select("doc_id", "text"), window, k)
     return x.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_dd_ranges").mapInArrow(
-        run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+        tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:

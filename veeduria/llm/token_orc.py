@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veeduria.llm.common import partitions
+from veeduria.llm.common import partitions, tidy
 from veeduria.llm.tokens import encoder, groups
 from veeduria.session import scratch_table_dir
 
@@ -64,7 +64,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, drops_space: bool =
     ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
                    .repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first())
                    .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()))
-    (ordered.mapInArrow(encode, FILE_SCHEMA).write
+    (ordered.mapInArrow(tidy(encode), FILE_SCHEMA).write
         .option("orc.compress", "ZSTD").option("orc.stripe.size", stripe_bytes)
         .option("orc.row.index.stride", stride)
         .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(path))
@@ -98,7 +98,7 @@ def digest(tokens: DataFrame) -> DataFrame:
                  pa.array([y - x for x, y in zip(ends, ends[1:])], pa.int64()), pa.array(sums, pa.int64())],
                 names=["doc_id", "part", "offset", "n_tokens", "ids_crc32"])
     return tokens.select("doc_id", "part", "offset", "ids").mapInArrow(
-        run, "doc_id long, part int, offset long, n_tokens long, ids_crc32 long")
+        tidy(run), "doc_id long, part int, offset long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str, **kw) -> DataFrame:

@@ -34,11 +34,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def release() -> None:
+_RELEASED = [0.0]
+
+
+def release(every_s: float = 2.0) -> None:
     """Hand freed memory back: Python workers outlive their tasks, and what
-    they hold counts against the executor."""
+    they hold counts against the executor. At most once in ``every_s``, as
+    small groups end thousands of times a task."""
     import ctypes
+    import time
 
+    if time.monotonic() - _RELEASED[0] < every_s:
+        return
+    _RELEASED[0] = time.monotonic()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

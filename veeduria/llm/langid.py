@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veeduria.llm.common import LETTER, tidy
+from veeduria.llm.common import LETTER, release, tidy
+from veeduria.llm.tokens import groups
 
 BUCKETS = 1 << 15
 DIM = 16
@@ -36,6 +37,11 @@ SPAN = 8
 EPOCHS = 12
 LOST = 0.001
 MOST = 0.5
+#: Bounds of a task's working memory: characters of text scored together (one
+#: text at least) and distinct words embedded at a time. Results do not depend
+#: on them.
+TEXT_AT_ONCE = 1_000_000
+WORDS_AT_ONCE = 4096
 _SIZES = (2, 3, 4)
 
 
@@ -77,8 +83,8 @@ class Model:
         vectors = np.zeros((len(ids), DIM), np.float32)
         sizes = np.zeros(len(ids), np.int64)
         words = list(ids)
-        for i in range(0, len(words), 50_000):
-            buckets, owner = ngrams(words[i:i + 50_000])
+        for i in range(0, len(words), WORDS_AT_ONCE):
+            buckets, owner = ngrams(words[i:i + WORDS_AT_ONCE])
             order = np.argsort(owner, kind="stable")
             n = np.bincount(owner)
             starts = np.cumsum(n) - n
@@ -173,11 +179,12 @@ def predictor(model: Model | None):
         lang, score = ["und"] * len(values), [0.0] * len(values)
         accepted = [v is not None for v in values]
         known = [i for i, v in enumerate(values) if v is not None] if model else []
-        for part in range(0, len(known), 1000):
-            rows = known[part:part + 1000]
+        for lo, hi in groups([values[i] for i in known], TEXT_AT_ONCE):
+            rows = known[lo:hi]
             p = model.scores([values[i] for i in rows])
             for i, best, s in zip(rows, p.argmax(axis=1), p.max(axis=1)):
                 lang[i], score[i], accepted[i] = model.langs[best], float(s), bool(s >= model.accept)
+        release()
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()),
                                            pa.array(accepted, pa.bool_())], names=["lang_pred", "score", "accepted"])
     return predict

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veeduria.llm.common import tidy
-from veeduria.llm.tokens import encoder, groups
+from veeduria.llm.tokens import encoder, forgetting, groups
 from veeduria.session import reuse
 
 WINDOW = 4096
@@ -106,7 +106,8 @@ def pack(docs: DataFrame, tokenizer: str, drops_space: bool = True, end_id: int
             offset = put(pieces, offset, False)
         yield flush()
 
-    made = reuse(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), PIECES))
+    made = reuse(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        tidy(forgetting(run, tokenizer, drops_space)), PIECES))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
     full = (made.where("closed").withColumn("sequence_id", F.shiftleft(F.col("part") + 1, 36) + F.col("seq"))
                 .select(*columns))

@@ -146,3 +146,14 @@ def groups(texts: list[str | None], chars: int = 2_000_000):
             start, total = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def forgetting(run, path: str, drops_space: bool):
+    """``run`` over a task's batches, its remembered words dropped at the
+    end: the worker outlives the task and would hold them while idle."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            encoder(path, drops_space).known.clear()
+    return wrapped

@@ -421,3 +421,18 @@ def test_pipeline_stages(spark, docs, texts):
     mixed_words = sum(len(words(r["text"])) for r in kept[3].collect())
     assert abs(mixed_words - 1.5 * sum(cut.values())) < 0.05 * sum(cut.values())
     assert {r["doc_id"] for r in kept[4].collect()} == {r["doc_id"] for r in kept[3].collect()}
+
+
+@pytest.mark.parametrize("name, drops", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_chunked_ids_are_the_librarys(name, drops):
+    from tokenizers import Tokenizer
+
+    from veeduria.llm.queries import vocabulary
+    from veeduria.llm.tokens import Encoder
+
+    texts = ["İstanbul İ x", "ǅ ab ŉ", "don't we|you | | x", "한글 각 각", "a  b \n c", " lead", "trail ", "", "|",
+             "ﬁne ß µ ª", "中文 汉字 テスト ไทย", "a\x1cb c", "Ⅷ K Å Å", "hello, world. (foo) 's 're l'm", "ÀÉ Àé, ß!"]
+    plain = Tokenizer.from_file(vocabulary(name))
+    plain.encode_special_tokens = True
+    want = [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(vocabulary(name), drops).encode(texts)] == want

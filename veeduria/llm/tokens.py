@@ -30,9 +30,10 @@ class Encoder:
 
     ``drops_space``: the tokenizer discards white space (word vocabularies),
     so words are the chunks; else a chunk is a word with the space before it.
-    New chunks are encoded many at a time, set apart by a bar after a space,
-    which is a pre-token of its own with one id; chunks with a bar, and those
-    that could join it because they start with a sign, are encoded alone.
+    New chunks are encoded many at a time. Words of letters are set apart by
+    their spaces alone; others by a bar after a space, which is a pre-token of
+    its own with one id; chunks with a bar, and those that could join it
+    because they start with a sign, are encoded alone.
     """
 
     def __init__(self, path: str, drops_space: bool):
@@ -43,6 +44,10 @@ class Encoder:
         self.drops_space = drops_space
         self.joint = " | " if drops_space else " |"
         (self.mark_id,) = self._ids(" |")
+        # tokens that end a word (word vocabularies) or start one after a space
+        vocab = self.tokenizer.get_vocab()
+        self.border = np.zeros(max(vocab.values()) + 1, bool)
+        self.border[[i for t, i in vocab.items() if (t.endswith("</w>") if drops_space else t[0] == "\u0120")]] = True
         self.signs = {c: self._whole(c) for c in ".,!?;:"}
         self.known: dict[str, bytes] = {}       # word -> ids of the word (with a space before it)
 
@@ -59,11 +64,32 @@ class Encoder:
         data, first, last = ids.tobytes(), np.r_[0, at + 1] * 4, np.r_[at, len(ids)] * 4
         return [data[a:b] for a, b in zip(first.tolist(), last.tolist())]
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        plain = [self.drops_space or c[0].isspace() or c[0].isalpha() for c in chunks]
-        plain = [p and "|" not in c for p, c in zip(plain, chunks)]
-        ids = iter([x for part in _parts([c for c, p in zip(chunks, plain) if p], 20_000) for x in self._together(part)])
-        return [next(ids) if p else self._whole(c) for c, p in zip(chunks, plain)]
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, each with a space before it. Such a word
+        is one pre-token, so it has one token that ends (or starts) a word;
+        where the count differs, the words are set apart by bars."""
+        ids = np.array(self._ids(" " + " ".join(words)), "<u4")
+        at = np.flatnonzero(self.border[ids])
+        if len(at) != len(words):
+            return self._together([self._chunk(w) for w in words])
+        cuts = (4 * (np.r_[0, at + 1] if self.drops_space else np.r_[at, len(ids)])).tolist()
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _encode(self, keys: list[str]):
+        """(key, ids) of new chunks."""
+        for part in _parts([k for k in keys if k.isalpha()], 5_000):
+            yield from zip(part, self._letters(part))
+        bars = []
+        for k in keys:
+            if not k.isalpha():
+                c = self._chunk(k)
+                if "|" not in c and (self.drops_space or c[0].isspace() or c[0].isalpha()):
+                    bars.append(k)
+                else:
+                    yield k, self._whole(c)
+        for part in _parts(bars, 20_000):
+            yield from zip(part, self._together([self._chunk(k) for k in part]))
 
     def _cut(self, text: str) -> list[str] | None:
         """Keys of the chunks: words, or words with the space before them cut
@@ -76,7 +102,7 @@ class Encoder:
                 return [w.decode() for w in text.encode().split()]
             # the tokenizer lowers letters itself; where that is one to one
             # (Latin-1), words that differ by case share a chunk
-            return (text.lower() if text.isascii() or max(text) <= "\xff" else text).split()
+            return (text.lower() if _latin(text) else text).split()
         if odd:
             return None
         if any(p in text for p in _UNSAFE) or text[0].isspace() or text[-1].isspace():
@@ -101,7 +127,7 @@ class Encoder:
         signed = [w for w in new if w[-1] in self.signs and w[:-1].isalpha()]
         new.difference_update(signed)
         new = list(new.union([w[:-1] for w in signed]).difference(known))
-        for w, ids in zip(new, self._encode([self._chunk(w) for w in new])):
+        for w, ids in self._encode(new):
             (known if len(w) <= KEEP_CHARS else long)[w] = ids
         for w in signed:
             stem = w[:-1]
@@ -118,6 +144,13 @@ class _Both:
         return self.known[key] if key in self.known else self.long[key]
 
 
+def _latin(text: str) -> bool:
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 def _parts(items: list, n: int):
     return (items[i:i + n] for i in range(0, len(items), n))
 

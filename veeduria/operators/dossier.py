@@ -3,8 +3,8 @@
 The per-alert loop of look-up queries becomes one plan: the top-N alerts
 (a frame of at most N rows, so broadcasting it is bounded by N) get a key
 shape (which of buyer / supplier / year they fix) and a key text; every
-contract offers its key for each of the six shapes, and one broadcast
-equi-join on (shape, key) keeps the matches in the scan's own tasks (an
+contract offers its key for each shape that the flags asked for can have, and
+one broadcast equi-join on (shape, key) keeps the matches in the scan's own tasks (an
 OR-of-NULLs condition would plan as a join on the year alone). The
 ``row_number() <= k`` filter is planned with a partial per-task group limit
 before the shuffle, so even an alert covering a third of all contracts moves
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from veeduria.functions.fmt import millions
 from veeduria.functions.text import one_line
 from veeduria.operators.derive import is_service, is_vague
-from veeduria.params import Params
+from veeduria.params import FLAG_NAMES, Params
+
+ROW_FLAGS = ("F09", "F10")
 
 ALERT_ORDER = ("severidad DESC", "valor_cop DESC", "codigo", "nit_entidad", "documento_proveedor",
                "id_contrato", "anio", "detalle")
@@ -45,9 +47,26 @@ def top_alerts(a: DataFrame, n: int = 15, per_flag: int | None = None) -> DataFr
     return t.withColumn("rank", F.row_number().over(Window.orderBy(*alert_order())))
 
 
-# key parts per shape: 0 = buyer, 1 = supplier, 2 = year
-SHAPES = {1: (0, 1, 2), 2: (1, 2), 3: (0, 2), 4: (0, 1), 5: (1,), 6: (0,)}
+# key parts per shape
+SHAPES = {1: ("nit", "doc", "anio"), 2: ("doc", "anio"), 3: ("nit", "anio"), 4: ("nit", "doc"), 5: ("doc",),
+          6: ("nit",), 7: ("nit", "mes"), 8: ("id",)}
 SEP = "\u0001"
+MONTH_IN_DETAIL = "firmados en ([0-9]{4}-[0-9]{2}) "     # F03 names its month in the detail only
+
+
+def _shapes_of(codes: list[str], mode: str) -> list[int]:
+    """Shapes the alerts of these flags can have."""
+    out = set()
+    for code in codes:
+        if mode == "exact" and code == "F03":
+            out.add(7)
+        elif mode == "exact" and code in ROW_FLAGS:
+            out.add(8)
+        elif mode == "keys" and code == "F06":
+            out |= {4, 5, 6}
+        else:
+            out |= {1, 2, 3}
+    return sorted(out)
 
 
 def _key(cols) -> Column:
@@ -55,11 +74,10 @@ def _key(cols) -> Column:
     return F.concat(*[x for c in cols for x in (F.lit(SEP), F.col(c).cast("string"))])
 
 
-def _shape_key(shape: Column, nit: str, doc: str, anio: str) -> Column:
-    parts = (nit, doc, anio)
+def _shape_key(shape: Column, parts: dict[str, str]) -> Column:
     out = None
-    for k, idx in SHAPES.items():
-        e = _key([parts[i] for i in idx])
+    for k, names in SHAPES.items():
+        e = _key([parts[n] for n in names])
         out = F.when(shape == k, e) if out is None else out.when(shape == k, e)
     return out
 
@@ -70,36 +88,43 @@ def _exact(p: Params) -> Column:
     code = F.col("codigo")
     return ((code != "F01") | F.col("es_sin_competencia")) \
         & ((code != "F06") | (F.col("es_persona_natural") & is_service(p))) \
-        & ((code != "F09") | ((F.col("c_id") == F.col("id_contrato")) & is_vague(p)
-                               & (v > F.lit(p.f09_min_value)))) \
-        & ((code != "F10") | ((F.col("c_id") == F.col("id_contrato"))
-                               & (F.col("dias_adicionados") >= p.f10_min_days) & (v > F.lit(p.f10_min_value))))
+        & ((code != "F09") | (is_vague(p) & (v > F.lit(p.f09_min_value)))) \
+        & ((code != "F10") | ((F.col("dias_adicionados") >= p.f10_min_days) & (v > F.lit(p.f10_min_value))))
 
 
 def evidence(c: DataFrame, top: DataFrame, per_alert: int = 10, mode: str = "keys",
-             p: Params = Params()) -> DataFrame:
+             p: Params = Params(), codes: list[str] | None = None, object_chars: int | None = 160) -> DataFrame:
     """One row per (alert, evidence contract), at most ``per_alert`` largest
     contracts per alert. ``mode='keys'`` re-selects by the alert's keys and
-    year (F06 without year), as published; ``mode='exact'`` also replays the
-    flag's own predicate."""
+    year (F06 without year), as published; ``mode='exact'`` selects the rows
+    that raised the alert: F06 by year too, F03 by the month of the spike,
+    F09 and F10 by contract id, and it replays the flag's own predicate.
+    ``codes``: flags among ``top`` (default all). ``object_chars``: length of
+    the object text shown; None shows all of it."""
+    codes = sorted(FLAG_NAMES) if codes is None else codes
     cc = c.select(F.col("id_contrato").alias("c_id"), "proceso_de_compra", "fecha_de_firma",
                   F.col("nit_entidad").alias("c_nit"), F.col("documento_proveedor").alias("c_doc"),
                   F.col("anio").alias("c_anio"), "nombre_entidad", "proveedor_adjudicado",
                   "modalidad_de_contratacion", "valor_del_contrato", "dias_adicionados",
                   "objeto_del_contrato", "es_sin_competencia", "es_persona_natural", "tipo_de_contrato")
-    t = top.select("rank", "codigo", "nit_entidad", "documento_proveedor", "anio", "id_contrato")
+    cc = cc.withColumn("c_mes", F.date_format("fecha_de_firma", "yyyy-MM"))
+    t = (top.where(F.col("codigo").isin(codes))
+            .select("rank", "codigo", "nit_entidad", "documento_proveedor", "anio", "id_contrato",
+                    F.nullif(F.regexp_extract("detalle", MONTH_IN_DETAIL, 1), F.lit("")).alias("mes")))
     nit, doc = F.col("nit_entidad").isNotNull(), F.col("documento_proveedor").isNotNull()
-    f06 = F.col("codigo") == "F06"
+    f06 = F.col("codigo") == "F06" if mode == "keys" else F.lit(False)
+    own = [(7, F.col("codigo") == "F03"), (8, F.col("codigo").isin(*ROW_FLAGS))] if mode == "exact" else []
     shape = functools.reduce(
         lambda acc, kv: acc.when(kv[1], F.lit(kv[0])),
-        [(1, nit & doc & ~f06), (2, ~nit & doc & ~f06), (3, nit & ~doc & ~f06),
+        [*own, (1, nit & doc & ~f06), (2, ~nit & doc & ~f06), (3, nit & ~doc & ~f06),
          (4, nit & doc & f06), (5, ~nit & doc & f06), (6, nit & ~doc & f06)], F)
     t = t.withColumn("shape", shape)
-    t = t.withColumn("key", _shape_key(F.col("shape"), "nit_entidad", "documento_proveedor", "anio"))
+    t = t.withColumn("key", _shape_key(F.col("shape"), {"nit": "nit_entidad", "doc": "documento_proveedor",
+                                                        "anio": "anio", "mes": "mes", "id": "id_contrato"}))
     # every contract offers one key per shape (NULL when a part is NULL);
     # the broadcast hash join keeps only the matches, in the same map task
-    keys = F.array(*[F.struct(F.lit(k).alias("shape"), _key([("c_nit", "c_doc", "c_anio")[i] for i in idx]).alias("key"))
-                     for k, idx in SHAPES.items()])
+    keys = F.array(*[F.struct(F.lit(k).alias("shape"), _key([f"c_{n}" for n in SHAPES[k]]).alias("key"))
+                     for k in _shapes_of(codes, mode)])
     ce = cc.withColumn("_k", F.explode(keys)).select("*", "_k.shape", "_k.key").drop("_k")
     j = ce.join(F.broadcast(t.where(F.col("key").isNotNull())), ["shape", "key"])
     if mode == "exact":
@@ -112,7 +137,8 @@ def evidence(c: DataFrame, top: DataFrame, per_alert: int = 10, mode: str = "key
                     F.to_date("fecha_de_firma").alias("firma"), "nombre_entidad", "proveedor_adjudicado",
                     F.col("modalidad_de_contratacion").alias("modalidad"),
                     millions("valor_del_contrato").alias("millones"), "dias_adicionados",
-                    F.substring(one_line("objeto_del_contrato"), 1, 160).alias("objeto"))
+                    (one_line("objeto_del_contrato") if object_chars is None
+                     else F.substring(one_line("objeto_del_contrato"), 1, object_chars)).alias("objeto"))
 
 
 def dossiers(c: DataFrame, a: DataFrame, n: int = 15, per_alert: int = 10, mode: str = "keys",

@@ -24,7 +24,7 @@ def build(ctx: Context, n: int, per_flag: int | None, mode: str) -> DataFrame:
     parts = []
     for b in ALL_BINDINGS:
         codes = [k for k, v in FLAG_BINDING.items() if v == b]
-        parts.append(D.evidence(ctx.contracts(b, TEST), top.where(F.col("codigo").isin(codes)), 10, mode, TEST))
+        parts.append(D.evidence(ctx.contracts(b, TEST), top, 10, mode, TEST, codes))
     ev = functools.reduce(DataFrame.unionByName, parts)
     head = top.select("rank", "codigo", "bandera", F.col("nombre_entidad").alias("a_entidad"),
                       F.col("proveedor").alias("a_proveedor"), F.col("anio").alias("a_anio"), "detalle",
@@ -45,20 +45,27 @@ def _sql(n: int, per_flag: int | None, mode: str) -> str:
         vag = O.ilike_any("c.objeto_del_contrato", p.vague)
         exact = (f" AND (t.codigo <> 'F01' OR c.es_sin_competencia)"
                  f" AND (t.codigo <> 'F06' OR (c.es_persona_natural AND {svc}))"
-                 f" AND (t.codigo <> 'F09' OR (c.id_contrato = t.id_contrato AND {vag}"
-                 f" AND c.valor_del_contrato > {p.f09_min_value}))"
-                 f" AND (t.codigo <> 'F10' OR (c.id_contrato = t.id_contrato"
-                 f" AND c.dias_adicionados >= {p.f10_min_days} AND c.valor_del_contrato > {p.f10_min_value}))")
+                 f" AND (t.codigo <> 'F09' OR ({vag} AND c.valor_del_contrato > {p.f09_min_value}))"
+                 f" AND (t.codigo <> 'F10' OR ("
+                 f"c.dias_adicionados >= {p.f10_min_days} AND c.valor_del_contrato > {p.f10_min_value}))")
     evs = []
     for b in ALL_BINDINGS:
         codes = ", ".join(O.q(k) for k, v in FLAG_BINDING.items() if v == b)
-        evs.append(f"""SELECT t.rank, c.* FROM top t JOIN {O.cte_name(b)} c
-  ON t.codigo IN ({codes}) AND (t.nit_entidad IS NOT NULL OR t.documento_proveedor IS NOT NULL)
- AND (t.nit_entidad IS NULL OR c.nit_entidad = t.nit_entidad)
- AND (t.documento_proveedor IS NULL OR c.documento_proveedor = t.documento_proveedor)
- AND (t.codigo = 'F06' OR c.anio = t.anio){exact}""")
+        by_keys = ("(t.nit_entidad IS NOT NULL OR t.documento_proveedor IS NOT NULL)"
+                   " AND (t.nit_entidad IS NULL OR c.nit_entidad = t.nit_entidad)"
+                   " AND (t.documento_proveedor IS NULL OR c.documento_proveedor = t.documento_proveedor)")
+        if mode == "exact":
+            # the month of a spike stands in its detail text
+            match = f"""CASE WHEN t.codigo IN ('F09', 'F10') THEN c.id_contrato = t.id_contrato
+   WHEN t.codigo = 'F03' THEN c.nit_entidad = t.nit_entidad
+     AND contains(t.detalle, ' firmados en ' || strftime(c.fecha_de_firma, '%Y-%m') || ' ')
+   ELSE {by_keys} AND c.anio = t.anio END"""
+        else:
+            match = f"{by_keys} AND (t.codigo = 'F06' OR c.anio = t.anio)"
+        evs.append(f"SELECT t.rank, c.* FROM top t JOIN {O.cte_name(b)} c\n  ON t.codigo IN ({codes}) AND {match}{exact}")
     ev = "\nUNION ALL\n".join(evs)
-    obj = f"left({O.strip(chr(114) + 'egexp_replace(objeto_del_contrato, ' + O.q('[' + chr(92) + 'r' + chr(92) + 'n]+') + ', ' + O.q(' ') + ', ' + O.q('g') + ')')}, 160)"
+    one_line = "regexp_replace(e.objeto_del_contrato, '[\\r\\n]+', ' ', 'g')"
+    obj = f"left({O.strip(one_line)}, 160)"
     return f"""WITH {alerts_cte()},
 top AS (SELECT *, row_number() OVER (ORDER BY {ORDER_SQL}) AS rank FROM ({top})),
 ev AS ({ev}),
@@ -69,7 +76,7 @@ SELECT CAST(t.rank AS INTEGER) AS rank, t.codigo, t.bandera, t.nombre_entidad AS
        e.proceso_de_compra, CAST(CAST(e.fecha_de_firma AS DATE) AS VARCHAR) AS firma, e.nombre_entidad,
        e.proveedor_adjudicado, e.modalidad_de_contratacion AS modalidad,
        CAST(round(e.valor_del_contrato / 1000000) AS BIGINT) AS millones, e.dias_adicionados,
-       {obj.replace('objeto_del_contrato', 'e.objeto_del_contrato')} AS objeto
+       {obj} AS objeto
 FROM top t JOIN evr e ON t.rank = e.rank WHERE e.ev_rank <= 10"""
 
 

@@ -57,13 +57,22 @@ _ST_FLAGS = (f"WITH {O.ctes([DEFAULT], TEST)},\n{_CC2}\nSELECT codigo, bandera,
 def st_flags(ctx: Context):
     """Incremental alert refresh: contract pages land in two arrivals (before
     and after mid-1998); after each, the stream recomputes only the flag
-    partitions the new pages touch. The final table equals a full batch run."""
+    partitions the new pages touch. The contracts of early 1997 land first
+    with twice their value, buyers that have another name since and the dates
+    of a year before, and land again, corrected, with the second arrival.
+    The final table equals a full batch run over the corrected records."""
     from veeduria.plans.sources_q import landed_text
     base, ckpt = _dirs(ctx, "st_flags")
     landed = base.rsplit("/", 1)[0] + "/landed"
     raw = landed_text(ctx.raw_contracts(DEFAULT))
-    first = F.col("fecha_de_firma") < F.lit(CUT)        # ISO text compares in date order
-    raw.where(first).write.mode("overwrite").json(f"{landed}/arrival=1")
+    day = F.col("fecha_de_firma")                       # ISO text compares in date order
+    first, again = day < F.lit(CUT), (day >= F.lit("1997-01-01")) & (day < F.lit("1997-04-01"))
+    wrong = {"valor_del_contrato": (2 * F.col("valor_del_contrato").cast("decimal(18,4)")).cast("string"),
+             "nombre_entidad": F.concat(F.lit("ZZ "), F.col("nombre_entidad")),
+             "fecha_de_firma": F.regexp_replace("fecha_de_firma", "^1997", "1996")}
+    early = raw.where(first).select(*[F.when(again, wrong[c]).otherwise(F.col(c)).alias(c) if c in wrong else F.col(c)
+                                      for c in raw.columns])
+    early.write.mode("overwrite").json(f"{landed}/arrival=1")
     FR.run_refresh(ctx.spark, landed, base, ckpt, TEST)
-    raw.where(~first).write.mode("overwrite").json(f"{landed}/arrival=2")
+    raw.where(~first | again).write.mode("overwrite").json(f"{landed}/arrival=2")
     return FR.run_refresh(ctx.spark, landed, base, ckpt, TEST)

@@ -1,20 +1,28 @@
 """Incremental alert refresh over landed contract pages.
 
-A file-source stream of landed JSON pages (``availableNow``); each
-micro-batch:
+A file-source stream of landed JSON pages (``availableNow``). A record that
+lands again replaces all earlier versions of its id. Each micro-batch:
 
 1. normalises and derives the new records and writes them under
-   ``contracts/batch_id=N`` (a replayed batch overwrites its own folder);
-2. finds the years it touches (a small list: years, not rows);
-3. recomputes only what those years can change: year-keyed flags (F01, F04,
-   F06, F08, F09, F10) for the touched years, F02 for touched years and the
-   year after (it compares with the previous calendar year), F03 in full
-   (its statistics span a buyer's whole history);
-4. writes the recomputed alerts under ``alerts/batch_id=N`` and a manifest
-   of the (flag, year) keys it replaced under ``manifest/batch_id=N``.
-
-Readers take, for every (flag, year), the alerts of the latest batch that
-replaced it, so a key whose alerts disappeared is replaced by nothing.
+   ``contracts/batch_id=N`` (a replayed batch overwrites its own folders);
+2. writes the (id, batch) versions that the new records replace under
+   ``replaced/batch_id=N``, also where the new version is no valid contract;
+3. recomputes only what the new and the replaced rows can change: F01, F04,
+   F06 and F08 for their years, F02 for these years and the next (it compares
+   with the previous calendar year), F03 for their buyers (its statistics
+   span a buyer's whole history), F09 and F10 for the new rows;
+4. writes the alerts under ``alerts/batch_id=N`` and the (flag, key) pairs it
+   recomputed under ``manifest/batch_id=N``; the key is a year, or a buyer
+   for F03.
+
+Readers take, for every (flag, key), the alerts of the latest batch that
+recomputed it, so a key whose alerts disappeared is replaced by nothing, and
+the F09 and F10 alerts of rows not replaced. Display names of group alerts
+are taken from the whole current table when alerts are read, so a rename
+shows in years that no batch touched again.
+
+Only years are collected to the driver. Records without an id never replace
+each other; equal ids within one batch are different rows, as in a full run.
 """
 
 from __future__ import annotations
@@ -23,53 +31,98 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veeduria.operators import flags as FL
 from veeduria.operators.derive import derive
 from veeduria.operators.normalize import normalize
 from veeduria.params import Params
-from veeduria.schema import LANDED_CONTRACT
+from veeduria.schema import ALERT, CONTRACT, LANDED_CONTRACT
 
-YEAR_FLAGS = ["F01", "F04", "F06", "F08", "F09", "F10"]
+YEAR_FLAGS = ["F01", "F04", "F06", "F08"]
+ROW_FLAGS = ["F09", "F10"]
+_REPLACED = "id_contrato string, old_batch long, anio int, nit_entidad string"
 
 
-def contracts_table(spark: SparkSession, table_dir: str) -> DataFrame:
-    """All contracts loaded so far (``anio`` partitions prune year filters)."""
-    return spark.read.parquet(table_dir).drop("batch_id")
+def _contracts_schema(spark: SparkSession, p: Params) -> T.StructType:
+    return derive(spark.createDataFrame([], CONTRACT), p).schema.add("batch_id", T.LongType())
 
 
-def current_alerts(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Alert table as of the latest batch (latest replacement per key)."""
-    m = (spark.read.parquet(f"{out_dir}/manifest").groupBy("codigo", "anio")
+def _replaced(spark: SparkSession, out_dir: str) -> DataFrame:
+    return spark.read.schema(f"{_REPLACED}, batch_id long").parquet(f"{out_dir}/replaced")
+
+
+def _versions(spark: SparkSession, out_dir: str, p: Params, below: int | None = None) -> DataFrame:
+    """Contract rows that no batch (below ``below``) has replaced. The
+    replaced versions are few; their size on disk decides the join."""
+    c = spark.read.schema(_contracts_schema(spark, p)).parquet(f"{out_dir}/contracts")
+    r = _replaced(spark, out_dir)
+    if below is not None:
+        c, r = c.where(F.col("batch_id") < below), r.where(F.col("batch_id") < below)
+    r = r.select(F.col("id_contrato").alias("_id"), "old_batch")
+    return c.join(r, (c["id_contrato"] == r["_id"]) & (c["batch_id"] == r["old_batch"]), "left_anti")
+
+
+def contracts_table(spark: SparkSession, out_dir: str, p: Params = Params()) -> DataFrame:
+    """The latest version of every contract loaded so far (``anio``
+    partitions prune year filters)."""
+    return _versions(spark, out_dir, p).drop("batch_id")
+
+
+def current_alerts(spark: SparkSession, out_dir: str, p: Params = Params()) -> DataFrame:
+    """Alert table as of the latest batch."""
+    m = (spark.read.parquet(f"{out_dir}/manifest").groupBy("codigo", "clave")
               .agg(F.max("batch_id").alias("_b")))
     a = spark.read.parquet(f"{out_dir}/alerts")
-    return (a.join(m, ["codigo", "anio"]).where(F.col("batch_id") == F.col("_b"))
-             .drop("batch_id", "_b"))
+    c = contracts_table(spark, out_dir, p)
+    groups = (a.where(F.col("clave").isNotNull()).join(m, ["codigo", "clave"])
+               .where(F.col("batch_id") == F.col("_b"))
+               .drop("nombre_entidad", "proveedor")
+               .join(FL.entity_labels(c).withColumnRenamed("ne", "nombre_entidad"), "nit_entidad", "left")
+               .join(FL.supplier_labels(c).withColumnRenamed("pr", "proveedor"), "documento_proveedor", "left"))
+    r = _replaced(spark, out_dir).select(F.col("id_contrato").alias("_id"), "old_batch")
+    rows = a.where(F.col("clave").isNull())
+    rows = rows.join(r, (rows["id_contrato"] == r["_id"]) & (rows["batch_id"] == r["old_batch"]), "left_anti")
+    names = [f.name for f in ALERT.fields]
+    return groups.select(names).unionByName(rows.select(names))
+
+
+def _refresh(norm: DataFrame, batch_id: int, out_dir: str, p: Params) -> None:
+    spark = norm.sparkSession
+    new = derive(norm, p)
+    (new.write.mode("overwrite").partitionBy("anio").parquet(f"{out_dir}/contracts/batch_id={batch_id}"))
+    ids = norm.where(F.col("id_contrato").isNotNull()).select("id_contrato").distinct()
+    (_versions(spark, out_dir, p, below=batch_id).join(ids, "id_contrato", "left_semi")
+        .select("id_contrato", F.col("batch_id").alias("old_batch"), "anio", "nit_entidad").distinct()
+        .write.mode("overwrite").parquet(f"{out_dir}/replaced/batch_id={batch_id}"))
+    c = contracts_table(spark, out_dir, p)
+    gone = _replaced(spark, out_dir).where(F.col("batch_id") == batch_id)
+    changed = new.select("anio", "nit_entidad").unionByName(gone.select("anio", "nit_entidad"))
+    years = sorted(r[0] for r in changed.select("anio").distinct().collect())
+    buyers = changed.where(F.col("nit_entidad").isNotNull()).select("nit_entidad").distinct()
+    y02 = sorted(set(years) | {y + 1 for y in years})
+    by_year = [FL.REGISTRY[k].build(c.where(F.col("anio").isin(years)), p) for k in YEAR_FLAGS]
+    f02_rows = c.where(F.col("anio").isin(sorted(set(y02) | {y - 1 for y in y02})))
+    by_year.append(FL.f02_jump(f02_rows, p).where(F.col("anio").isin(y02)))
+    parts = [a.withColumn("clave", F.col("anio").cast("string")) for a in by_year]
+    parts.append(FL.f03_spike(c.join(buyers, "nit_entidad", "left_semi"), p)
+                   .withColumn("clave", F.col("nit_entidad")))
+    parts += [FL.REGISTRY[k].build(new, p).withColumn("clave", F.lit(None).cast("string")) for k in ROW_FLAGS]
+    functools.reduce(DataFrame.unionByName, parts).write.mode("overwrite").parquet(
+        f"{out_dir}/alerts/batch_id={batch_id}")
+    keys = [(k, str(y)) for k in YEAR_FLAGS for y in years] + [("F02", str(y)) for y in y02]
+    (spark.createDataFrame(keys, "codigo string, clave string")
+          .unionByName(buyers.select(F.lit("F03").alias("codigo"), F.col("nit_entidad").alias("clave")))
+          .write.mode("overwrite").parquet(f"{out_dir}/manifest/batch_id={batch_id}"))
 
 
 def _batch_writer(out_dir: str, p: Params):
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = derive(normalize(batch), p)
-        (new.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-            .partitionBy("anio").parquet(f"{out_dir}/contracts/batch_id={batch_id}"))
-        years = sorted(r[0] for r in new.select("anio").distinct().collect() if r[0] is not None)
-        if not years:
-            return
-        c = contracts_table(spark, f"{out_dir}/contracts")
-        all_years = sorted(r[0] for r in c.select("anio").distinct().collect() if r[0] is not None)
-        y02 = sorted(set(years) | {y + 1 for y in years})
-        parts = [FL.REGISTRY[k].build(c.where(F.col("anio").isin(years)), p) for k in YEAR_FLAGS]
-        f02_rows = c.where(F.col("anio").isin(sorted(set(y02) | {y - 1 for y in y02})))
-        parts.append(FL.f02_jump(f02_rows, p).where(F.col("anio").isin(y02)))
-        parts.append(FL.f03_spike(c, p))
-        alerts = functools.reduce(DataFrame.unionByName, parts)
-        (alerts.withColumn("batch_id", F.lit(batch_id))
-               .write.mode("overwrite").parquet(f"{out_dir}/alerts/batch_id={batch_id}"))
-        keys = ([(k, y) for k in YEAR_FLAGS for y in years] + [("F02", y) for y in y02]
-                + [("F03", y) for y in all_years])
-        (spark.createDataFrame(keys, "codigo string, anio int").withColumn("batch_id", F.lit(batch_id))
-              .write.mode("overwrite").parquet(f"{out_dir}/manifest/batch_id={batch_id}"))
+        norm = normalize(batch).persist()       # read by every flag; lost parts are parsed again
+        try:
+            _refresh(norm, batch_id, out_dir, p)
+        finally:
+            norm.unpersist()
     return write
 
 
@@ -77,10 +130,12 @@ def run_refresh(spark: SparkSession, landed_dir: str, out_dir: str, checkpoint:
                 p: Params = Params(), max_files_per_trigger: int | None = None) -> DataFrame:
     """Consume every landed page not yet processed, then return the current
     alert table."""
+    # so that readers find the folder before the first batch
+    spark.createDataFrame([], _REPLACED).write.mode("ignore").parquet(f"{out_dir}/replaced/batch_id=-1")
     r = spark.readStream.schema(LANDED_CONTRACT)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     q = (r.json(landed_dir).writeStream.foreachBatch(_batch_writer(out_dir, p))
           .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return current_alerts(spark, out_dir)
+    return current_alerts(spark, out_dir, p)

@@ -230,8 +230,8 @@ def company_age(c: DataFrame, max_days: int, min_value: int = 0) -> DataFrame:
 
 def loser_winner_pairs(c: DataFrame, min_together: int = 2) -> DataFrame:
     """XR suppliers that keep appearing beside the same winner: per process
-    the winner is the supplier of the largest award (``max(struct)``, a hash
-    aggregate); every other participant gets one (loser, winner) edge, so a
+    the winner is the supplier of the largest award (``max(struct)``, a
+    sort-based aggregate over process totals); every other participant gets one (loser, winner) edge, so a
     process with k participants emits k-1 rows, never all pairs. Pairs seen
     in at least ``min_together`` processes, with the share of the loser's
     processes that the winner took."""

@@ -348,8 +348,8 @@ def run_flags_shared(c: DataFrame, p: Params = Params()) -> DataFrame:
     F01, F02, F04, F06 and F08, so the raw table is shuffled once (as
     partial aggregates) for five flags; the aggregate is checkpointed (it is
     far smaller than the contracts) so the five consumers read it instead of
-    re-planning it; F03 has its own month key; F09 and F10 come from one
-    map-only pass. Same rows as ``run_flags``."""
+    re-planning it; F03 has its own month key; F09 and F10 are
+    map-only scans, each with its filter pushed down. Same rows as ``run_flags``."""
     nc = F.col("es_sin_competencia")
     ops = F.col("es_persona_natural") & is_service(p)
     zero = F.lit(0)
@@ -399,14 +399,7 @@ def run_flags_shared(c: DataFrame, p: Params = Params()) -> DataFrame:
               .agg(F.sum("n").alias("n"), F.sum("v").alias("v"),
                    F.sum(F.coalesce(F.col("v_nc"), zero)).alias("v_nc")))
     f08 = f08_from_totals(g8, p, ent)
-    # F09 + F10 in one pass
-    c9, c10 = _f09_cond(p), _f10_cond(p)
-    rows = (c.where(c9 | c10)
-             .withColumn("_code", F.explode(F.array_compact(F.array(F.when(c9, F.lit("F09")),
-                                                                    F.when(c10, F.lit("F10")))))))
-    r9 = rows.where(F.col("_code") == "F09").select(*_row_alert("F09", _f09_detail(p)))
-    r10 = rows.where(F.col("_code") == "F10").select(*_row_alert("F10", _f10_detail()))
-    return union_alerts([f01, f02, f03_spike(c, p), f04, f06, f08, r9, r10])
+    return union_alerts([f01, f02, f03_spike(c, p), f04, f06, f08, f09_vague(c, p), f10_extension(c, p)])
 
 
 def _f02_from_years(y: DataFrame, p: Params, labels: DataFrame) -> DataFrame:

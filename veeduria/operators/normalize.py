@@ -63,8 +63,9 @@ def dedupe(df: DataFrame, key: str = "id_contrato", order: tuple[str, ...] = DED
     """Keep one row per ``key``: latest signature date, then largest value,
     then the remaining order columns, then all other columns (deterministic).
 
-    Written as ``max(struct(order..., rest...))`` per key: a hash aggregate
-    with a map-side partial step, so a key repeated by a third of all rows is
+    Written as ``max(struct(order..., rest...))`` per key: a sort-based
+    aggregate (a struct can't live in a hash aggregation buffer) with a
+    map-side partial step, so a key repeated by a third of all rows is
     reduced inside each task before the shuffle (a ``row_number`` window
     would sort all of them in one task). ``max`` over a struct orders NULL
     lowest, which is "descending, NULLs last". Rows without a key are not

@@ -31,9 +31,17 @@ def st_weekly(ctx: Context):
 SELECT event_id, CAST(ts AS VARCHAR) AS ts, user_id, event_type, value, props
 FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ts) AS rn FROM events) WHERE rn = 1""")
 def st_dedupe(ctx: Context):
-    """Streaming de-duplication of replayed records by id within a watermark."""
+    """Streaming de-duplication of replayed records by id within a watermark:
+    the table lands together with a second copy of its clicks, and once more
+    in a later run."""
     table, ckpt = _dirs(ctx, "st_dedupe")
-    return RF.run_dedupe(ctx.spark, ctx.sf_dir, "events.parquet", table, ckpt)
+    landed = table.rsplit("/", 1)[0] + "/landed"
+    events = ctx.spark.read.parquet(f"{ctx.sf_dir}/events.parquet")
+    events.write.parquet(landed)
+    events.where(F.col("event_type") == "click").write.mode("append").parquet(landed)
+    RF.run_dedupe(ctx.spark, landed, None, table, ckpt)
+    events.write.mode("append").parquet(landed)
+    return RF.run_dedupe(ctx.spark, landed, None, table, ckpt)
 
 
 # ------------------------------------------------------ incremental flags ---

@@ -308,6 +308,23 @@ def test_substring_dedup_overlaps_and_edges(spark, edge):
     assert 2 not in kept and kept[1]["text"] == EDGE[0][1] and kept[9]["n_chars"] == len(kept[9]["text"])
 
 
+def test_substring_dedup_deals_crowded_anchors(spark):
+    opening = " ".join(f"o{i}" for i in range(18))
+    own = [" ".join(f"d{i}w{j}" for j in range(30)) for i in range(400)]
+    pairs = [(i, f"{opening} {own[i // 2 if i % 5 == 0 else i]}") for i in range(400)]
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(4)
+    marked = substring_dedup.recurring_anchors(df, 20, 8)
+    places = substring_dedup.passages(df, marked, 20, 8).cache()
+    assert substring_dedup.crowded_anchors(places, 50).count() > 0
+    few, many = substring_dedup.dealt(places, 20, 50)
+    assert max([r["count"] for r in rows(few.groupBy("anchor").count())], default=0) <= 50
+    met = [r["count"] for r in rows(many.groupBy("shard").count())]
+    assert len(met) > 8 and max(met) < sum(met) / 8
+    for crowd in (0, 50, 10**9):
+        got = sorted(rows(substring_dedup.report(df, crowd=crowd)), key=lambda r: r["doc_id"])
+        assert [(r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got] == brute_dedup(pairs)
+
+
 # ----------------------------------------------------------------- license --
 def test_license_base(docs, texts, edge):
     pattern = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"

@@ -11,12 +11,17 @@ also start earlier in the corpus is removed. The steps:
    it governs, 32 at most, are a passage. Equal passages within a task are
    confirmed at once: the earliest stays, the others are marked. One row per
    distinct passage leaves the task, to the shard of its anchor, so that a
-   passage in a third of all documents is a row per task there.
+   passage in a third of all documents is a row per task there. An anchor
+   with more than ``CROWD`` such rows (an opening line, the edges of
+   boilerplate: a different passage in each document) is crowded.
 3. Automata. A shard marks equal passages again. Windows that different
    passages of one anchor share are compiled into an Aho-Corasick automaton
    over word numbers, and all passages of such anchors are streamed through
    it; of each window the earliest place stays, the others are marked.
-   Words, not hashes, are compared.
+   Words, not hashes, are compared. Passages of crowded anchors are cut into
+   their windows instead: each task keeps the earliest place of a window and
+   marks the others, and the windows are dealt by their own hash, so that the
+   passages of such an anchor never meet in one task.
 4. The marks of each document are gathered (never more than its windows) and
    its text is rewritten.
 
@@ -34,6 +39,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +55,10 @@ from veeduria.session import reuse
 WINDOW = 20
 ANCHOR = 8
 HOLD_PASSAGES = 400_000
+HOLD_WINDOWS = 200_000
+CROWD = 1_000                # rows of one anchor that a shard takes
 _PLACES = "shard int, anchor long, passage binary, doc_id long, text_key long, start int, length int"
+_WINDOWS = "shard int, window binary, doc_id long, text_key long, start int, length int"
 _MARKS = "doc_id long, text_key long, start int, length int"
 
 
@@ -217,17 +226,89 @@ def resolve(rows: list[tuple], window: int = WINDOW) -> list[tuple]:
     return marks.rows()
 
 
-def removals(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
+class Firsts:
+    """The earliest place of each window; the other places are marked."""
+
+    def __init__(self, window: int):
+        self.window = window
+        self.best: dict[bytes, tuple] = {}
+        self.marks = Marks()
+
+    def add(self, w: bytes, doc: tuple, start: int):
+        now = _order(doc, start)
+        old = self.best.get(w)
+        if old is None or now < old[0]:
+            self.best[w] = (now, doc)
+            if old is not None:
+                self.marks.add(old[1], old[0][-1], self.window)
+        elif now > old[0]:
+            self.marks.add(doc, start, self.window)
+
+
+def crowded_anchors(places: DataFrame, crowd: int) -> DataFrame:
+    """Anchors with more than ``crowd`` rows: at most rows / crowd of them."""
+    return places.where("shard >= 0").groupBy("anchor").count().where(F.col("count") > crowd).select("anchor")
+
+
+def windows(crowded: DataFrame, window: int) -> DataFrame:
+    """Distinct windows of each task with their earliest place, to the shard
+    of the window's hash; without a window, the ranges of the other places."""
+    shards = 4 * partitions(crowded.sparkSession)
+
+    def run(batches):
+        firsts = Firsts(window)
+
+        def flush():
+            rows = [(zlib.crc32(w) % shards, w, *doc, now[-1], window) for w, (now, doc) in firsts.best.items()]
+            rows += [((r[1] + r[2]) % shards, None, *r) for r in firsts.marks.rows()]
+            firsts.__init__(window)
+            return _batch(_WINDOWS, rows)
+
+        for b in batches:
+            for passage, doc_id, text_key, start in zip(*[c.to_pylist() for c in b.columns]):
+                words = passage.split(b" ")
+                for i in range(len(words) - window + 1):
+                    firsts.add(b" ".join(words[i:i + window]), (doc_id, text_key), start + i)
+            if len(firsts.best) > HOLD_WINDOWS:
+                yield flush()
+        yield flush()
+
+    return crowded.select("passage", "doc_id", "text_key", "start").mapInArrow(tidy(run), _WINDOWS)
+
+
+def resolve_windows(rows: list[tuple], window: int = WINDOW) -> list[tuple]:
+    """Marks of one shard from (window, doc_id, text_key, start, length) rows."""
+    firsts = Firsts(window)
+    for w, doc_id, text_key, start, length in rows:
+        if w is None:
+            firsts.marks.add((doc_id, text_key), start, length)
+        else:
+            firsts.add(w, (doc_id, text_key), start)
+    return firsts.marks.rows()
+
+
+def dealt(places: DataFrame, window: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """The rows that meet by shard: passages, and windows of crowded anchors."""
+    many = F.broadcast(reuse(crowded_anchors(places, crowd)))
+    sent = places.where("shard >= 0")
+    return sent.join(many, "anchor", "left_anti"), windows(sent.join(many, "anchor", "left_semi"), window)
+
+
+def removals(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, crowd: int | None = None) -> DataFrame:
     """(doc_id, text_key, ranges) of the documents that lose words."""
     marked = reuse(recurring_anchors(docs, window, k))
     places = reuse(passages(docs, marked, window, k))
+    few, many = dealt(places, window, CROWD if crowd is None else crowd)
 
-    def run(table: pa.Table) -> pa.Table:
-        columns = ("anchor", "passage", "doc_id", "text_key", "start", "length")
-        return pa.Table.from_batches([_batch(_MARKS, resolve(list(zip(*[table[c].to_pylist() for c in columns])), window))])
+    def shard(resolved, columns):
+        def run(table: pa.Table) -> pa.Table:
+            return pa.Table.from_batches([_batch(_MARKS, resolved(list(zip(*[table[c].to_pylist() for c in columns])), window))])
+        return tidy_group(run)
 
-    found = places.where("shard >= 0").groupBy("shard").applyInArrow(tidy_group(run), _MARKS)
-    every = places.where("shard < 0").select("doc_id", "text_key", "start", "length").unionByName(found)
+    place = ("doc_id", "text_key", "start", "length")
+    found = few.groupBy("shard").applyInArrow(shard(resolve, ("anchor", "passage", *place)), _MARKS)
+    found = found.unionByName(many.groupBy("shard").applyInArrow(shard(resolve_windows, ("window", *place)), _MARKS))
+    every = places.where("shard < 0").select(*place).unionByName(found)
     return every.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "length")).alias("ranges"))
 
 
@@ -241,15 +322,15 @@ def _mask(n: int, ranges: list[dict] | None) -> np.ndarray:
     return gone
 
 
-def with_ranges(docs: DataFrame, window: int, k: int) -> DataFrame:
+def with_ranges(docs: DataFrame, window: int, k: int, crowd: int | None = None) -> DataFrame:
     """Columns of ``docs`` and ``_dd_ranges``, the ranges to remove."""
-    r = removals(docs, window, k).select(F.col("doc_id").alias("_dd_id"), F.col("text_key").alias("_dd_key"),
+    r = removals(docs, window, k, crowd).select(F.col("doc_id").alias("_dd_id"), F.col("text_key").alias("_dd_key"),
                                          F.col("ranges").alias("_dd_ranges"))
     return docs.join(r, docs["doc_id"].cast("long").eqNullSafe(r["_dd_id"])
                      & (F.xxhash64(docs["text"]) == r["_dd_key"]), "left").drop("_dd_id", "_dd_key")
 
 
-def report(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
+def report(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, crowd: int | None = None) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256."""
     def run(batches):
         for b in batches:
@@ -263,7 +344,7 @@ def report(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
                 zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string()))],
                 names=["doc_id", "n_words", "n_removed", "kept_sha256"])
-    x = with_ranges(docs.select("doc_id", "text"), window, k)
+    x = with_ranges(docs.select("doc_id", "text"), window, k, crowd)
     return x.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_dd_ranges").mapInArrow(
         tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 

@@ -255,6 +255,17 @@ def test_quality_thresholds_follow_the_group(spark):
     assert sorted(r["doc_id"] for r in rows(quality.judge(df)) if not r["kept"]) == [100]
 
 
+def test_quality_thresholds_of_small_and_mixed_groups(spark):
+    def some(first, n, sign, lang, source):
+        return [(first + i, " ".join(f"w{first}{i}x{j}{sign}" for j in range(40)), lang, source) for i in range(n)]
+
+    junk = [*some(1000, 2, "##", "es", "few"), *some(1100, 12, "##", "es", "mixed"), *some(1200, 1, "##", "xx", "few")]
+    kept = [*some(0, 200, "", "es", "a"), *some(300, 2, "", "es", "few"), *some(400, 28, "", "es", "mixed"),
+            *some(500, 30, "##", "es", "code"), *some(600, 3, "", "xx", "few"), *some(700, 2, "", None, None)]
+    df = spark.createDataFrame(junk + kept, "doc_id long, text string, lang string, source string")
+    assert sorted(r["doc_id"] for r in rows(quality.judge(df)) if not r["kept"]) == sorted(x[0] for x in junk)
+
+
 # ------------------------------------------------------------------ langid --
 def test_langid_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

@@ -9,6 +9,14 @@ threshold is the upper quartile plus ``SPREAD`` times the distance between
 the quartiles, at least ``LEAST`` above the upper quartile. A group of clean
 documents thus loses none for a tiny spread.
 
+Few rows, or a group of which a quarter is junk, would set a threshold that
+keeps the junk. The sketches are therefore also merged per language and over
+all: a group of fewer than ``MIN_GROUP`` rows has the threshold of its
+language, a language of fewer that of all rows; and a threshold may exceed
+the wider one by ``MARGIN`` at most, beyond the distance of the medians. A
+source of code, whose median is high, thus keeps its own threshold. A group of
+which half is junk can't be told from such a source.
+
 Repeated windows are found by 64-bit hashes of the five words.
 
 Defined results: a null text or one without words has counts 0, fails the
@@ -34,6 +42,9 @@ SPREAD = 3.0
 SKETCH_K = 400
 #: Measure: least distance of the threshold from the upper quartile.
 LEAST = {"symbol_share": 0.05, "dup_line_share": 0.4, "capital_share": 0.5, "word_length": 7.0}
+MIN_GROUP = 20
+#: Measure: what a threshold may exceed the wider group's by, beyond the distance of the medians.
+MARGIN = {"symbol_share": 0.05, "dup_line_share": 0.1, "capital_share": 0.05, "word_length": 2.0}
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -86,22 +97,52 @@ def shares(m: DataFrame) -> DataFrame:
 
 
 def sketches(m: DataFrame) -> DataFrame:
-    """One quantile sketch per language, source and measure; sketches of
-    other batches can be merged in by ``kll_merge_agg_double``."""
-    return m.groupBy("lang", "source").agg(*[F.kll_sketch_agg_double(F.col(c), F.lit(SKETCH_K)).alias(c) for c in LEAST])
+    """Rows and one quantile sketch per language, source and measure;
+    sketches of other batches can be merged in by ``kll_merge_agg_double``."""
+    return m.groupBy("lang", "source").agg(
+        F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(F.col(c), F.lit(SKETCH_K)).alias(c) for c in LEAST])
+
+
+def merged(sk: DataFrame, key: Column) -> DataFrame:
+    """Sketches of wider groups."""
+    return sk.groupBy(key).agg(
+        F.sum("n").alias("n"), *[F.kll_merge_agg_double(F.col(c), F.lit(SKETCH_K)).alias(c) for c in LEAST])
+
+
+def fences(level: str, spread: float) -> list[Column]:
+    """Rows, and fence and median of each measure, named by the level."""
+    out = [F.col("n").alias(f"{level}_n")]
+    for c in LEAST:
+        low, mid, high = (F.kll_sketch_get_quantile_double(F.col(c), F.lit(q)) for q in (0.25, 0.5, 0.75))
+        out += [(high + F.greatest(F.lit(LEAST[c]), spread * (high - low))).alias(f"{level}_{c}"),
+                mid.alias(f"{level}_mid_{c}")]
+    return out
+
+
+def bounded(c: str, level: str, fence: Column, mid: Column) -> tuple[Column, Column]:
+    """Fence and median of a level, given those of the wider one."""
+    few = F.col(f"{level}_n") < MIN_GROUP
+    most = fence + F.greatest(F.lit(0.0), F.col(f"{level}_mid_{c}") - mid) + F.lit(MARGIN[c])
+    return (F.when(few, fence).otherwise(F.least(F.col(f"{level}_{c}"), most)),
+            F.when(few, mid).otherwise(F.col(f"{level}_mid_{c}")))
 
 
 def thresholds(sk: DataFrame, spread: float = SPREAD) -> DataFrame:
-    def fence(c: str) -> Column:
-        low, high = (F.kll_sketch_get_quantile_double(F.col(c), F.lit(q)) for q in (0.25, 0.75))
-        return (high + F.greatest(F.lit(LEAST[c]), spread * (high - low))).alias(f"max_{c}")
-    return sk.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[fence(c) for c in LEAST])
+    every = merged(sk, F.lit(0).alias("_all")).select(*fences("all", spread))
+    langs = merged(sk, F.col("lang").alias("_of")).select("_of", *fences("lang", spread))
+    x = (sk.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *fences("own", spread))
+           .join(langs, F.col("_lang").eqNullSafe(F.col("_of"))).crossJoin(F.broadcast(every)))
+
+    def limit(c: str) -> Column:
+        wide = bounded(c, "lang", F.col(f"all_{c}"), F.col(f"all_mid_{c}"))
+        return bounded(c, "own", *wide)[0].alias(f"max_{c}")
+    return x.select("_lang", "_source", *[limit(c) for c in LEAST])
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """Per document: base counts, base_failed, kept, and the rules broken."""
     m = reuse(shares(measured(docs)))
-    limits = reuse(thresholds(sketches(m)))     # one row per group: its size on disk decides the join
+    limits = reuse(thresholds(reuse(sketches(m))))     # one row per group: its size on disk decides the join
     x = m.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")))
     broken = F.array_compact(F.array(*[F.when(F.col(c) > F.col(f"max_{c}"), F.lit(c)) for c in LEAST]))
     return (x.withColumn("broken", broken)

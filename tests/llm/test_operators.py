@@ -399,6 +399,22 @@ def test_html(markup, text):
     assert html_text.visible_text(markup) == text
 
 
+@pytest.mark.parametrize("markup,text", [
+    ("<html><head><title>t</title><p>text", "text"), ("<head><meta x=y> \nwords <b>b</b>", "words b"),
+    ("<style>@media print{.n{display:none}} @media screen and (max-width:9px){.n{display:none}}</style><p class=n>a", "a"),
+    ("<style>@media screen{.n{display:none}} /* p{display:none} */</style><p class=n>a<p>b", "b"),
+    ("<style media=print>p{display:none}</style><p>a", "a"),
+    ("<i style='backface-visibility:hidden'>a</i><i style='visibility:hidden'>b<b style='visibility:visible'>c</b></i>", "ac"),
+    ("<style>.a{display:none}.b{display:block}</style><p class='b a'>x", "x"),
+    ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>", "x=1"),
+    ("<svg><title>no</title><defs/><path d='z'/>no<text>a</text><text>b</text></svg>c<svg><p>d", "a b c\n\nd"),
+    ("<xmp>a  <b>&amp;</xmp>c", "a  <b>&amp;\n\nc"),
+    ("<table><table style='visibility:hidden'><td style='visibility:visible'>x", "x"),
+])
+def test_html_drops_no_visible_text(markup, text):
+    assert html_text.visible_text(markup) == text
+
+
 def test_html_keeps_every_visible_word(spark):
     from html.parser import HTMLParser
 

@@ -3,9 +3,11 @@
 A tree builder turns the markup into properly nested elements: it closes
 what HTML lets authors leave open (paragraphs, list items, table parts,
 options), ignores end tags without a start, and treats scripts and the like
-as raw text. The renderer leaves out what a browser does not show (head,
-scripts, ``hidden``, ``display:none`` and ``visibility:hidden`` in style
-attributes or in simple style-sheet rules, closed details), keeps a blank
+as raw text. A head ends where something stands that may not be in it. The
+renderer leaves out what a browser does not show (head, scripts, ``hidden``,
+``display:none`` and ``visibility:hidden`` in style attributes or in
+style-sheet rules for a tag, class or id that hold on any screen, closed
+details, drawings but for their text), keeps a blank
 line around paragraphs and headings, a line per block, markers and
 indentation for lists, the lines of ``pre``, and pads the cells of a table
 so that its columns are aligned.
@@ -34,8 +36,14 @@ from veeduria.llm.common import tidy
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
 UNSEEN = frozenset("head script style title template noscript datalist iframe noembed noframes object audio video "
-                   "canvas svg math".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset menu hr".split())
+                   "canvas".split())
+HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template head html".split())
+UNDRAWN = {"svg": frozenset("defs symbol desc metadata clippath mask pattern marker".split()),
+           "math": frozenset("annotation annotation-xml mphantom".split())}
+ENDS_DRAWING = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li "
+                         "listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+VERBATIM = {"pre", "xmp"}
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre xmp table figure fieldset menu hr".split())
 BLOCK = SPACED | frozenset("html body div section article aside nav header footer main address li dt dd form figcaption "
                            "caption details summary legend center dialog hgroup option optgroup search".split())
 CLOSES_P = BLOCK - frozenset("html body caption option optgroup li dt dd".split()) | {"li", "dt", "dd"}
@@ -54,11 +62,49 @@ PAD_TO = 60                   # cells longer than this are not padded to
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_HIDE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
+_CSS = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|[{};]", re.S)
+_NESTED = re.compile(r"[^{};]*\{[^{}]*\}")
+GONE, BLANK = 2, 1            # not laid out; laid out without its text
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 
 
+def on_screen(media: str) -> bool:
+    """Whether a media query list holds on every screen."""
+    return any(x.strip().lower() in ("", "all", "screen", "only all", "only screen") for x in media.split(","))
+
+
+def style_rules(css: str) -> list[tuple[str, str]]:
+    """(selectors, declarations) of the rules that hold on every screen."""
+    css = _COMMENT.sub(" ", css)
+    out, blocks, at = [], [], 0
+    for m in _CSS.finditer(css + "}" * css.count("{")):
+        if m[0] == "{":
+            blocks.append((css[at:m.start()].strip(), m.end()))
+            at = m.end()
+        elif m[0] == "}":
+            if blocks:
+                names, start = blocks.pop()
+                if not names.startswith("@") and all(x.lower().startswith("@layer") or x.lower().startswith("@media")
+                                                     and on_screen(x[6:]) for x, _ in blocks):
+                    out.append((names, _NESTED.sub("", css[start:m.start()])))
+            at = m.end()
+        elif m[0] == ";" and (not blocks or blocks[-1][0].startswith("@")):
+            at = m.end()
+    return out
+
+
+def shown(declarations: str) -> dict[str, tuple[bool, str]]:
+    """(important, value) of display and visibility, as declared last."""
+    out: dict[str, tuple[bool, str]] = {}
+    for d in _COMMENT.sub(" ", declarations).lower().split(";"):
+        name, _, value = d.partition(":")
+        value, mark, _ = value.partition("!")
+        if name.strip() in ("display", "visibility") and (bool(mark) or not out.get(name.strip(), (False,))[0]):
+            out[name.strip()] = (bool(mark), value.strip())
+    return out
+
+
 class Lines:
     """Text being laid out: finished lines and the line being filled."""
 
@@ -97,31 +143,51 @@ class Page:
     """Builds the element stack of one page and renders as it goes."""
 
     def __init__(self):
-        self.stack: list[tuple[str, bool]] = []      # (element, hidden)
+        self.stack: list[tuple[str, int]] = []       # (element, 0, BLANK or GONE)
         self.out = [Lines()]
         self.tables: list[dict] = []
         self.lists: list[list] = []
-        self.rules: set[str] = set()
+        self.rules: dict[str, list[tuple]] = {}      # selector: (property, important, weight, order, value)
+        self.n_rules = 0
+        self.drawn = False       # a drawing or formula was met
         self.fresh = False
 
     # ---------------------------------------------------------------- tree --
-    def hidden(self) -> bool:
-        return bool(self.stack) and self.stack[-1][1]
+    def hidden(self) -> int:
+        return self.stack[-1][1] if self.stack else 0
+
+    def drawing(self) -> str:
+        """The drawing or formula that the next words are a part of."""
+        for name, _ in reversed(self.stack) if self.drawn else ():
+            if name in ("svg", "math"):
+                return name
+            if name == "foreignobject":
+                break
+        return ""
 
-    def start(self, tag: str, attrs: dict[str, str]):
+    def start(self, tag: str, attrs: dict[str, str], closed: bool = False):
+        if self.stack and self.stack[-1][0] == "head" and tag not in HEAD:
+            self.leave(*self.stack.pop())
+        if tag == "html" and self.stack or tag == "head" and any(name != "html" for name, _ in self.stack):
+            return
+        self.drawn = self.drawn or tag in UNDRAWN
+        inside = self.drawing()
+        if inside and tag in ENDS_DRAWING:
+            self.close({inside}, {"foreignobject"})
+            inside = self.drawing()
         if tag in CLOSES_P or tag == "table":
             self.close({"p"}, CELL | {"table", "button"})
         if tag in IMPLIED:
             self.close(*IMPLIED[tag])
         if tag in CELL and self.tables and not self.inside("tr"):
             self.start("tr", {})
-        hidden = self.hidden() or self.hides(tag, attrs)
-        if tag in VOID:
-            if not hidden:
+        hidden = self.hides(tag, attrs, inside)
+        if tag in VOID or inside and closed:
+            if hidden != GONE and tag in VOID:
                 self.enter(tag, attrs)
             return
         self.stack.append((tag, hidden))
-        if not hidden:
+        if hidden != GONE:
             self.enter(tag, attrs)
 
     def inside(self, tag: str) -> bool:
@@ -130,11 +196,34 @@ class Page:
                 return name == tag
         return False
 
-    def hides(self, tag: str, attrs: dict[str, str]) -> bool:
-        names = {tag, *("." + c for c in attrs.get("class", "").split()), "#" + attrs.get("id", "")}
+    def hides(self, tag: str, attrs: dict[str, str], inside: str) -> int:
+        above = self.hidden()
         closed = bool(self.stack) and self.stack[-1][0] == "details:closed" and tag != "summary"
-        return (tag in UNSEEN or "hidden" in attrs or closed or bool(names & self.rules)
-                or tag == "dialog" and "open" not in attrs or bool(_HIDE.search(attrs.get("style", ""))))
+        if above == GONE or tag in UNSEEN or closed or tag in UNDRAWN.get(inside, ()):
+            return GONE
+        best: dict[str, tuple] = {}
+        own = [(k, important, 3, 0, v) for k, (important, v) in shown(attrs["style"]).items()] if "style" in attrs else []
+        if self.rules:
+            for name in (tag, *("." + c for c in attrs.get("class", "").split()), "#" + attrs.get("id", "")):
+                own += self.rules.get(name, ())
+        for k, *rank in own:
+            best[k] = max(best.get(k, rank), rank)
+        display, visible = (best[k][-1] if k in best else None for k in ("display", "visibility"))
+        if display == "none" or display is None and ("hidden" in attrs or tag == "dialog" and "open" not in attrs):
+            return GONE
+        if visible in ("hidden", "collapse"):
+            return BLANK
+        return 0 if visible in ("visible", "initial") else above
+
+    def read_style(self, css: str):
+        for names, body in style_rules(css):
+            found = shown(body)
+            for name in names.split(",") if found else ():
+                name = name.strip()
+                weight = {".": 1, "#": 2}.get(name[:1], 0)
+                self.n_rules += 1
+                self.rules.setdefault(name if weight else name.lower(), []).extend(
+                    (k, important, weight, self.n_rules, v) for k, (important, v) in found.items())
 
     def close(self, tags: set[str], stop: set[str]):
         """End the outermost element of ``tags`` above any of ``stop``."""
@@ -177,6 +266,8 @@ class Page:
         o = self.out[-1]
         if tag == "br":
             o.end_line(keep=bool(o.now))
+        elif tag in ("text", "mtd") and self.drawing():
+            o.text(" ")
         elif tag == "table":
             self.block(tag)
             self.tables.append({"rows": [], "down": {}})
@@ -205,8 +296,8 @@ class Page:
             elif tag == "details" and "open" not in attrs:
                 self.stack[-1] = ("details:closed", self.stack[-1][1])
 
-    def leave(self, tag: str, hidden: bool):
-        if hidden:
+    def leave(self, tag: str, hidden: int):
+        if hidden == GONE:
             return
         o = self.out[-1]
         if tag in CELL and self.tables and len(self.out) > 1:
@@ -226,7 +317,7 @@ class Page:
             self.out[-1].put(aligned(self.tables.pop()["rows"]))
             self.block(tag)
         elif tag.partition(":")[0] in BLOCK:
-            if tag == "pre":
+            if tag in VERBATIM:
                 if "".join(o.now):
                     o.end_line(keep=True)
                 o.now = []
@@ -240,16 +331,23 @@ class Page:
                 o.indent.pop()
                 if tag == "li":
                     o.marker = ""
-        elif tag == "textarea":
+        elif tag == "textarea" or tag in ("text", "mtd") and self.drawing():
             o.text(" ")
 
     def chars(self, s: str):
+        if s and self.stack and self.stack[-1][0] == "head" and s.strip(" \t\n\f\r"):
+            self.leave(*self.stack.pop())
         if not s or self.hidden():
             return
+        for name, _ in reversed(self.stack) if self.drawn else ():
+            if name == "svg":
+                return
+            if name in ("text", "foreignobject"):
+                break
         if self.stack and self.stack[-1][0] == "details:closed":
             return
         o = self.out[-1]
-        if any(name == "pre" for name, _ in self.stack):
+        if any(name in VERBATIM for name, _ in self.stack):
             s = s.replace("\r\n", "\n")
             if self.fresh:
                 s, self.fresh = s.removeprefix("\n"), False
@@ -278,14 +376,17 @@ class Page:
             if m[1]:
                 self.end(tag)
                 continue
-            self.start(tag, {a.lower(): entities.unescape(x or y or z or "") for a, x, y, z in _ATTR.findall(m[3])})
+            attrs: dict[str, str] = {}
+            for a, x, y, z in _ATTR.findall(m[3]):
+                attrs.setdefault(a.lower(), entities.unescape(x or y or z or ""))
+            self.start(tag, attrs, m[3].endswith("/"))
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}\s*>|\Z", re.I).search(markup, at)
                 raw = markup[at:end.start()]
-                if tag == "style":
-                    self.rules |= {s.strip().lower() if not s.strip().startswith((".", "#")) else s.strip()
-                                   for names, body in _RULE.findall(raw) if _HIDE.search(body) for s in names.split(",")}
-                self.chars(entities.unescape(raw) if tag == "textarea" else "")
+                if tag == "style" and on_screen(attrs.get("media", "")) and not any(
+                        name in ("noscript", "template") for name, _ in self.stack):
+                    self.read_style(raw)
+                self.chars(entities.unescape(raw) if tag == "textarea" else raw if tag == "xmp" else "")
                 at = end.end()
                 self.end(tag)
         while self.stack:

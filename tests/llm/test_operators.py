@@ -361,6 +361,26 @@ def test_license_method_spans(spark):
     assert (got[3]["n_base"], got[3]["first_word"], got[3]["last_word"], got[3]["score"]) == (2, 0, 3, 1.0)
 
 
+def test_license_one_edit_of_every_sentence(spark):
+    pairs, want = [], {}
+    for sentence, label in license_scan.SENTENCES:
+        w = sentence.split()
+        for i in range(len(w) + 1):
+            forms = [w[:i] + ["put"] + w[i:]]
+            if i < len(w) and w[i] not in license_scan.TELLING:
+                forms += [w[:i] + ["other"] + w[i + 1:], w[:i] + w[i + 1:]]
+            for form in forms:
+                if max(sum(form[j:j + 3] == w[k:k + 3] for j in range(len(form) - 2)) for k in range(len(w) - 2)):
+                    want[len(pairs)] = label
+                    pairs.append((len(pairs), " ".join(["x", "y", *form, "z"])))
+    others = ["licensed under cc by sa 4 0", "licensed under the mozilla license version 2 0", "licensed under the"]
+    pairs += [(10_000 + i, x) for i, x in enumerate(others)]
+    got = {r["doc_id"]: r["labels"].split(",") for r in rows(license_scan.scan(
+        spark.createDataFrame(pairs, "doc_id long, text string").repartition(4)))}
+    assert [(pairs[d][1], got[d]) for d, label in want.items() if label not in got[d]] == []
+    assert [got[10_000 + i] for i in range(len(others))] == [[""]] * len(others)
+
+
 # ------------------------------------------------------------------ mixing --
 def test_mixing_against_sql(spark):
     import duckdb

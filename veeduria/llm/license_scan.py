@@ -7,7 +7,11 @@ words are compared, so a vote is never due to a hash collision. A vote of a
 document position p for a template position t lies on diagonal p - t. Votes
 are summed by diagonal; neighbouring diagonals of a template (words put in
 or left out) are merged; a merged span counts if enough different template
-positions voted and the span is not much longer than the template. A base
+positions voted and the span is not much longer than the template. One edit
+costs up to three votes, most of what a short template has: a span with fewer
+votes counts too if its words, compared one by one, are at most
+``allowed_edits`` insertions, losses and replacements away from the template
+and hold the words that tell its license from others (``TELLING``). A base
 phrase needs all its 3-grams on one diagonal: then its words stand there
 consecutively, at the diagonal's number.
 
@@ -29,7 +33,9 @@ from pyspark.sql import functions as F
 K = 3
 BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 MERGE = 3                    # diagonals this close are one occurrence
-MIN_SHARE = 0.75             # of a template's 3-grams must vote
+MIN_SHARE = 0.75             # of a template's 3-grams must vote, or its words be compared
+BEFORE, AROUND = 32, 112     # words kept with a vote, to compare
+SLACK = 2                    # the ends of a compared span may be off by this
 MAX_STRETCH = 1.5            # a span may be this much longer than its template
 
 # Base phrases and their labels.
@@ -51,13 +57,26 @@ SENTENCES = (
 )
 
 
+#: Words that a compared span can't lack: without them it is another license.
+TELLING = frozenset("apache 2 gnu 3 mozilla attribution nc".split())
+_CODES = {w: chr(0x100 + i) for i, w in enumerate(sorted({w for x in SENTENCES for w in x[0].split()}))}
+
+
+def allowed_edits(size):
+    return F.greatest(F.lit(1), F.floor(size / 8))
+
+
 def template_grams(spark: SparkSession) -> DataFrame:
-    """(template, label, is_base, size, t, tgram): fixed size."""
+    """(template, label, is_base, size, t, tgram, tcode, telling): fixed size;
+    tcode has a character for each word of a sentence."""
     rows = []
     for n, (phrase, label, base) in enumerate([(*x, True) for x in BASE] + [(*x, False) for x in SENTENCES]):
         w = phrase.split()
-        rows += [(n, label, base, len(w), i, " ".join(w[i:i + K])) for i in range(len(w) - K + 1)]
-    return spark.createDataFrame(rows, "template int, label string, is_base boolean, size int, t int, tgram string")
+        code = "" if base else "".join(_CODES[x] for x in w)
+        telling = [_CODES[x] for x in w if x in TELLING and not base]
+        rows += [(n, label, base, len(w), i, " ".join(w[i:i + K]), code, telling) for i in range(len(w) - K + 1)]
+    return spark.createDataFrame(rows, "template int, label string, is_base boolean, size int, t int, tgram string, "
+                                       "tcode string, telling array<string>")
 
 
 def scan_words(text: Column) -> Column:
@@ -68,25 +87,48 @@ def scan_words(text: Column) -> Column:
 
 
 def votes(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, template..., p, t): 3-grams that are a template's."""
+    """(doc_id, text_hash, template..., p, t, near): 3-grams that are a
+    template's, with the words around them."""
     x = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), scan_words(F.col("text")).alias("w"))
     gram = F.transform("w", lambda a, i: F.struct(
         i.alias("p"), F.concat_ws(" ", a, F.get(F.col("w"), i + 1), F.get(F.col("w"), i + 2)).alias("gram")))
+    grams = sorted({" ".join(w[i:i + K]) for w in (x[0].split() for x in (*BASE, *SENTENCES)) for i in range(len(w) - K + 1)})
+    gram = F.transform(F.filter(gram, lambda g: g["gram"].isin(grams)), lambda g: F.struct(
+        g["p"].alias("p"), g["gram"].alias("gram"),
+        F.slice(F.col("w"), F.greatest(F.lit(1), g["p"] + 1 - BEFORE), F.lit(AROUND)).alias("near")))
     # outer: for a plain explode Catalyst infers a filter on the array and would
     # evaluate it, word list included, a second time below
     x = x.select("doc_id", "text_hash", gram.alias("g")).select("doc_id", "text_hash", F.explode_outer("g").alias("g"))
-    x = x.select("doc_id", "text_hash", "g.p", "g.gram", F.xxhash64("g.gram").alias("h"))
+    x = x.select("doc_id", "text_hash", "g.p", "g.gram", "g.near", F.xxhash64("g.gram").alias("h"))
     templates = F.broadcast(template_grams(docs.sparkSession).withColumn("th", F.xxhash64("tgram")))
     return (x.join(templates, (F.col("h") == F.col("th")) & (F.col("gram") == F.col("tgram")))
-             .select("doc_id", "text_hash", "template", "label", "is_base", "size", "p", "t"))
+             .select("doc_id", "text_hash", "template", "label", "is_base", "size", "tcode", "telling", "p", "t", "near"))
+
+
+def edited() -> Column:
+    """Whether the words of a merged span are a template's but for a few edits."""
+    codes = F.create_map(*[F.lit(x) for pair in _CODES.items() for x in pair])
+    text = F.array_join(F.transform(F.col("near"), lambda w: F.coalesce(F.element_at(codes, w), F.lit("~"))), "")
+    begin = F.col("first") - F.col("t_first") - F.greatest(F.lit(0), F.col("first") - BEFORE)
+    n = F.col("last") - F.col("first") + 1 + F.col("t_first") + F.col("size") - K - F.col("t_last")
+
+    def part(left, right):
+        at = F.greatest(F.lit(0), begin + left)
+        return F.substr(text, at + 1, F.greatest(F.lit(0), begin + n + right - at))
+
+    off = range(-SLACK, SLACK + 1)
+    tries = F.array(*[part(F.lit(i), F.lit(j)) for i in off for j in off])
+    return F.exists(tries, lambda x: (F.levenshtein(x, F.col("tcode")) <= allowed_edits(F.col("size")))
+                    & F.forall(F.col("telling"), lambda k: F.instr(x, k) > 0))
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """Verified places: doc_id, text_hash, label, is_base, first, last (word
     numbers), score."""
-    key = ["doc_id", "text_hash", "template", "label", "is_base", "size"]
+    key = ["doc_id", "text_hash", "template", "label", "is_base", "size", "tcode", "telling"]
     diagonals = (votes(docs).groupBy(*key, (F.col("p") - F.col("t")).alias("diagonal"))
-                 .agg(F.collect_set("t").alias("ts"), F.min("p").alias("first"), F.max("p").alias("last")))
+                 .agg(F.collect_set("t").alias("ts"), F.min("p").alias("first"), F.max("p").alias("last"),
+                      F.min(F.struct("p", "t", "near")).alias("head"), F.max(F.struct("p", "t")).alias("tail")))
     order = Window.partitionBy("doc_id", "text_hash", "template").orderBy("diagonal")
     # a base phrase is exact, so each diagonal is a place of its own
     new = F.when(F.col("is_base") | F.lag("diagonal").over(order).isNull()
@@ -95,11 +137,14 @@ def spans(docs: DataFrame) -> DataFrame:
               .withColumn("place", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
               .groupBy(*key, "place")
               .agg(F.size(F.array_distinct(F.flatten(F.collect_list("ts")))).alias("n"),
-                   F.min("first").alias("first"), (F.max("last") + K - 1).alias("last")))
+                   F.min("first").alias("first"), (F.max("last") + K - 1).alias("last"),
+                   F.min("head").alias("head"), F.max("tail").alias("tail"))
+              .withColumns({"near": F.col("head.near"), "t_first": F.col("head.t"), "t_last": F.col("tail.t")}))
     share = F.col("n") / (F.col("size") - (K - 1))
     length = F.col("last") - F.col("first") + 1
     good = F.when(F.col("is_base"), share == 1).otherwise(
-        (share >= MIN_SHARE) & (length <= MAX_STRETCH * F.col("size")))
+        (length <= MAX_STRETCH * F.col("size")) & ((share >= MIN_SHARE) | (
+            (F.col("n") >= F.greatest(F.lit(2), F.col("size") - (K - 1) - K * allowed_edits(F.col("size")))) & edited())))
     return merged.where(good).select("doc_id", "text_hash", "label", "is_base", "first", "last", share.alias("score"))
 
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veeduria.llm import (fingerprints, html_text, jaccard_join, langid, license_scan, mixing, packing, quality,
-                          substring_dedup, token_orc)
+from veeduria.llm import (fingerprints, html_text, jaccard_join, langid, license_scan, merkle, mixing, packing,
+                          periodic_runs, quality, secret_crf, substring_dedup, token_orc)
 from veeduria.llm.common import table
 
 
@@ -55,6 +55,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_crf.scan(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_html_text": op2_html_text,
@@ -66,8 +78,12 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_mixing": op10_mixing,
+    "op11_merkle": op11_merkle,
+    "op12_secret_crf": op12_secret_crf,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL = {
     "op10_mixing": mixing.SQL,
+    "op11_merkle": merkle.SQL,
 }

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pandas as pd
 
-from veeduria.operators.quantiles import exact_quantile
+from veeduria.operators.ranks import exact_quantile
 from veeduria.streaming import refresh as RF
 
 

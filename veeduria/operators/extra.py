@@ -7,13 +7,15 @@ from __future__ import annotations
 import math
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veeduria.operators.derive import is_service
 from veeduria.operators.flags import hhi_of, units
-from veeduria.operators.quantiles import exact_quantile
+from veeduria.operators.asof import asof_join
+from veeduria.operators.ranks import exact_quantile, with_percent_rank
 from veeduria.params import Params
+from veeduria.session import reuse
 
 # ---------------------------------------------------------------------------
 # Benford's expected first-digit shares, log10(1 + 1/d).
@@ -65,6 +67,27 @@ def benford(c: DataFrame, min_n: int = 50) -> DataFrame:
                .withColumn("desvio", F.abs(F.col("observado") - F.col("esperado"))))
 
 
+def benford_test(c: DataFrame, min_n: int = 50) -> DataFrame:
+    """XB one row per buyer: the chi-square of its first digits against
+    Benford's law, the probability of one at least as large by chance, and
+    the mean absolute deviation of the nine shares. For the 8 degrees of
+    freedom of nine digits the tail is exp(-x) (1 + x + x^2/2 + x^3/6) with
+    x = chi2 / 2, an exact closed form. The nine counts are columns of one
+    aggregate, so no digit table is joined."""
+    digits = first_digit(c).where(F.col("nit_entidad").isNotNull())
+    n = {d: F.col(f"n{d}") for d in BENFORD}
+    g = (digits.groupBy("nit_entidad")
+               .agg(F.count(F.lit(1)).alias("total"),
+                    *[F.count_if(F.col("digito") == d).alias(f"n{d}") for d in BENFORD])
+               .where(F.col("total") >= min_n))
+    total = F.col("total").cast("double")
+    chi2 = sum((((n[d] - total * e) * (n[d] - total * e)) / (total * e) for d, e in BENFORD.items()), F.lit(0.0))
+    mad = sum((F.abs(n[d] / total - e) for d, e in BENFORD.items()), F.lit(0.0)) / 9.0
+    x = F.col("chi2") / 2.0
+    tail = F.exp(-x) * (1.0 + x + x * x / 2.0 + x * x * x / 6.0)
+    return g.select("nit_entidad", "total", chi2.alias("chi2"), mad.alias("mad")).withColumn("p_valor", tail)
+
+
 def hhi_table(c: DataFrame) -> DataFrame:
     """HHI of supplier value shares per buyer and year (all buyers)."""
     by = (c.where(F.col("nit_entidad").isNotNull())
@@ -157,6 +180,32 @@ def calendar_markers(c: DataFrame, days_before: int = 30) -> DataFrame:
              .drop("anio", "cierre"))
 
 
+def period_effects(c: DataFrame, periods: DataFrame, around_days: int = 30, bucket_days: int = 16) -> DataFrame:
+    """XM contracts before, during and after marked periods (``marca``,
+    ``desde``, ``hasta`` exclusive; periods may overlap): a range join of days
+    to periods without an equal key. Contracts are summed per day first; each
+    period's three spans are cut at time buckets, days and spans meet in their
+    bucket only and are compared there. Spans without contracts count 0; an
+    empty or reversed period has no 'durante'."""
+    days = (c.groupBy(F.to_date("fecha_de_firma").alias("dia"))
+             .agg(F.count(F.lit(1)).alias("n"), F.sum(_v()).alias("v"))
+             .withColumn("_b", F.floor(F.unix_date("dia") / bucket_days)))
+    d, h = F.col("desde"), F.col("hasta")
+    spans = periods.where(d.isNotNull() & h.isNotNull()).select(
+        "marca", "desde", "hasta", F.explode(F.array(
+            F.struct(F.lit("antes").alias("fase"), F.date_sub(d, around_days).alias("a"), d.alias("b")),
+            F.struct(F.lit("durante").alias("fase"), d.alias("a"), h.alias("b")),
+            F.struct(F.lit("despues").alias("fase"), h.alias("a"), F.date_add(h, around_days).alias("b")))).alias("s")
+    ).select("marca", "desde", "hasta", "s.*").where(F.col("a") < F.col("b"))
+    cut = spans.select("*", F.explode(F.sequence(F.floor(F.unix_date("a") / bucket_days),
+                                                 F.floor(F.unix_date(F.date_sub("b", 1)) / bucket_days))).alias("_b"))
+    hits = (cut.join(days, "_b").where((F.col("dia") >= F.col("a")) & (F.col("dia") < F.col("b")))
+               .groupBy("marca", "desde", "hasta", "fase").agg(F.sum("n").alias("_n"), F.sum("v").alias("_v")))
+    return (spans.join(hits, ["marca", "desde", "hasta", "fase"], "left")
+                 .select("marca", "desde", "hasta", "fase", F.datediff("b", "a").alias("dias"),
+                         F.coalesce("_n", F.lit(0)).alias("contratos"), F.coalesce("_v", F.lit(0)).alias("valor")))
+
+
 def supplier_growth(c: DataFrame) -> DataFrame:
     """XG supplier billing growth year over year (previous calendar year
     only; a gap year gives NULL)."""
@@ -172,11 +221,10 @@ def supplier_growth(c: DataFrame) -> DataFrame:
 
 def peer_rank(c: DataFrame, peer_col: str = "sector") -> DataFrame:
     """XG buyer's yearly value as a percentile rank among its peers (same
-    sector and year). The window runs over the buyer-year aggregate."""
+    sector and year), read off a histogram of the buyer-year totals."""
     g = (c.where(F.col("nit_entidad").isNotNull())
           .groupBy(peer_col, "anio", "nit_entidad").agg(F.sum(_v()).alias("valor")))
-    w = Window.partitionBy(peer_col, "anio").orderBy("valor")
-    return g.withColumn("pct_rank", F.percent_rank().over(w))
+    return with_percent_rank(reuse(g), "valor", [peer_col, "anio"])
 
 
 def lightning(c: DataFrame, p: float = 0.05) -> DataFrame:
@@ -190,6 +238,67 @@ def lightning(c: DataFrame, p: float = 0.05) -> DataFrame:
                .select("id_contrato", "modalidad_de_contratacion", "dias", "umbral", "valor_del_contrato"))
 
 
+_BREAK = "[^\\p{L}\\p{N}]+"
+#: Weights are kept in whole millionths, so that sums don't depend on order.
+WEIGHT_UNIT = 1_000_000
+
+
+def words_of(col: str) -> Column:
+    """The distinct words (letters and digits) of a text, lower-cased."""
+    return F.array_distinct(F.array_remove(F.split(F.lower(col), _BREAK), ""))
+
+
+def term_weights(c: DataFrame) -> DataFrame:
+    """XV (tipo, termino, n, peso): how specific a word is among the objects
+    of its contract type: the logarithm of objects per object with the word,
+    in millionths. A table to keep: it is learned from all contracts once and
+    applied to any."""
+    w = words_of("objeto_del_contrato")
+    # equal texts are counted once with their number, before they are cut into words
+    texts = (c.where(F.col("objeto_del_contrato").isNotNull())
+              .groupBy(F.coalesce("tipo_de_contrato", F.lit("")).alias("tipo"), "objeto_del_contrato")
+              .agg(F.count(F.lit(1)).alias("c")))
+    terms = texts.select("tipo", "c", F.explode(w).alias("termino")).groupBy("tipo", "termino").agg(F.sum("c").alias("n"))
+    sizes = texts.groupBy("tipo").agg(F.sum("c").alias("objetos"))
+    weight = F.round(F.log(F.col("objetos").cast("double") / F.col("n").cast("double")) * WEIGHT_UNIT).cast("long")
+    return terms.join(sizes, "tipo").select("tipo", "termino", "n", weight.alias("peso"))
+
+
+def specificity(c: DataFrame, weights: DataFrame) -> DataFrame:
+    """XV (tipo, objeto, contratos, palabras, especificidad): mean weight of
+    an object's words; 0 is a text of words that every object of its type
+    has. Words that the table does not know weigh as much as its rarest of
+    the type would: the greatest weight there. A text without words scores 0."""
+    w = words_of("objeto_del_contrato")
+    texts = (c.where(F.col("objeto_del_contrato").isNotNull())
+              .groupBy(F.coalesce("tipo_de_contrato", F.lit("")).alias("tipo"), F.col("objeto_del_contrato").alias("objeto"))
+              .agg(F.count(F.lit(1)).alias("contratos"))
+              .select("*", w.alias("_w")))
+    most = weights.groupBy("tipo").agg(F.max("peso").alias("_most"))
+    words = (texts.select("tipo", "objeto", F.explode("_w").alias("termino"))
+                  .join(weights.select("tipo", "termino", "peso"), ["tipo", "termino"], "left").join(most, "tipo", "left"))
+    score = words.groupBy("tipo", "objeto").agg(F.sum(F.coalesce("peso", "_most", F.lit(0))).alias("_sum"))
+    texts = texts.withColumn("objeto_del_contrato", F.col("objeto")).select(
+        "tipo", "objeto", "contratos", F.size(w).cast("long").alias("palabras"))
+    mean = F.coalesce(F.col("_sum").cast("double"), F.lit(0.0)) / F.greatest(F.col("palabras"), F.lit(1)).cast("double")
+    return (texts.join(score, ["tipo", "objeto"], "left")
+                 .select("tipo", "objeto", "contratos", "palabras", (mean / WEIGHT_UNIT).alias("especificidad")))
+
+
+def vague_buyers(c: DataFrame, weights: DataFrame, below: float) -> DataFrame:
+    """XV per buyer: contracts with an object text, how many of them are less
+    specific than ``below``, and the value of those."""
+    s = specificity(c, weights).where(F.col("especificidad") < below).select(
+        "tipo", F.col("objeto").alias("objeto_del_contrato"), F.lit(1).alias("_vago"))
+    rows = (c.where(F.col("objeto_del_contrato").isNotNull() & F.col("nit_entidad").isNotNull())
+             .groupBy("nit_entidad", F.coalesce("tipo_de_contrato", F.lit("")).alias("tipo"), "objeto_del_contrato")
+             .agg(F.count(F.lit(1)).alias("n"), F.sum(_v()).alias("valor")))
+    v = F.col("_vago").isNotNull()
+    return (rows.join(s, ["tipo", "objeto_del_contrato"], "left").groupBy("nit_entidad")
+                .agg(F.sum("n").alias("n"), F.sum(F.when(v, F.col("n")).otherwise(0)).alias("n_vagos"),
+                     F.coalesce(F.sum(F.when(v, F.col("valor"))), F.lit(0)).alias("valor_vago")))
+
+
 def vagueness(c: DataFrame, terms: dict[str, int]) -> DataFrame:
     """XV weighted vagueness score of the object text: sum of the weights of
     the ILIKE terms it matches, per contract (map-only)."""
@@ -228,6 +337,28 @@ def company_age(c: DataFrame, max_days: int, min_value: int = 0) -> DataFrame:
     return j.where((F.col("edad_dias") <= max_days) & (F.col("valor_del_contrato") > F.lit(min_value)))
 
 
+def donor_contracts(c: DataFrame, donations: DataFrame, max_days: int) -> DataFrame:
+    """XD contracts whose supplier gave a donation (``donante``, ``fecha``,
+    ``monto``) at most ``max_days`` before the signature: the latest one up to
+    the day of signature, by as-of join."""
+    j = asof_join(c.where(F.col("documento_proveedor").isNotNull()),
+                  donations.withColumnRenamed("donante", "documento_proveedor"), "documento_proveedor",
+                  "fecha_de_firma", "fecha", {"fecha": "fecha_donacion", "monto": "monto_donacion"})
+    days = F.datediff("fecha_de_firma", "fecha_donacion")
+    return j.withColumn("dias_desde_donacion", days).where(F.col("dias_desde_donacion") <= max_days)
+
+
+def ex_official_contracts(c: DataFrame, posts: DataFrame, max_days: int) -> DataFrame:
+    """XD contracts whose supplier left a public post (``persona``, ``fin``,
+    ``cargo``) less than ``max_days`` before: the latest post that ended
+    strictly before the signature, by as-of join."""
+    j = asof_join(c.where(F.col("documento_proveedor").isNotNull()),
+                  posts.withColumnRenamed("persona", "documento_proveedor"), "documento_proveedor",
+                  "fecha_de_firma", "fin", {"fin": "fin_cargo", "cargo": "cargo"}, strict=True)
+    days = F.datediff("fecha_de_firma", "fin_cargo")
+    return j.withColumn("dias_desde_cargo", days).where(F.col("dias_desde_cargo") < max_days)
+
+
 def loser_winner_pairs(c: DataFrame, min_together: int = 2) -> DataFrame:
     """XR suppliers that keep appearing beside the same winner: per process
     the winner is the supplier of the largest award (``max(struct)``, a

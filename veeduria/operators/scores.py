@@ -23,17 +23,22 @@ def _score(a: DataFrame, key: str, label: str) -> DataFrame:
                     "raw_score", "pct_rank", "n_alertas", "valor_bajo_alerta", "banderas")
 
 
+RANK_BLOCK = 256
+
+
 def with_percent_rank(g: DataFrame, col: str) -> DataFrame:
-    """``percent_rank()`` over ``col`` without a single-partition window over
-    all rows: the window runs over the table of distinct values (raw scores
-    are small integers, so it has a few hundred rows at most) and the result
-    is joined back. (rank - 1) / (n - 1) as SQL defines it; 0 for n = 1."""
-    dist = g.groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
-    below = Window.orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
-    total = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    dist = dist.select(col, F.coalesce(F.sum("_c").over(below), F.lit(0)).alias("_below"),
-                       F.sum("_c").over(total).alias("_n"))
-    pr = F.when(F.col("_n") > 1, F.col("_below").cast("double") / (F.col("_n") - 1).cast("double")) \
+    """``percent_rank()`` over the whole-number column ``col``: (rank - 1) /
+    (n - 1), 0 for n = 1. Rows are counted per value, values are added up
+    within blocks of ``RANK_BLOCK`` neighbouring ones and over the blocks'
+    totals, so no window holds more than a block or the totals."""
+    dist = g.groupBy(col).agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", F.floor(F.col(col) / RANK_BLOCK))
+    up_to = Window.unboundedPreceding, -1
+    totals = dist.groupBy("_b").agg(F.sum("_c").alias("_t"))
+    totals = totals.select("_b", F.coalesce(F.sum("_t").over(Window.orderBy("_b").rowsBetween(*up_to)), F.lit(0)).alias("_base"),
+                           F.sum("_t").over(Window.partitionBy()).alias("_n"))
+    inside = F.sum("_c").over(Window.partitionBy("_b").orderBy(col).rowsBetween(*up_to))
+    dist = dist.withColumn("_in", F.coalesce(inside, F.lit(0))).join(totals, "_b")
+    pr = F.when(F.col("_n") > 1, (F.col("_base") + F.col("_in")).cast("double") / (F.col("_n") - 1).cast("double")) \
           .otherwise(F.lit(0.0))
     return g.join(dist.select(col, pr.alias("pct_rank")), col)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from veeduria.operators.derive import is_service, is_vague
 from veeduria.operators.flags import entity_labels, entity_months, with_month_stats
-from veeduria.operators.quantiles import exact_median
+from veeduria.operators.ranks import exact_median
 from veeduria.params import Params
 from veeduria.plans import oracle as O
 from veeduria.plans.catalog import (CUSTOMER_SUPPLIER, DEFAULT, NATION_CUSTOMER, TEST, register, with_ctes)

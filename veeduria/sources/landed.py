@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,26 +20,35 @@ from veeduria.schema import CONTRACT_COLUMNS, LANDED_CONTRACT
 CORRUPT = "_corrupt_record"
 
 
+LANDED_SCHEMA = T.StructType([*LANDED_CONTRACT.fields, T.StructField(CORRUPT, T.StringType())])
+
+
 def _landed(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
-    schema = T.StructType([*LANDED_CONTRACT.fields, T.StructField(CORRUPT, T.StringType())])
-    return (spark.read.schema(schema).option("multiLine", multi_line).option("mode", "PERMISSIVE")
+    return (spark.read.schema(LANDED_SCHEMA).option("multiLine", multi_line).option("mode", "PERMISSIVE")
                  .option("columnNameOfCorruptRecord", CORRUPT).json(path))
 
 
+def is_parsed() -> Column:
+    """Whether a landed record could be parsed. A record's id takes part (by
+    none of its characters): a query that needs the corrupt column alone, such
+    as a count, is refused by the scan, which would have nothing to parse."""
+    return F.concat_ws("", F.col(CORRUPT), F.substring("id_contrato", 1, 0)) == ""
+
+
 def read_landed_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """S1 + S2 + N1: scan landed JSON with the fixed text schema; fields
     absent from the records come back as NULL, extra fields are dropped.
     ``multi_line=True`` for files holding one JSON array (an API page).
     Records that can't be parsed are left out here and kept by
     ``corrupt_records``, so none is lost without trace."""
-    return _landed(spark, path, multi_line).where(F.col(CORRUPT).isNull()).select(*CONTRACT_COLUMNS)
+    return _landed(spark, path, multi_line).where(is_parsed()).select(*CONTRACT_COLUMNS)
 
 
 def corrupt_records(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """(file, n, example, last_id): unparsable records per landed file, and
     the greatest contract id that could be read from them."""
     bad = _landed(spark, path, multi_line).select(CORRUPT, "id_contrato", F.input_file_name().alias("file"))
-    return (bad.where(F.col(CORRUPT).isNotNull()).groupBy("file")
+    return (bad.where(~is_parsed()).groupBy("file")
                .agg(F.count(F.lit(1)).alias("n"), F.min(CORRUPT).alias("example"),
                     F.max("id_contrato").alias("last_id")))
 

@@ -37,7 +37,8 @@ from veeduria.operators import flags as FL
 from veeduria.operators.derive import derive
 from veeduria.operators.normalize import normalize
 from veeduria.params import Params
-from veeduria.schema import ALERT, CONTRACT, LANDED_CONTRACT
+from veeduria.schema import ALERT, CONTRACT
+from veeduria.sources.landed import CORRUPT, LANDED_SCHEMA, is_parsed
 
 YEAR_FLAGS = ["F01", "F04", "F06", "F08"]
 ROW_FLAGS = ["F09", "F10"]
@@ -116,9 +117,17 @@ def _refresh(norm: DataFrame, batch_id: int, out_dir: str, p: Params) -> None:
           .write.mode("overwrite").parquet(f"{out_dir}/manifest/batch_id={batch_id}"))
 
 
+def rejected_records(spark: SparkSession, out_dir: str) -> DataFrame:
+    """(batch_id, registro, id_contrato): landed records that could not be
+    parsed, and the id read from them where there is one."""
+    return spark.read.parquet(f"{out_dir}/rejected").select("batch_id", "registro", "id_contrato")
+
+
 def _batch_writer(out_dir: str, p: Params):
     def write(batch: DataFrame, batch_id: int) -> None:
-        norm = normalize(batch).persist()       # read by every flag; lost parts are parsed again
+        bad = batch.where(~is_parsed()).select(F.col(CORRUPT).alias("registro"), "id_contrato")
+        bad.write.mode("overwrite").parquet(f"{out_dir}/rejected/batch_id={batch_id}")
+        norm = normalize(batch.where(is_parsed())).persist()    # read by every flag; lost parts are parsed again
         try:
             _refresh(norm, batch_id, out_dir, p)
         finally:
@@ -132,7 +141,7 @@ def run_refresh(spark: SparkSession, landed_dir: str, out_dir: str, checkpoint:
     alert table."""
     # so that readers find the folder before the first batch
     spark.createDataFrame([], _REPLACED).write.mode("ignore").parquet(f"{out_dir}/replaced/batch_id=-1")
-    r = spark.readStream.schema(LANDED_CONTRACT)
+    r = spark.readStream.schema(LANDED_SCHEMA).option("columnNameOfCorruptRecord", CORRUPT)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     q = (r.json(landed_dir).writeStream.foreachBatch(_batch_writer(out_dir, p))

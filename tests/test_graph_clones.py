@@ -45,6 +45,56 @@ def _shingles(t, k=5):
     return {" ".join(w)} if len(w) <= k else {" ".join(w[i:i + k]) for i in range(len(w) - k + 1)}
 
 
+def brute_groups(docs, percent=75):
+    sh = {d: _shingles(t) for d, t in docs if t and t.strip(" \t\n\x0b\x0c\r") and d is not None}
+    uf = union_find([(a, b) for a, b in itertools.combinations(sorted(sh), 2)
+                     if 100 * len(sh[a] & sh[b]) >= percent * len(sh[a] | sh[b])])
+    members = {}
+    for x, root in uf.items():
+        members.setdefault(root, []).append(x)
+    return {(x, min(m), len(m)) for m in members.values() for x in m}
+
+
+def got_groups(df, **kw):
+    return {tuple(r) for r in near_clones(df, "doc_id", "text", **kw).select("doc_id", "grupo", "n").collect()}
+
+
+def test_near_clones_keep_chains(spark):
+    """A~B and B~C but not A~C, with the outlier as the smallest id: the case
+    that stars around a bucket's smallest member lose."""
+    rng = random.Random(5)
+    docs = []
+    for i in range(40):
+        w = [f"t{i}x{j}" for j in range(60)]
+        left, right = list(w), list(w)
+        left[20], right[40] = "edit", "other"
+        ids = rng.sample(range(3), 3)
+        docs += [(10 * i + d, " ".join(x)) for d, x in zip(ids, (left, w, right))]
+    docs += [(9000, "short text"), (9001, "Short  text"), (9002, ""), (9003, "  \n"), (9004, None), (None, "short text"),
+             (9005, "short other")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    sets = {d: _shingles(t) for d, t in docs[:3]}
+    ends = [d for d, t in docs[:3] if "edit" in t or "other" in t]
+    assert len(sets[ends[0]] & sets[ends[1]]) / len(sets[ends[0]] | sets[ends[1]]) < 0.75
+    got = got_groups(df)
+    assert got == brute_groups(docs) and {x[2] for x in got if x[0] < 9000} == {3}
+
+
+def test_near_clones_of_random_edits(spark):
+    rng = random.Random(7)
+    docs = []
+    for i in range(15):
+        w = [f"v{rng.randrange(30)}" for _ in range(rng.randrange(4, 60))]
+        for j in range(8):
+            x = list(w)
+            for _ in range(rng.randrange(0, 4)):
+                x[rng.randrange(len(x))] = f"v{rng.randrange(30)}"
+            docs.append((100 * i + j, " ".join(x)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for percent in (60, 75, 90):
+        assert got_groups(df, percent=percent) == brute_groups(docs, percent)
+
+
 def test_near_clones_against_brute_force(spark):
     random.seed(11)
     vocab = [f"w{i}" for i in range(400)]
@@ -57,15 +107,6 @@ def test_near_clones_against_brute_force(spark):
         docs.append((i * 10 + 1, " ".join(w)))
         docs.append((i * 10 + 2, b.replace(" ", "\n  ")))   # whitespace-only variant: exact copy
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {(r.doc_id, r.grupo) for r in near_clones(df, "doc_id", "text", threshold=0.8).collect()}
-    # brute force: every doc similar (>= 0.8) to the smallest id of its clique
-    sh = {d: _shingles(t) for d, t in docs}
-    exp = set()
-    for a, b in itertools.combinations(sorted(sh), 2):
-        j = len(sh[a] & sh[b]) / len(sh[a] | sh[b])
-        if j >= 0.8 and a == min(x for x in sh if len(sh[x] & sh[b]) / len(sh[x] | sh[b]) >= 0.8):
-            exp.add((b, a))
-            exp.add((a, a))
-    assert got == exp
+    assert got_groups(df) == brute_groups(docs)
     ex = {(r.doc_id, r.grupo, r.n) for r in exact_clones(df, "doc_id", "text").collect()}
     assert ex == {(i * 10 + j, i * 10, 2) for i in range(12) for j in (0, 2)}

@@ -5,19 +5,20 @@ aggregate per digest gives the group (a digest shared by a third of all
 documents is still one aggregate key with partial counts, and the join back
 is left to AQE's skew handling).
 
-Near: MinHash over word k-shingles of the whole text. Shingle hashes are
-exploded and the signature is a plain hash aggregate of ``min`` columns
-(codegen, map-side partial). LSH bands put similar texts in a common bucket;
-a bucket never emits pairs: each member gets one edge to the bucket's
-smallest id. Every such edge is verified by the exact Jaccard similarity of
-its two shingle sets (one join on (id, shingle)); the groups are the
-connected components of the edges that pass.
+Near: an exact set-similarity join of word 5-shingles in built-ins. Equal
+sets are one class from the start. Shingles are ordered by their frequency
+over all classes, rarest first; two sets that are near enough share a shingle
+among the first few of each (prefix filter), at places that leave room for
+the overlap they need (position filter), and have similar sizes. A shingle's
+bucket is first compared with its smallest member only; after that a group of
+copies of one text is one component, and only pairs of different components
+in buckets with several are left. Every candidate is verified on the whole
+sets (shingles by 64-bit hashes); the groups are the connected components of
+all that pass.
 """
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,6 @@ from veeduria.operators.graph import connected_components
 from veeduria.session import reuse
 
 _SPACE_RUN = "[\\t\\n\\x0B\\f\\r ]+"
-_P = 2147483647  # 2^31 - 1, a prime: universal hash (a*x + b) mod p
 
 
 def normalized(text: str | Column) -> Column:
@@ -43,56 +43,79 @@ def exact_clones(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return h.join(g, "h").select(F.col("id").alias(id_col), "grupo", "n")
 
 
-def shingle_hashes(df: DataFrame, id_col: str, text_col: str, k: int = 5) -> DataFrame:
-    """(id, h) distinct hashed word k-shingles of the whole text (a text
-    shorter than k words is one shingle)."""
+def shingle_sets(df: DataFrame, id_col: str, text_col: str, k: int = 5) -> DataFrame:
+    """(id, n, hs): the distinct hashed word k-shingles of each whole text,
+    sorted; a text shorter than k words is one shingle. Texts without words
+    and rows without an id are left out."""
     # the word array is a column first: referenced inside the lambda as an
     # expression it would be re-split for every shingle (quadratic)
-    words = df.select(F.col(id_col).alias("id"), F.split(F.lower(normalized(text_col)), " ").alias("w"))
+    words = (df.select(F.col(id_col).alias("id"), F.split(F.lower(normalized(text_col)), " ").alias("w"))
+               .where(F.col("id").isNotNull() & (F.array_join("w", "") != "")))
     w, n = F.col("w"), F.size("w")
-    sh = F.when(n <= k, F.array(F.array_join(w, " "))).otherwise(
-        F.transform(F.sequence(F.lit(0), n - k), lambda i: F.array_join(F.slice(w, i + 1, k), " ")))
-    return (words.select("id", F.explode(sh).alias("s"))
-                 .select("id", F.pmod(F.xxhash64("s"), F.lit(_P)).alias("h")).distinct())
-
-
-def minhash(sh: DataFrame, num_perm: int = 32, seed: int = 7) -> DataFrame:
-    """(id, m0..m{num_perm-1}) MinHash signature from shingle hashes; the
-    permutations are (a*h + b) mod p with a, b drawn from ``seed``."""
-    rnd = random.Random(seed)
-    coef = [(rnd.randrange(1, _P), rnd.randrange(0, _P)) for _ in range(num_perm)]
-    return sh.groupBy("id").agg(*[
-        F.min(F.pmod(F.lit(a) * F.col("h") + F.lit(b), F.lit(_P))).alias(f"m{i}")
-        for i, (a, b) in enumerate(coef)])
-
-
-def near_clones(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, k: int = 5,
-                bands: int = 8, rows: int = 4) -> DataFrame:
-    """(id, grupo, jaccard): documents with a verified link of Jaccard >=
-    ``threshold`` to another one, the smallest id of their component of
-    verified links, and the highest Jaccard of their links. A document
-    without a partner is not listed. Candidates come from MinHash, so a link
-    may be missed if no band pairs its two ends with a common smallest id."""
-    sh = reuse(shingle_hashes(df, id_col, text_col, k))     # four consumers below
-    sig = minhash(sh, bands * rows)
-    keys = F.array(*[F.struct(F.lit(b).alias("band"),
-                              F.xxhash64(*[F.col(f"m{b * rows + r}") for r in range(rows)]).alias("key"))
-                     for b in range(bands)])
-    bk = sig.select("id", F.explode(keys).alias("k")).select("id", "k.band", "k.key")
-    bucket = (bk.groupBy("band", "key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-                .where(F.col("n") >= 2))
-    edges = bk.join(bucket, ["band", "key"]).where(F.col("id") != F.col("rep")) \
-              .select(F.col("id").alias("src"), F.col("rep").alias("dst")).distinct()
-    # exact Jaccard of every candidate edge; only edges that pass count
-    size = sh.groupBy("id").agg(F.count(F.lit(1)).alias("ns"))
-    inter = (sh.join(edges, sh["id"] == edges["src"]).select("src", "dst", "h")
-               .join(sh.select(F.col("id").alias("dst"), "h"), ["dst", "h"])
-               .groupBy("src", "dst").agg(F.count(F.lit(1)).alias("inter")))
-    j = (inter.join(size.select(F.col("id").alias("src"), F.col("ns").alias("na")), "src")
-              .join(size.select(F.col("id").alias("dst"), F.col("ns").alias("nb")), "dst")
-              .withColumn("jaccard", F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))))
-    links = reuse(j.where(F.col("jaccard") >= threshold).select("src", "dst", "jaccard"))
-    best = (links.select(F.explode(F.array("src", "dst")).alias("id"), "jaccard")
-                 .groupBy("id").agg(F.max("jaccard").alias("jaccard")))
-    cc = connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("grupo"))
-    return cc.join(best, "id").select(F.col("id").alias(id_col), "grupo", "jaccard")
+    sh = F.when(n <= k, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(
+        F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, k), " "))))
+    return words.select("id", F.sort_array(F.array_distinct(sh)).alias("hs")).select("id", F.size("hs").alias("n"), "hs")
+
+
+def near_clones(df: DataFrame, id_col: str, text_col: str, percent: int = 75, k: int = 5) -> DataFrame:
+    """(id, grupo, n): documents linked, directly or through others, to
+    another one, the smallest id of their group and the group's size. Two
+    documents link when 100 |A and B| >= percent |A or B| for their shingle
+    sets. Exact: every link between different sets lies within a group."""
+    sets = reuse(shingle_sets(df, id_col, text_col, k).withColumn("key", F.sha2(F.array_join("hs", ","), 256)))
+    # equal sets are one class, whose smallest id stands for it
+    classes = reuse(sets.groupBy("key").agg(F.min("id").alias("rep")))
+    reps = reuse(sets.join(classes, "key", "left_semi").join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
+                     .select("id", "n", "hs").dropDuplicates(["id"]))
+    prefix = reuse(_prefixes(reps, percent))
+    # first the smallest member of each bucket against the others: a group of
+    # copies of one text is one component after this, and its buckets are done
+    centre = prefix.groupBy("h").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    star = prefix.join(centre, "h").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    links = reuse(_verified(star, reps, percent))
+    cc = reuse(connected_components(links, "a", "b"))
+    placed = prefix.join(cc.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    placed = reuse(placed.select("h", "id", "n", "pos", "comp"))
+    # then pairs of different components, in buckets that hold several
+    mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
+    left = placed.join(mixed, "h", "left_semi")
+    right = left.select("h", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "comp")])
+    need = F.ceil((F.col("n") + F.col("n2")) * percent / F.lit(100 + percent))
+    pairs = left.join(right, "h").where(
+        (F.col("comp") != F.col("comp2")) & (F.struct("n", "id") < F.struct(F.col("n2"), F.col("id2")))
+        & (100 * F.col("n") >= percent * F.col("n2"))
+        & (F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= need))
+    more = reuse(_verified(pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct(), reps, percent))
+    groups = reuse(connected_components(links.unionByName(more), "a", "b"))
+    of = (sets.join(classes, "key").select("id", "rep")
+              .join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+              .select("id", F.coalesce("component", "rep").alias("grupo")))
+    sizes = of.groupBy("grupo").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    return of.join(sizes, "grupo").select(F.col("id").alias(id_col), "grupo", "n")
+
+
+def _prefixes(reps: DataFrame, percent: int) -> DataFrame:
+    """(h, id, n, pos): of each set, rarest shingles first, those of which two
+    linked sets must share one: the first n - ceil(percent n / 100) + 1. A
+    shingle of one set alone finds nothing; it takes its place and is left
+    out, so only shared shingles are gathered."""
+    every = reps.select("id", "n", F.explode("hs").alias("h"))
+    freq = every.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    shared = (every.join(freq, "h").groupBy("id", "n")
+                   .agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("s")))
+    place = F.col("n") - F.size("s") + F.col("p")
+    return (shared.select("id", "n", "s", F.posexplode("s").alias("p", "x")).withColumn("pos", place)
+                  .where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)))
+                  .select("x.h", "id", "n", "pos"))
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) whose whole sets are near enough."""
+    sets = [reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("hs").alias(f"hs_{x}")) for x in "ab"]
+    both = F.size(F.array_intersect("hs_a", "hs_b"))
+    near = 100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))
+    # sizes first: unlike sizes need no sets
+    fit = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    sizes = [s.drop(f"hs_{x}") for x, s in zip("ab", sets)]
+    pairs = pairs.join(sizes[0], "a").join(sizes[1], "b").where(fit).select("a", "b")
+    return (pairs.join(sets[0], "a").join(sets[1], "b").withColumn("both", both).where(near).select("a", "b"))

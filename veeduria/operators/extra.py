@@ -267,22 +267,20 @@ def term_weights(c: DataFrame) -> DataFrame:
 def specificity(c: DataFrame, weights: DataFrame) -> DataFrame:
     """XV (tipo, objeto, contratos, palabras, especificidad): mean weight of
     an object's words; 0 is a text of words that every object of its type
-    has. Words that the table does not know weigh as much as its rarest of
-    the type would: the greatest weight there. A text without words scores 0."""
-    w = words_of("objeto_del_contrato")
+    has. A word that the table does not know weighs as much as the type's
+    rarest one. A text without words scores 0."""
     texts = (c.where(F.col("objeto_del_contrato").isNotNull())
               .groupBy(F.coalesce("tipo_de_contrato", F.lit("")).alias("tipo"), F.col("objeto_del_contrato").alias("objeto"))
-              .agg(F.count(F.lit(1)).alias("contratos"))
-              .select("*", w.alias("_w")))
+              .agg(F.count(F.lit(1)).alias("contratos")).withColumn("_w", words_of("objeto")))
     most = weights.groupBy("tipo").agg(F.max("peso").alias("_most"))
-    words = (texts.select("tipo", "objeto", F.explode("_w").alias("termino"))
+    # one row per word; outer, so that a text without words stays
+    words = (texts.select("tipo", "objeto", "contratos", F.size("_w").cast("long").alias("palabras"),
+                          F.explode_outer("_w").alias("termino"))
                   .join(weights.select("tipo", "termino", "peso"), ["tipo", "termino"], "left").join(most, "tipo", "left"))
-    score = words.groupBy("tipo", "objeto").agg(F.sum(F.coalesce("peso", "_most", F.lit(0))).alias("_sum"))
-    texts = texts.withColumn("objeto_del_contrato", F.col("objeto")).select(
-        "tipo", "objeto", "contratos", F.size(w).cast("long").alias("palabras"))
-    mean = F.coalesce(F.col("_sum").cast("double"), F.lit(0.0)) / F.greatest(F.col("palabras"), F.lit(1)).cast("double")
-    return (texts.join(score, ["tipo", "objeto"], "left")
-                 .select("tipo", "objeto", "contratos", "palabras", (mean / WEIGHT_UNIT).alias("especificidad")))
+    weight = F.when(F.col("termino").isNotNull(), F.coalesce("peso", "_most", F.lit(0))).otherwise(0)
+    score = words.groupBy("tipo", "objeto", "contratos", "palabras").agg(F.sum(weight).cast("double").alias("_sum"))
+    mean = F.col("_sum") / F.greatest(F.col("palabras"), F.lit(1)).cast("double") / float(WEIGHT_UNIT)
+    return score.select("tipo", "objeto", "contratos", "palabras", mean.alias("especificidad"))
 
 
 def vague_buyers(c: DataFrame, weights: DataFrame, below: float) -> DataFrame:

@@ -6,5 +6,5 @@ def register_all() -> None:
     import importlib
 
     for m in ("catalog", "scores_q", "reports", "profiles", "dossier_q", "periods", "sources_q",
-              "stream_q", "extra_q", "graph_q"):
+              "stream_q", "extra_q", "graph_q", "loads_q", "detect_q"):
         importlib.import_module(f"veeduria.plans.{m}")

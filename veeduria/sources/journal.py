@@ -24,6 +24,8 @@ pruned by year at the scan.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,7 +132,8 @@ class Table:
             return
         s, e = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
         inside = (F.col(col) >= s) & (F.col(col) < e)
-        first, last = int(start[:4]), int(end[:4])
+        # of the last year only if the range goes into it
+        first, last = int(start[:4]), (dt.datetime.fromisoformat(end) - dt.timedelta(microseconds=1)).year
         touched = F.col("anio").between(first, last)
         # of the touched years only the first and the last can have rows outside the range
         kept = self.read().where(touched & ~inside)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,27 @@ def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
                  .option("multiLine", True).csv(path))
 
 
+def write_sorted(df: DataFrame, path: str, order: list[Column], write=write_csv) -> None:
+    """Export in a total order: ranges of the order are sorted side by
+    side, and the files, by name, follow one another. ``order`` should end in
+    a key, so that ties are settled."""
+    write(df.orderBy(*order), path)
+
+
+def with_place(rows: DataFrame, name: str = "orden") -> DataFrame:
+    """Rows read from files, with their place (from 1) in the files' order:
+    files by name, rows as they stand. Rows are counted per file split; only
+    these counts are added up in one place."""
+    at = rows.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_split"),
+                     F.monotonically_increasing_id().alias("_id"))
+    splits = at.groupBy("_file", "_split").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    up_to = Window.orderBy("_file", "_split").rowsBetween(Window.unboundedPreceding, -1)
+    base = splits.select("_file", "_split", "_first", F.coalesce(F.sum("_n").over(up_to), F.lit(0)).alias("_base"))
+    return (at.join(base, ["_file", "_split"])
+              .withColumn(name, F.col("_base") + F.col("_id") - F.col("_first") + 1)
+              .drop("_file", "_split", "_id", "_first", "_base"))
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """JSON lines export (nested columns kept)."""
     df.write.mode("overwrite").json(path)

@@ -66,3 +66,15 @@ def bn(c: str | Column, digits: int) -> Column:
 def mm(c: str | Column, digits: int) -> Column:
     """Value in millions (1e6), rounded."""
     return round_half(col_(c).cast("double") / F.lit(1e6), digits)
+
+
+def thousands(c: str | Column) -> Column:
+    """Text of a whole number with commas between thousands; NULL stays."""
+    return F.format_number(col_(c).cast("decimal(38,0)"), 0)
+
+
+def padded(c: str | Column, width: int) -> Column:
+    """Text of a whole number with zeros in front up to ``width`` digits; a
+    longer number is not cut."""
+    t = col_(c).cast("long").cast("string")
+    return F.lpad(t, F.greatest(F.length(t), F.lit(width)), F.lit("0"))

@@ -9,7 +9,7 @@ columns are presented the same way as ``present`` does on the Spark side
 from __future__ import annotations
 
 from veeduria.params import FLAG_LEVELS, FLAG_NAMES, FLAG_SEVERITY, Params
-from veeduria.sources.bindings import Binding
+from veeduria.sources.bindings import REP_SUPPLIERS, Binding
 
 def _ws() -> str:
     from veeduria.functions.text import WHITESPACE
@@ -80,10 +80,11 @@ def raw_contracts_sql(b: Binding) -> str:
         nit, name, orden, cod = _raw_id("C", "c_custkey"), "c_name", "'Territorial'", "CAST(c_custkey AS VARCHAR)"
     if b.supplier == "supplier":
         doc, prov, codp = _raw_id("S", "s_suppkey"), "s_name", "CAST(s_suppkey AS VARCHAR)"
-        tipodoc = q("Cédula de Ciudadanía")
+        tipodoc, rep = q("Cédula de Ciudadanía"), "s_suppkey"
     else:
         doc, prov, codp = _raw_id("C", "c_custkey"), "c_name", "CAST(c_custkey AS VARCHAR)"
         tipodoc = f"CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN {q('Cédula de Ciudadanía')} ELSE 'NIT' END"
+        rep = "c_custkey"
     value = "CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))"
     return f"""SELECT
     CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS id_contrato,
@@ -98,7 +99,7 @@ def raw_contracts_sql(b: Binding) -> str:
     {tipodoc} AS tipodocproveedor, {doc} AS documento_proveedor, {codp} AS codigo_proveedor,
     {prov} AS proveedor_adjudicado,
     CAST(NULL AS VARCHAR) AS nombre_representante_legal,
-    CAST(NULL AS VARCHAR) AS identificaci_n_representante_legal, CAST(NULL AS VARCHAR) AS es_pyme,
+    'R' || CAST({rep} // {REP_SUPPLIERS} AS VARCHAR) AS identificaci_n_representante_legal, CAST(NULL AS VARCHAR) AS es_pyme,
     {value} AS valor_del_contrato,
     CASE WHEN l_linestatus = 'F' THEN {value} ELSE CAST(0 AS DECIMAL(18,4)) END AS valor_pagado,
     CAST(l_extendedprice * l_tax AS DECIMAL(18,4)) AS valor_de_pago_adelantado,

@@ -134,7 +134,7 @@ def s12(ctx: Context):
     summary = S.flag_summary(a)
     kpi = R.kpi(ctx.contracts(DEFAULT, TEST))
     path = _scratch(ctx, "bundle")
-    K.json_bundle(kpi=kpi, banderas=summary).write.mode("overwrite").text(path)
+    K.json_bundle({"kpi": (kpi, [F.asc("contratos")]), "banderas": (summary, [F.asc("codigo")])}).write.mode("overwrite").text(path)
     schema = T.StructType([T.StructField("kpi", T.ArrayType(kpi.schema)),
                            T.StructField("banderas", T.ArrayType(summary.schema))])
     back = ctx.spark.read.schema(schema).json(path)

@@ -59,6 +59,10 @@ def _raw_id(prefix: str, key: Column) -> Column:
     return F.concat(F.lit(prefix), s, F.lit("-"), F.substring(s, -1, 1))
 
 
+#: Suppliers with neighbouring keys share a legal representative.
+REP_SUPPLIERS = 3
+
+
 def join_tables(t: TableSet) -> DataFrame:
     """The star join every binding projects from (one row per line item,
     only the columns some binding uses)."""
@@ -94,11 +98,13 @@ def project(j: DataFrame, b: Binding = Binding()) -> DataFrame:
         doc, prov = _raw_id("S", F.col("s_suppkey")), F.col("s_name")
         cod_prov = F.col("s_suppkey").cast("string")
         tipodoc = F.lit("Cédula de Ciudadanía")
+        rep = F.floor(F.col("s_suppkey") / REP_SUPPLIERS)
     else:
         doc, prov = _raw_id("C", F.col("c_custkey")), F.col("c_name")
         cod_prov = F.col("c_custkey").cast("string")
         tipodoc = F.when(F.col("c_mktsegment") == "HOUSEHOLD", F.lit("Cédula de Ciudadanía")) \
                    .otherwise(F.lit("NIT"))
+        rep = F.floor(F.col("c_custkey") / REP_SUPPLIERS)
 
     value = (F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount"))).cast("decimal(18,4)")
     null = F.lit(None).cast("string")
@@ -127,7 +133,7 @@ def project(j: DataFrame, b: Binding = Binding()) -> DataFrame:
         cod_prov.alias("codigo_proveedor"),
         prov.alias("proveedor_adjudicado"),
         null.alias("nombre_representante_legal"),
-        null.alias("identificaci_n_representante_legal"),
+        F.concat(F.lit("R"), rep.cast("string")).alias("identificaci_n_representante_legal"),
         null.alias("es_pyme"),
         value.alias("valor_del_contrato"),
         F.when(F.col("l_linestatus") == "F", value)

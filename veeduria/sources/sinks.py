@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,16 +60,23 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def json_bundle(**sections: DataFrame) -> DataFrame:
-    """One JSON document holding several small result sets (KPIs and
-    top-k lists), each given as a frame. Each section is folded with
-    ``collect_list`` inside its own aggregate; only pass frames whose size is
-    bounded (top-k lists, yearly/weekly series), never raw tables."""
-    parts = [sec.agg(F.to_json(F.collect_list(F.struct(*sec.columns))).alias("js"))
-                .select(F.lit(name).alias("k"), "js") for name, sec in sections.items()]
-    u = parts[0]
-    for x in parts[1:]:
-        u = u.unionByName(x)
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "js"))),
-                                    lambda e: F.concat(F.lit('"'), e["k"], F.lit('":'), e["js"])), ",")
-    return u.agg(F.concat(F.lit("{"), body, F.lit("}")).alias("data"))
+BUNDLE_ROWS = 10_000
+
+
+def json_bundle(sections: dict[str, tuple[DataFrame, list[Column]]], max_rows: int = BUNDLE_ROWS) -> DataFrame:
+    """One JSON document of several small result sets, each a frame and
+    its order; sections stand in the given order, rows in their frame's. A
+    section is a list inside one row, so its size is checked: more than
+    ``max_rows`` rows end the job with an error, and are not gathered."""
+    parts = []
+    for k, (name, (frame, order)) in enumerate(sections.items()):
+        # one row over the bound is enough to know, and all that is ever placed
+        rows = frame.orderBy(*order).limit(max_rows + 1)
+        placed = rows.select(F.row_number().over(Window.orderBy(*order)).alias("_p"), F.struct(*frame.columns).alias("_r"))
+        body = F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("_p", "_r"))), lambda x: x["_r"]))
+        over = F.raise_error(F.lit(f"section {name} has more than {max_rows} rows")).cast("string")
+        parts.append(placed.agg(F.when(F.count(F.lit(1)) > max_rows, over).otherwise(body).alias("js"))
+                           .select(F.lit(k).alias("k"), F.concat(F.lit(json.dumps(name) + ":"), "js").alias("js")))
+    texts = functools.reduce(DataFrame.unionByName, parts)
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "js"))), lambda x: x["js"]), ",")
+    return texts.agg(F.concat(F.lit("{"), body, F.lit("}")).alias("data"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -13,7 +12,12 @@ from pyspark.sql import functions as F
 # form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter: digits in raised form or fractions
+    are not."""
+    return any(map(str.isalpha, text))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veeduria.llm.common import LETTER, release, tidy
+from veeduria.llm.common import has_letter, release, tidy
 from veeduria.llm.tokens import groups
 
 BUCKETS = 1 << 15
@@ -119,7 +119,7 @@ def sample(docs: DataFrame, per_lang: int = PER_LANG) -> list:
             rows = []
             for lang, text, h in zip(*[c.to_pylist() for c in b.columns]):
                 words = split(text)
-                if words and LETTER.search(text):
+                if words and has_letter(text):
                     at = h % len(words)
                     rows += [(lang, h, *counted(words)), (lang, h, *counted(words[at:at + SPAN]))]
             cols = list(zip(*rows)) if rows else [()] * 4
@@ -175,7 +175,7 @@ def predictor(model: Model | None):
 
     @arrow_udf("lang_pred string, score double, accepted boolean")
     def predict(texts: pa.Array) -> pa.Array:
-        values = [t if t and LETTER.search(t) else None for t in texts.to_pylist()]
+        values = [t if t and has_letter(t) else None for t in texts.to_pylist()]
         lang, score = ["und"] * len(values), [0.0] * len(values)
         accepted = [v is not None for v in values]
         known = [i for i, v in enumerate(values) if v is not None] if model else []

@@ -304,3 +304,21 @@ def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # rows equal in id and text are copies too: one of them stays
     return chosen(keep.where("not _repeated")).unionByName(
         chosen(keep.where("_repeated")).dropDuplicates(["doc_id", "text"]))
+
+
+_WORDS = ("list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+          "'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')")
+
+#: The components' first three columns by DuckDB: all pairs that share a
+#: shingle are counted, and their links closed over.
+SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM d),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x AS a, y AS b FROM p JOIN z i ON i.doc_id = x JOIN z j ON j.doc_id = y WHERE 100 * c >= 75 * (i.n + j.n - c)),
+l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, lbl) AS (SELECT a, a FROM l UNION SELECT l.b, r.lbl FROM r JOIN l ON l.a = r.node)
+SELECT d.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, coalesce(m.lbl, d.doc_id) AS component_id
+FROM d LEFT JOIN z USING (doc_id) LEFT JOIN (SELECT node, min(lbl) AS lbl FROM r GROUP BY 1) m ON m.node = d.doc_id"""

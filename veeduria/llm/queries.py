@@ -24,7 +24,7 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.components(table(spark, sf_dir, "documents"))
+    return jaccard_join.components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +84,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_jaccard_join": jaccard_join.SQL,
+    "op8_substring_dedup": substring_dedup.SQL,
     "op10_mixing": mixing.SQL,
     "op11_merkle": merkle.SQL,
 }

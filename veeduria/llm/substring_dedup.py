@@ -373,3 +373,24 @@ def dedup(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
     kept = [F.when(F.col("_dd_ranges").isNotNull(), changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c)
             for c in docs.columns]
     return x.select(*kept)
+
+
+_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+#: The report's rows by DuckDB: a window is a repeat if it is not the first of
+#: its words by document and place; a word goes if one of the 20 windows that
+#: hold it is a repeat.
+SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+k AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i,
+        unnest(list_concat(list_transform(range(1, len(w) - 18), lambda i: md5(array_to_string(w[i:i + 19], ' '))),
+                           list_transform(range(0, least(len(w), 19)), lambda i: NULL::VARCHAR))) AS k
+      FROM d),
+r AS (SELECT doc_id, word, i, CASE WHEN k IS NOT NULL AND row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1
+        THEN 1 ELSE 0 END AS again FROM k),
+g AS (SELECT doc_id, word, i, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone
+      FROM r)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(g.n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(g.kept, '')) AS kept_sha256
+FROM d LEFT JOIN (SELECT doc_id, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept
+                  FROM g GROUP BY 1) g USING (doc_id)"""

@@ -2,17 +2,20 @@
 
 Templates (short base phrases and longer license sentences) are cut into
 rolling word 3-grams with their positions; this table has a fixed size. All
-rolling 3-grams of all documents are joined to it on their hash, and the
-words are compared, so a vote is never due to a hash collision. A vote of a
-document position p for a template position t lies on diagonal p - t. Votes
-are summed by diagonal; neighbouring diagonals of a template (words put in
-or left out) are merged; a merged span counts if enough different template
-positions voted and the span is not much longer than the template. One edit
-costs up to three votes, most of what a short template has: a span with fewer
-votes counts too if its words, compared one by one, are at most
-``allowed_edits`` insertions, losses and replacements away from the template
-and hold the words that tell its license from others (``TELLING``). A base
-phrase needs all its 3-grams on one diagonal: then its words stand there
+rolling 3-grams of all documents are looked up in it: those that are no
+template's go where they are made, by a list of the templates' 3-grams, the
+others are joined to the table on their hash, and the words are compared, so
+a vote is never due to a hash collision. A vote of a document position p for
+a template position t lies on diagonal p - t. Votes are summed by diagonal;
+neighbouring diagonals of a template (words put in or left out) are merged.
+
+Every merged span of a license sentence is then verified word by word: it
+may be ``allowed_edits`` words put in, lost or replaced away from the template
+(a quarter of its words, if most 3-grams voted) and not much longer. Related
+licenses differ in few words, so edits of these are not allowed: a span needs
+all words of ``TELLING`` that its template has, and holds none of the others.
+"lesser" put into a sentence of the GPL makes it the LGPL's, or nobody's. A
+base phrase needs all its 3-grams on one diagonal: then its words stand there
 consecutively, at the diagonal's number.
 
 Letters A-Z are lowered, others stay. ``lower`` would also turn the Kelvin
@@ -33,8 +36,7 @@ from pyspark.sql import functions as F
 K = 3
 BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 MERGE = 3                    # diagonals this close are one occurrence
-MIN_SHARE = 0.75             # of a template's 3-grams must vote, or its words be compared
-BEFORE, AROUND = 32, 112     # words kept with a vote, to compare
+MIN_SHARE = 0.75             # of a template's 3-grams: with these, a quarter of its words may be edited
 SLACK = 2                    # the ends of a compared span may be off by this
 MAX_STRETCH = 1.5            # a span may be this much longer than its template
 
@@ -45,21 +47,48 @@ BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2
 SENTENCES = (
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
      "documentation files", "mit"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+     "isc"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("licensed under the apache license version 2 0", "apache-2"),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the "
      "following conditions are met", "bsd"),
+    ("may be used to endorse or promote products derived from this software without specific prior written permission",
+     "bsd-3"),
+    ("licensed under the gnu general public license version 2", "gpl-2"),
     ("licensed under the gnu general public license version 3", "gpl-3"),
+    ("licensed under the gnu lesser general public license version 2 1", "lgpl-2.1"),
+    ("licensed under the gnu lesser general public license version 3", "lgpl-3"),
+    ("licensed under the gnu affero general public license version 3", "agpl-3"),
     ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public "
      "license", "gpl"),
+    ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general "
+     "public license", "lgpl"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu affero general "
+     "public license", "agpl"),
     ("this source code form is subject to the terms of the mozilla public license", "mpl-2"),
+    ("made available under the terms of the eclipse public license", "epl"),
     ("licensed under a creative commons attribution 4 0 international license", "cc-by"),
+    ("licensed under a creative commons attribution sharealike 4 0 international license", "cc-by-sa"),
+    ("licensed under a creative commons attribution noderivatives 4 0 international license", "cc-by-nd"),
+    ("licensed under a creative commons attribution noncommercial 4 0 international license", "cc-by-nc"),
+    ("licensed under a creative commons attribution noncommercial sharealike 4 0 international license", "cc-by-nc-sa"),
+    ("licensed under a creative commons attribution noncommercial noderivatives 4 0 international license", "cc-by-nc-nd"),
     ("licensed under cc by nc 4 0", "cc-by-nc"),
+    ("licensed under cc by nc sa 4 0", "cc-by-nc-sa"),
+    ("licensed under cc by nc nd 4 0", "cc-by-nc-nd"),
 )
 
 
-#: Words that a compared span can't lack: without them it is another license.
-TELLING = frozenset("apache 2 gnu 3 mozilla attribution nc".split())
-_CODES = {w: chr(0x100 + i) for i, w in enumerate(sorted({w for x in SENTENCES for w in x[0].split()}))}
+#: Words that tell licenses apart: a span has all of its template and no other.
+TELLING = frozenset("apache gnu lesser affero mozilla eclipse attribution sharealike noderivatives noncommercial nc nd sa "
+                    "1 2 3".split())
+_CODES = {w: chr(0x100 + i) for i, w in enumerate(sorted({w for x in SENTENCES for w in x[0].split()} | TELLING))}
+_LONGEST = max(len(x[0].split()) for x in SENTENCES)
+#: Words kept with a vote, to compare: before it those of a whole template,
+#: behind it those of the longest span.
+BEFORE = _LONGEST + SLACK
+AROUND = BEFORE + int((1 + MAX_STRETCH) * _LONGEST) + SLACK
 
 
 def allowed_edits(size):
@@ -67,16 +96,18 @@ def allowed_edits(size):
 
 
 def template_grams(spark: SparkSession) -> DataFrame:
-    """(template, label, is_base, size, t, tgram, tcode, telling): fixed size;
-    tcode has a character for each word of a sentence."""
+    """(template, label, is_base, size, t, tgram, tcode, telling, foreign):
+    fixed size; tcode has a character for each word of a sentence, telling and
+    foreign are the words that a span must and must not hold."""
     rows = []
     for n, (phrase, label, base) in enumerate([(*x, True) for x in BASE] + [(*x, False) for x in SENTENCES]):
         w = phrase.split()
         code = "" if base else "".join(_CODES[x] for x in w)
-        telling = [_CODES[x] for x in w if x in TELLING and not base]
-        rows += [(n, label, base, len(w), i, " ".join(w[i:i + K]), code, telling) for i in range(len(w) - K + 1)]
+        telling = sorted(_CODES[x] for x in TELLING & set(w))
+        foreign = sorted(_CODES[x] for x in TELLING - set(w))
+        rows += [(n, label, base, len(w), i, " ".join(w[i:i + K]), code, telling, foreign) for i in range(len(w) - K + 1)]
     return spark.createDataFrame(rows, "template int, label string, is_base boolean, size int, t int, tgram string, "
-                                       "tcode string, telling array<string>")
+                                       "tcode string, telling array<string>, foreign array<string>")
 
 
 def scan_words(text: Column) -> Column:
@@ -102,11 +133,14 @@ def votes(docs: DataFrame) -> DataFrame:
     x = x.select("doc_id", "text_hash", "g.p", "g.gram", "g.near", F.xxhash64("g.gram").alias("h"))
     templates = F.broadcast(template_grams(docs.sparkSession).withColumn("th", F.xxhash64("tgram")))
     return (x.join(templates, (F.col("h") == F.col("th")) & (F.col("gram") == F.col("tgram")))
-             .select("doc_id", "text_hash", "template", "label", "is_base", "size", "tcode", "telling", "p", "t", "near"))
+             .select("doc_id", "text_hash", "template", "label", "is_base", "size", "tcode", "telling", "foreign", "p", "t",
+                     "near"))
 
 
-def edited() -> Column:
-    """Whether the words of a merged span are a template's but for a few edits."""
+def edits() -> Column:
+    """The fewest words put in, lost or replaced between a merged span and its
+    template, where the span has the words that tell the license and none of
+    others; null where it hasn't."""
     codes = F.create_map(*[F.lit(x) for pair in _CODES.items() for x in pair])
     text = F.array_join(F.transform(F.col("near"), lambda w: F.coalesce(F.element_at(codes, w), F.lit("~"))), "")
     begin = F.col("first") - F.col("t_first") - F.greatest(F.lit(0), F.col("first") - BEFORE)
@@ -118,14 +152,15 @@ def edited() -> Column:
 
     off = range(-SLACK, SLACK + 1)
     tries = F.array(*[part(F.lit(i), F.lit(j)) for i in off for j in off])
-    return F.exists(tries, lambda x: (F.levenshtein(x, F.col("tcode")) <= allowed_edits(F.col("size")))
-                    & F.forall(F.col("telling"), lambda k: F.instr(x, k) > 0))
+    right = F.filter(tries, lambda x: F.forall(F.col("telling"), lambda k: F.instr(x, k) > 0)
+                     & ~F.exists(F.col("foreign"), lambda k: F.instr(x, k) > 0))
+    return F.array_min(F.transform(right, lambda x: F.levenshtein(x, F.col("tcode"))))
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """Verified places: doc_id, text_hash, label, is_base, first, last (word
     numbers), score."""
-    key = ["doc_id", "text_hash", "template", "label", "is_base", "size", "tcode", "telling"]
+    key = ["doc_id", "text_hash", "template", "label", "is_base", "size", "tcode", "telling", "foreign"]
     diagonals = (votes(docs).groupBy(*key, (F.col("p") - F.col("t")).alias("diagonal"))
                  .agg(F.collect_set("t").alias("ts"), F.min("p").alias("first"), F.max("p").alias("last"),
                       F.min(F.struct("p", "t", "near")).alias("head"), F.max(F.struct("p", "t")).alias("tail")))
@@ -142,9 +177,11 @@ def spans(docs: DataFrame) -> DataFrame:
               .withColumns({"near": F.col("head.near"), "t_first": F.col("head.t"), "t_last": F.col("tail.t")}))
     share = F.col("n") / (F.col("size") - (K - 1))
     length = F.col("last") - F.col("first") + 1
+    few = F.col("n") >= F.greatest(F.lit(2), F.col("size") - (K - 1) - K * allowed_edits(F.col("size")))
+    most = F.greatest(F.when(few, allowed_edits(F.col("size"))).otherwise(-1),
+                      F.when(share >= MIN_SHARE, F.floor((1 - MIN_SHARE) * F.col("size"))).otherwise(-1))
     good = F.when(F.col("is_base"), share == 1).otherwise(
-        (length <= MAX_STRETCH * F.col("size")) & ((share >= MIN_SHARE) | (
-            (F.col("n") >= F.greatest(F.lit(2), F.col("size") - (K - 1) - K * allowed_edits(F.col("size")))) & edited())))
+        (length <= MAX_STRETCH * F.col("size")) & (most >= 0) & F.coalesce(edits() <= most, F.lit(False)))
     return merged.where(good).select("doc_id", "text_hash", "label", "is_base", "first", "last", share.alias("score"))
 
 

@@ -22,7 +22,6 @@ from veeduria.session import scratch_table_dir
 from veeduria.sources import sinks as K
 
 CC = O.cte_name(DEFAULT)
-_ORDER = R._alert_order()
 
 
 def _c(ctx: Context) -> DataFrame:
@@ -80,8 +79,8 @@ def by_regime(c: DataFrame, direct: list[str], special: list[str]) -> DataFrame:
 def dossier_headings(a: DataFrame, n: int = 15) -> DataFrame:
     """Numbered headings of the dossiers: '## Expediente 01 · F01 · name', the
     value in millions with commas, the severity out of 100."""
-    top = a.orderBy(*_ORDER).limit(n)
-    placed = top.withColumn("i", F.row_number().over(Window.orderBy(*_ORDER)))      # of n rows
+    top = a.orderBy(*R._alert_order()).limit(n)
+    placed = top.withColumn("i", F.row_number().over(Window.orderBy(*R._alert_order())))      # of n rows
     return placed.select(
         "i", F.concat(F.lit("## Expediente "), padded("i", 2), F.lit(" · "), "codigo", F.lit(" · "), "bandera").alias("titulo"),
         F.concat(F.lit("$"), thousands(millions("valor_cop")), F.lit(" millones COP · severidad "),
@@ -173,7 +172,7 @@ def bundle_sections(ctx: Context) -> dict:
                      F.col("n_alertas").alias("alertas"), F.col("valor_bajo_alerta").alias("valor"),
                      bn("valor_bajo_alerta", 1).alias("v"))
         return s.orderBy(*place).limit(10)
-    alerts = a.orderBy(*_ORDER).limit(12).select(*a.columns, bn("valor_cop", 2).alias("v"))
+    alerts = a.orderBy(*R._alert_order()).limit(12).select(*a.columns, bn("valor_cop", 2).alias("v"))
     return {
         "generado": (today, [F.asc("fecha")]), "kpi": (k, [F.asc("contratos")]),
         "serie_diaria": (R.weekly(c).select("d", "n", "v"), [F.asc("d")]),
@@ -182,7 +181,7 @@ def bundle_sections(ctx: Context) -> dict:
         "top_entidades": (top(S.entity_scores(a), False), place),
         "top_contratistas": (top(S.supplier_scores(a), True), place),
         "departamentos": (geo, [F.desc("valor"), F.asc("d")]),
-        "alertas_top": (alerts, _ORDER),
+        "alertas_top": (alerts, R._alert_order()),
     }
 
 

@@ -2,6 +2,16 @@
 
 Each stage applies one operator to all that its predecessor kept; its result
 is written as Parquet in the shared folder and reread by the next one.
+
+Defined results: a document whose text is null or has no letter goes at the
+first stage, and those that the model rejects; with no labelled language to
+learn from, only the former. Of repeated rows and of linked documents the
+second stage keeps one; a null id is a document like others. A document of
+which the third stage leaves no word counts no word in the mix and is taken
+like the others of its source; a source without a word is not mixed. Ties are
+settled as the stages' modules say. An empty table gives an empty result. All
+stages but the last keep every column of their input, so extra columns do no
+harm.
 """
 
 from __future__ import annotations

@@ -19,10 +19,16 @@ import numpy as np
 _UNSAFE = tuple({p for c in " \t\n\x0b\x0c\r" for p in (" " + c, c + " ")})
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ODD_ASCII = re.compile("[\x1c-\x1f]")
+# White space beside which a line feed is no pre-token of its own.
+_FEEDS = ("\n\n", "\t", "\x0b", "\x0c", "\r")
 _RUNS = re.compile(r"[ \t\n\x0b\f\r]*[^ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+")
 
 KEEP_CHUNKS = 400_000
 KEEP_CHARS = 48
+# Signs that end a word. Letters and the signs after them are different
+# pre-tokens; an apostrophe may start a pre-token with letters.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_LONG_TAIL = 8
 
 
 class Encoder:
@@ -30,6 +36,8 @@ class Encoder:
 
     ``drops_space``: the tokenizer discards white space (word vocabularies),
     so words are the chunks; else a chunk is a word with the space before it.
+    Signs after letters, and a single line feed between words, are pre-tokens
+    of their own: their ids are put beside those of the letters.
     New chunks are encoded many at a time. Words of letters are set apart by
     their spaces alone; others by a bar after a space, which is a pre-token of
     its own with one id; chunks with a bar, and those that could join it
@@ -48,8 +56,10 @@ class Encoder:
         vocab = self.tokenizer.get_vocab()
         self.border = np.zeros(max(vocab.values()) + 1, bool)
         self.border[[i for t, i in vocab.items() if (t.endswith("</w>") if drops_space else t[0] == "\u0120")]] = True
-        self.signs = {c: self._whole(c) for c in ".,!?;:"}
+        self.feed = self._whole("\n")
+        self.signs: dict[str, bytes] = {}       # signs after letters -> ids
         self.known: dict[str, bytes] = {}       # word -> ids of the word (with a space before it)
+        self.older: dict[str, bytes] = {}       # the generation before
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -78,7 +88,7 @@ class Encoder:
 
     def _encode(self, keys: list[str]):
         """(key, ids) of new chunks."""
-        for part in _parts([k for k in keys if k.isalpha()], 5_000):
+        for part in _parts([k for k in keys if k.isalpha()], 20_000):
             yield from zip(part, self._letters(part))
         bars = []
         for k in keys:
@@ -107,6 +117,8 @@ class Encoder:
             return None
         if any(p in text for p in _UNSAFE) or text[0].isspace() or text[-1].isspace():
             return [" " + c for c in _RUNS.findall(text)]
+        if "\n" in text and not any(x in text for x in _FEEDS):
+            text = text.replace("\n", " \n")        # a word keeps the line feed before it
         words = text.split(" ")
         words[0] = " " + words[0]
         return words
@@ -116,22 +128,48 @@ class Encoder:
             return key
         return key[1:] if key[0] == " " else " " + key
 
+    def _parts_of(self, key: str) -> tuple[bytes, str, bytes] | None:
+        """(ids before, key of the stem, ids after) of a word with a line feed
+        before it or signs after its letters; else null."""
+        head = b""
+        if key[:1] == "\n" and not self.drops_space:
+            head, key = self.feed, " " + key[1:]
+            if key == " ":
+                return head, "", b""
+        stem = key.rstrip(_SIGNS)
+        if len(stem) < len(key) <= len(stem) + _LONG_TAIL and (stem[1:] if stem[:1] == " " else stem).isalpha():
+            tail = key[len(stem):]
+            if tail not in self.signs:
+                if len(self.signs) >= 10_000:
+                    self.signs.clear()
+                self.signs[tail] = self._whole(tail)
+            return head, stem, self.signs[tail]
+        return (head, key, b"") if head else None
+
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: none) as little-endian 32-bit integers."""
         cut = [self._cut(t or "") for t in texts]
-        if len(self.known) > KEEP_CHUNKS:
-            self.known.clear()
-        known, long = self.known, {}
-        new = set().union(*[w for w in cut if w]).difference(known)
-        # letters and the sign after them are different pre-tokens
-        signed = [w for w in new if w[-1] in self.signs and w[:-1].isalpha()]
-        new.difference_update(signed)
-        new = list(new.union([w[:-1] for w in signed]).difference(known))
-        for w, ids in self._encode(new):
+        if len(self.known) > KEEP_CHUNKS // 2:
+            self.known, self.older = {}, self.known
+        known, older, long = self.known, self.older, {}
+        missing = set().union(*[w for w in cut if w]).difference(known)
+        again = [w for w in missing if w in older]
+        known.update((w, older[w]) for w in again)
+        missing.difference_update(again)
+        made = [(w, *parts) for w in missing if (parts := self._parts_of(w))]
+        missing.difference_update([w for w, *_ in made])
+        stems = {stem for _, _, stem, _ in made if stem}.difference(known, missing)
+        again = [w for w in stems if w in older]
+        known.update((w, older[w]) for w in again)
+        missing.update(stems.difference(again))
+        for w, ids in self._encode(list(missing)):
+            (known if len(w) <= KEEP_CHARS else long)[w] = ids
+        for w, head, stem, tail in made:
+            ids = head + (known[stem] if stem in known else long[stem] if stem else b"") + tail
             (known if len(w) <= KEEP_CHARS else long)[w] = ids
-        for w in signed:
-            stem = w[:-1]
-            (known if len(w) <= KEEP_CHARS else long)[w] = (known[stem] if stem in known else long[stem]) + self.signs[w[-1]]
         table = known if not long else _Both(known, long)
         return [self._whole(t) if w is None else b"".join(map(table.__getitem__, w)) for t, w in zip(texts, cut)]
 
@@ -188,5 +226,5 @@ def forgetting(run, path: str, drops_space: bool):
         try:
             yield from run(batches)
         finally:
-            encoder(path, drops_space).known.clear()
+            encoder(path, drops_space).forget()
     return wrapped

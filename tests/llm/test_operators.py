@@ -266,6 +266,50 @@ def test_quality_thresholds_of_small_and_mixed_groups(spark):
     assert sorted(r["doc_id"] for r in rows(quality.judge(df)) if not r["kept"]) == sorted(x[0] for x in junk)
 
 
+def test_quality_sketches_add_up_and_repeat(spark):
+    """Sketches of two halves added up are those of all rows, whatever the
+    partitions, and quartiles are the exact ones' bins."""
+    df = spark.range(30_000).selectExpr(
+        "id AS doc_id", "'en' AS lang", "CASE WHEN id % 3 = 0 THEN 's' ELSE 't' END AS source", "false AS base_failed",
+        "pmod(xxhash64(id), 1000003) / 1000003D AS symbol_share", "0D AS dup_line_share",
+        "pmod(xxhash64(id, 1), 5000) / 5000D AS capital_share", "exp(pmod(xxhash64(id, 2), 1000) / 60D) AS word_length")
+    keys = ("lang", "source")
+    whole = sorted(map(tuple, quality.sketches(df).collect()))
+    halves = quality.sketches(df.where("doc_id < 9000")).unionByName(quality.sketches(df.where("doc_id >= 9000")))
+    assert whole == sorted(map(tuple, quality.merged(halves, *keys).collect()))
+    limits = [sorted(map(tuple, quality.thresholds(quality.sketches(df.repartition(n))).collect())) for n in (1, 7)]
+    assert limits[0] == limits[1] and len(limits[0]) == 2
+    mids = {(r["source"], r["measure"]): r["mid"] for r in quality.fences(quality.sketches(df), *keys).collect()}
+    for source in ("s", "t"):
+        for c in quality.LEAST:
+            values = sorted(r[0] for r in df.where(f"source = '{source}'").select(c).collect())
+            exact = values[(len(values) + 1) // 2 - 1]
+            assert mids[source, c] <= exact <= mids[source, c] * (1 + 2 / quality.TOP) + 1 / quality.SCALE[c]
+
+
+def test_quality_threshold_changes_smoothly_with_the_group(spark):
+    """No group size at which a threshold jumps: one row more moves it little."""
+    def limit(n):
+        x = spark.createDataFrame([("en", "all", c, 0, 1000) for c in quality.LEAST]
+                                  + [("en", "few", c, 400, n) for c in quality.LEAST],
+                                  "lang string, source string, measure string, bin long, n long")
+        return next(r["max_symbol_share"] for r in quality.thresholds(x).collect() if r["_source"] == "few")
+
+    found = [limit(n) for n in (4, 5, 19, 20, 21)]
+    assert found == sorted(found) and found[1] - found[0] < 0.01 and found[4] - found[2] < 0.005
+
+
+def test_quality_base_sql(docs):
+    import duckdb
+
+    documents = docs.select("doc_id", "text").toPandas()     # the view that the SQL names
+    con = duckdb.connect()
+    con.register("documents", documents)
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    want = con.sql(f"SELECT {', '.join(names)} FROM ({quality.BASE_SQL})").fetchall()
+    assert sorted(want) == sorted(tuple(r[n] for n in names) for r in rows(quality.judge(docs)))
+
+
 # ------------------------------------------------------------------ langid --
 def test_langid_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

@@ -2,25 +2,29 @@
 
 Each document is measured by built-in functions only. Two base rules are
 fixed (too few words, too many repeated words). The other rules compare a
-measure with a threshold of the document's language and source: KLL sketches
-are built per group with partial aggregation (so a hot source is summed in
-every task before anything moves), the quartiles are read from them, and the
-threshold is the upper quartile plus ``SPREAD`` times the distance between
-the quartiles, at least ``LEAST`` above the upper quartile. A group of clean
-documents thus loses none for a tiny spread.
+measure with a threshold of the document's language and source, learned from
+the documents that pass the base rules. A sketch is a histogram: the count of
+each bin of a measure per group, with partial aggregation (so a hot source is
+summed in every task before anything moves). Bins have a fixed width up to
+``TOP`` of them, then a fixed relative width; sketches merge by adding counts,
+in any order with the same result. The quartiles are read from them, each the
+lower end of its bin, and the threshold is the upper quartile plus ``SPREAD``
+times the distance between the quartiles, at least ``LEAST`` above the upper
+quartile. A group of clean documents thus loses none for a tiny spread.
 
 Few rows, or a group of which a quarter is junk, would set a threshold that
 keeps the junk. The sketches are therefore also merged per language and over
-all: a group of fewer than ``MIN_GROUP`` rows has the threshold of its
-language, a language of fewer that of all rows; and a threshold may exceed
-the wider one by ``MARGIN`` at most, beyond the distance of the medians. A
-source of code, whose median is high, thus keeps its own threshold. A group of
-which half is junk can't be told from such a source.
+all. Threshold and median of a group of n rows count n parts, those of the
+next wider group ``PRIOR`` parts; and a threshold may exceed the wider one by
+``MARGIN`` at most, beyond the distance of the medians. A source of code, whose
+median is high, thus keeps its own threshold. A group of which half is junk
+can't be told from such a source.
 
 Repeated windows are found by 64-bit hashes of the five words.
 
 Defined results: a null text or one without words has counts 0, fails the
-base rules and is not kept; null language and null source are values of
+base rules and is not kept; a group in which every row fails them has no
+threshold; null language and null source are values of
 their own; each row is judged by itself, repeated rows alike; an empty table
 gives an empty result. Columns other than doc_id, text, lang and source are
 not read.
@@ -28,7 +32,7 @@ not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veeduria.llm.common import SPACES, words
@@ -39,10 +43,13 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 SPREAD = 3.0
-SKETCH_K = 400
 #: Measure: least distance of the threshold from the upper quartile.
 LEAST = {"symbol_share": 0.05, "dup_line_share": 0.4, "capital_share": 0.5, "word_length": 7.0}
-MIN_GROUP = 20
+#: Measure: bins to one unit; and bits that a bin's number keeps.
+SCALE = {"symbol_share": 4096, "dup_line_share": 4096, "capital_share": 4096, "word_length": 64}
+TOP_BITS = 12
+TOP = 1 << TOP_BITS
+PRIOR = 5
 #: Measure: what a threshold may exceed the wider group's by, beyond the distance of the medians.
 MARGIN = {"symbol_share": 0.05, "dup_line_share": 0.1, "capital_share": 0.05, "word_length": 2.0}
 
@@ -96,54 +103,73 @@ def shares(m: DataFrame) -> DataFrame:
              .withColumn("word_length", ratio("word_chars", "n_words")))
 
 
+def bin_of(c: str) -> Column:
+    """Number of the bin of a measure: whole units of its scale, of which
+    the leading ``TOP_BITS`` bits are kept."""
+    v = F.floor(F.col(c) * SCALE[c]).cast("long")
+    low = F.pow(F.lit(2.0), F.length(F.bin(v)) - TOP_BITS).cast("long")
+    return F.when(v < TOP, v).otherwise(v - v % low)
+
+
 def sketches(m: DataFrame) -> DataFrame:
-    """Rows and one quantile sketch per language, source and measure;
-    sketches of other batches can be merged in by ``kll_merge_agg_double``."""
-    return m.groupBy("lang", "source").agg(
-        F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(F.col(c), F.lit(SKETCH_K)).alias(c) for c in LEAST])
+    """(lang, source, measure, bin, n) of the rows that pass the base rules;
+    sketches of other batches are added by ``merged``."""
+    each = F.array(*[F.struct(F.lit(c).alias("measure"), bin_of(c).alias("bin")) for c in LEAST])
+    return (m.where("not base_failed").select("lang", "source", F.inline(each))
+             .groupBy("lang", "source", "measure", "bin").agg(F.count(F.lit(1)).alias("n")))
+
+
+def merged(sk: DataFrame, *keys: str) -> DataFrame:
+    """Sketches by ``keys``: of wider groups, or of several batches."""
+    return sk.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
+
 
+def _of_measure(values: dict) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for c in LEAST for x in (c, float(values[c]))]), F.col("measure"))
 
-def merged(sk: DataFrame, key: Column) -> DataFrame:
-    """Sketches of wider groups."""
-    return sk.groupBy(key).agg(
-        F.sum("n").alias("n"), *[F.kll_merge_agg_double(F.col(c), F.lit(SKETCH_K)).alias(c) for c in LEAST])
 
+def fences(sk: DataFrame, *keys: str, spread: float = SPREAD) -> DataFrame:
+    """Rows, fence and median per group and measure. The window of a group
+    holds its bins, not its rows."""
+    group = Window.partitionBy(*keys, "measure")
+    x = (sk.withColumn("upto", F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
+           .withColumn("total", F.sum("n").over(group)))
 
-def fences(level: str, spread: float) -> list[Column]:
-    """Rows, and fence and median of each measure, named by the level."""
-    out = [F.col("n").alias(f"{level}_n")]
-    for c in LEAST:
-        low, mid, high = (F.kll_sketch_get_quantile_double(F.col(c), F.lit(q)) for q in (0.25, 0.5, 0.75))
-        out += [(high + F.greatest(F.lit(LEAST[c]), spread * (high - low))).alias(f"{level}_{c}"),
-                mid.alias(f"{level}_mid_{c}")]
-    return out
+    def quartile(k: int) -> Column:
+        return F.min(F.when(4 * F.col("upto") >= k * F.col("total"), F.col("bin"))) / _of_measure(SCALE)
+    q = x.groupBy(*keys, "measure").agg(F.max("total").alias("n"), quartile(1).alias("low"), quartile(2).alias("mid"),
+                                        quartile(3).alias("high"))
+    fence = F.col("high") + F.greatest(_of_measure(LEAST), spread * (F.col("high") - F.col("low")))
+    return q.select(*keys, "measure", "n", fence.alias("fence"), "mid")
 
 
-def bounded(c: str, level: str, fence: Column, mid: Column) -> tuple[Column, Column]:
-    """Fence and median of a level, given those of the wider one."""
-    few = F.col(f"{level}_n") < MIN_GROUP
-    most = fence + F.greatest(F.lit(0.0), F.col(f"{level}_mid_{c}") - mid) + F.lit(MARGIN[c])
-    return (F.when(few, fence).otherwise(F.least(F.col(f"{level}_{c}"), most)),
-            F.when(few, mid).otherwise(F.col(f"{level}_mid_{c}")))
+def bounded(n: Column, own: tuple[Column, Column], wide: tuple[Column, Column]) -> tuple[Column, Column]:
+    """Fence and median of a group of n rows, given those of the wider one."""
+    fence, mid = ((n * a + PRIOR * b) / (n + PRIOR) for a, b in zip(own, wide))
+    return F.least(fence, wide[0] + F.greatest(F.lit(0.0), mid - wide[1]) + _of_measure(MARGIN)), mid
 
 
 def thresholds(sk: DataFrame, spread: float = SPREAD) -> DataFrame:
-    every = merged(sk, F.lit(0).alias("_all")).select(*fences("all", spread))
-    langs = merged(sk, F.col("lang").alias("_of")).select("_of", *fences("lang", spread))
-    x = (sk.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *fences("own", spread))
-           .join(langs, F.col("_lang").eqNullSafe(F.col("_of"))).crossJoin(F.broadcast(every)))
+    """One row per language and source: the threshold of each measure."""
+    def named(level: DataFrame, prefix: str) -> DataFrame:
+        return level.select(*[F.col(c).alias(f"{prefix}_{c}") for c in level.columns])
 
-    def limit(c: str) -> Column:
-        wide = bounded(c, "lang", F.col(f"all_{c}"), F.col(f"all_mid_{c}"))
-        return bounded(c, "own", *wide)[0].alias(f"max_{c}")
-    return x.select("_lang", "_source", *[limit(c) for c in LEAST])
+    every = named(fences(merged(sk), spread=spread), "all")            # one row per measure
+    langs = named(fences(merged(sk, "lang"), "lang", spread=spread), "of")
+    x = (fences(sk, "lang", "source", spread=spread)
+         .join(langs, F.col("lang").eqNullSafe(F.col("of_lang")) & (F.col("measure") == F.col("of_measure")))
+         .join(F.broadcast(every), F.col("measure") == F.col("all_measure")))
+    wide = bounded(F.col("of_n"), (F.col("of_fence"), F.col("of_mid")), (F.col("all_fence"), F.col("all_mid")))
+    limit = bounded(F.col("n"), (F.col("fence"), F.col("mid")), wide)[0]
+    return (x.withColumn("limit", limit).groupBy(F.col("lang").alias("_lang"), F.col("source").alias("_source"))
+             .agg(*[F.max(F.when(F.col("measure") == c, F.col("limit"))).alias(f"max_{c}") for c in LEAST]))
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """Per document: base counts, base_failed, kept, and the rules broken."""
     m = reuse(shares(measured(docs)))
     limits = reuse(thresholds(reuse(sketches(m))))     # one row per group: its size on disk decides the join
-    x = m.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")))
+    x = m.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     broken = F.array_compact(F.array(*[F.when(F.col(c) > F.col(f"max_{c}"), F.lit(c)) for c in LEAST]))
     return (x.withColumn("broken", broken)
              .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

@@ -363,7 +363,10 @@ def loser_winner_pairs(c: DataFrame, min_together: int = 2) -> DataFrame:
     sort-based aggregate over process totals); every other participant gets one (loser, winner) edge, so a
     process with k participants emits k-1 rows, never all pairs. Pairs seen
     in at least ``min_together`` processes, with the share of the loser's
-    processes that the winner took."""
+    processes that the winner took (``confianza``), the share of all lost
+    participations that stand beside the pair (``soporte``), and how many
+    times ``confianza`` exceeds the winner's share of all of them (``lift``;
+    1 = as often as for any loser). The total is a scalar subquery."""
     part = (c.where(F.col("documento_proveedor").isNotNull() & F.col("proceso_de_compra").isNotNull())
              .groupBy("proceso_de_compra", "documento_proveedor").agg(F.sum(_v()).alias("v")))
     win = (part.groupBy("proceso_de_compra")
@@ -373,6 +376,12 @@ def loser_winner_pairs(c: DataFrame, min_together: int = 2) -> DataFrame:
     lost = (part.join(win, "proceso_de_compra").where(F.col("documento_proveedor") != F.col("ganador"))
                 .select(F.col("documento_proveedor").alias("perdedor"), "ganador", "proceso_de_compra"))
     pairs = lost.groupBy("perdedor", "ganador").agg(F.count(F.lit(1)).alias("juntos"))
-    n_lost = lost.groupBy("perdedor").agg(F.count(F.lit(1)).alias("derrotas"))
-    return (pairs.where(F.col("juntos") >= min_together).join(n_lost, "perdedor")
-                 .withColumn("confianza", F.col("juntos").cast("double") / F.col("derrotas").cast("double")))
+    n_lost = pairs.groupBy("perdedor").agg(F.sum("juntos").alias("derrotas"))
+    n_won = pairs.groupBy("ganador").agg(F.sum("juntos").alias("victorias"))
+    total = pairs.agg(F.sum("juntos").cast("double")).scalar()
+    share = F.col("juntos").cast("double") / F.col("derrotas").cast("double")
+    return (pairs.where(F.col("juntos") >= min_together).join(n_lost, "perdedor").join(n_won, "ganador")
+                 .select("perdedor", "ganador", "juntos", "derrotas", share.alias("confianza"),
+                         (F.col("juntos").cast("double") / total).alias("soporte"),
+                         ((F.col("juntos").cast("double") * total)
+                          / (F.col("derrotas") * F.col("victorias")).cast("double")).alias("lift")))

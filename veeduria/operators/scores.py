@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veeduria.operators.derive import is_service
-from veeduria.params import FLAG_DESCRIPTIONS, SCORE_CAP, Params
+from veeduria.params import FLAG_DESCRIPTIONS, FLAG_NAMES, SCORE_CAP, Params
 
 
 def _score(a: DataFrame, key: str, label: str) -> DataFrame:
@@ -65,44 +67,54 @@ def _shapes(p: Params):
     ]
 
 
-def _key(cols: list[str]):
-    """Key text of the given columns; NULL if any part is NULL."""
-    return F.concat(*[x for c in cols for x in (F.lit("\u0001"), F.col(c).cast("string"))])
+CODES = sorted(FLAG_NAMES)
+
+
+def _weights(a: DataFrame, codes: list[str], cols: list[str]) -> DataFrame:
+    """Per alert key: summed severity, number of alerts, and the flags as
+    bits, so that the aggregates hold numbers only (hash aggregates)."""
+    bit = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(CODES) for x in (k, 1 << i)]), F.col("codigo"))
+    return (a.where(F.col("codigo").isin(codes) & functools.reduce(Column.__and__, [F.col(k).isNotNull() for k in cols]))
+             .groupBy(*cols).agg(F.sum("severidad").alias("raw"), F.count(F.lit(1)).alias("n"), F.bit_or(bit).alias("bits")))
 
 
-def contract_links(c: DataFrame, a: DataFrame, p: Params = Params()) -> DataFrame:
-    """(id_contrato, codigo, severidad) for every alert that covers a
-    contract: contract-level alerts by id, group alerts by the group's keys
-    and the flag's own row predicate. One scan of the contracts: each row
-    offers one key per shape (NULL when the predicate fails or a key part is
-    NULL), and one equi-join on (shape, key) matches them with the alerts.
-    The alert side is never broadcast by hint (its size grows with the
-    data); AQE decides from runtime sizes and splits skewed keys."""
+def contract_weights(c: DataFrame, a: DataFrame, p: Params = Params()) -> DataFrame:
+    """(id_contrato, raw, n, bits) parts to be added up per contract id:
+    group alerts by the group's keys and the flag's own row predicate,
+    contract-level alerts by id.
+
+    Alerts are first summed per key, so a contract row meets at most one row
+    per shape: one left join on typed columns for each shape, one scan of the
+    contracts and one row out. No side carries a hint, since the alerts grow
+    with the data: AQE broadcasts a small side, where the joins run within
+    the scan's tasks, and splits skewed keys otherwise."""
     shapes = _shapes(p)
-    offers = F.array(*[F.struct(F.lit(k).alias("shape"),
-                                (_key(cols) if pred is None else F.when(pred, _key(cols))).alias("key"))
-                       for k, _, cols, pred in shapes])
-    ck = (c.select("id_contrato", F.explode(offers).alias("o"))
-           .select("id_contrato", "o.shape", "o.key").where(F.col("key").isNotNull()))
-    ak = None
+    used = sorted({k for _, _, cols, _ in shapes for k in cols})
+    rows = c.select("id_contrato", *used, *[(F.lit(True) if pred is None else pred).alias(f"_ok{k}")
+                                            for k, _, _, pred in shapes])
     for k, codes, cols, _ in shapes:
-        part = (a.where(F.col("codigo").isin(codes))
-                 .select(F.lit(k).alias("shape"), _key(cols).alias("key"), "codigo", "severidad"))
-        ak = part if ak is None else ak.unionByName(part)
-    grouped = ck.join(ak.where(F.col("key").isNotNull()), ["shape", "key"]).select("id_contrato", "codigo", "severidad")
-    direct = (a.where(F.col("codigo").isin("F09", "F10") & F.col("id_contrato").isNotNull())
-               .select("id_contrato", "codigo", "severidad"))
-    return grouped.unionByName(direct)
+        w = _weights(a, codes, cols).select(*[F.col(x).alias(f"_{x}") for x in cols],
+                                            *[F.col(x).alias(f"{x}{k}") for x in ("raw", "n", "bits")])
+        on = functools.reduce(Column.__and__, [F.col(x) == F.col(f"_{x}") for x in cols])
+        rows = rows.join(w, on & F.col(f"_ok{k}"), "left").drop(*[f"_{x}" for x in cols])
+
+    def over_shapes(name: str, add) -> Column:
+        return functools.reduce(add, [F.coalesce(F.col(f"{name}{k}"), F.lit(0)) for k, *_ in shapes])
+    grouped = rows.select("id_contrato", over_shapes("raw", Column.__add__).alias("raw"),
+                          over_shapes("n", Column.__add__).alias("n"),
+                          over_shapes("bits", Column.bitwiseOR).alias("bits")).where("n > 0")
+    return grouped.unionByName(_weights(a, ["F09", "F10"], ["id_contrato"]))
 
 
 def contract_scores(c: DataFrame, a: DataFrame, p: Params = Params()) -> DataFrame:
     """Contract score = capped sum of the severities covering it."""
-    g = (contract_links(c, a, p).groupBy("id_contrato")
-         .agg(F.sum("severidad").alias("raw_score"), F.count(F.lit(1)).alias("n_alertas"),
-              F.sort_array(F.collect_set("codigo")).alias("banderas")))
+    g = contract_weights(c, a, p).groupBy("id_contrato").agg(
+        F.sum("raw").alias("raw_score"), F.sum("n").alias("n_alertas"), F.bit_or("bits").alias("bits"))
+    flags = F.filter(F.array(*[F.when(F.col("bits").bitwiseAND(1 << i) > 0, F.lit(k)) for i, k in enumerate(CODES)]),
+                     lambda x: x.isNotNull())
     return g.select(F.col("id_contrato").alias("key"),
                     F.least(F.lit(SCORE_CAP).cast("bigint"), F.col("raw_score")).cast("int").alias("score"),
-                    "raw_score", "n_alertas", "banderas")
+                    "raw_score", "n_alertas", flags.alias("banderas"))
 
 
 def flag_descriptions(spark: SparkSession) -> DataFrame:

@@ -228,9 +228,13 @@ def xd(ctx: Context):
 
 @register("xr_pairs", with_ctes(f"""
 WITH_X
-SELECT p.perdedor, p.ganador, p.juntos, n.derrotas, CAST(p.juntos AS DOUBLE) / CAST(n.derrotas AS DOUBLE) AS confianza
+SELECT p.perdedor, p.ganador, p.juntos, n.derrotas, CAST(p.juntos AS DOUBLE) / CAST(n.derrotas AS DOUBLE) AS confianza,
+       CAST(p.juntos AS DOUBLE) / (SELECT CAST(count(*) AS DOUBLE) FROM lost) AS soporte,
+       CAST(p.juntos AS DOUBLE) * (SELECT CAST(count(*) AS DOUBLE) FROM lost)
+         / CAST(n.derrotas * g.victorias AS DOUBLE) AS lift
 FROM (SELECT perdedor, ganador, count(*) AS juntos FROM lost GROUP BY 1, 2 HAVING count(*) >= 2) p
-JOIN (SELECT perdedor, count(*) AS derrotas FROM lost GROUP BY 1) n USING (perdedor)""".replace("WITH_X\n", ""),
+JOIN (SELECT perdedor, count(*) AS derrotas FROM lost GROUP BY 1) n USING (perdedor)
+JOIN (SELECT ganador, count(*) AS victorias FROM lost GROUP BY 1) g USING (ganador)""".replace("WITH_X\n", ""),
     [DEFAULT], f"""
 part AS (SELECT proceso_de_compra, documento_proveedor, sum(valor_del_contrato) AS v FROM {CC}
          WHERE documento_proveedor IS NOT NULL AND proceso_de_compra IS NOT NULL GROUP BY 1, 2),

@@ -63,20 +63,25 @@ def dedupe(df: DataFrame, key: str = "id_contrato", order: tuple[str, ...] = DED
     """Keep one row per ``key``: latest signature date, then largest value,
     then the remaining order columns, then all other columns (deterministic).
 
-    Written as ``max(struct(order..., rest...))`` per key: a sort-based
-    aggregate (a struct can't live in a hash aggregation buffer) with a
-    map-side partial step, so a key repeated by a third of all rows is
-    reduced inside each task before the shuffle (a ``row_number`` window
-    would sort all of them in one task). ``max`` over a struct orders NULL
-    lowest, which is "descending, NULLs last". Rows without a key are not
-    duplicates of each other and pass through unchanged.
+    Keys are counted first (a hash aggregate over the key column alone). Rows
+    whose key occurs once pass through: with few repeated keys AQE broadcasts
+    those, and the facts are neither shuffled nor sorted. Only rows of
+    repeated keys are reduced, by ``max(struct(order..., rest...))``: a
+    sort-based aggregate with a map-side partial step, so a key repeated by a
+    third of all rows shrinks inside each task before the shuffle (a
+    ``row_number`` window would sort all of them in one task). ``max`` over a
+    struct orders NULL lowest, which is "descending, NULLs last". Rows
+    without a key are not duplicates of each other and pass through
+    unchanged.
     """
     cols = df.columns
     rest = [c for c in cols if c not in order and c != key]
+    repeated = df.groupBy(F.col(key).alias("_rep")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 and _rep is not null")
+    marked = df.join(repeated.select("_rep"), F.col(key) == F.col("_rep"), "left")
     m = F.max(F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest])).alias("_m")
-    kept = (df.where(F.col(key).isNotNull()).groupBy(key).agg(m)
-              .select(key, *[F.col(f"_m.{c}").alias(c) for c in (*order, *rest)]))
-    return kept.select(*cols).unionByName(df.where(F.col(key).isNull()))
+    kept = (marked.where(F.col("_rep").isNotNull()).groupBy(key).agg(m)
+                  .select(key, *[F.col(f"_m.{c}").alias(c) for c in (*order, *rest)]))
+    return kept.select(*cols).unionByName(marked.where(F.col("_rep").isNull()).select(*cols))
 
 
 __all__ = ["align", "coerce", "clean_identities", "normalize", "dedupe", "CONTRACT_COLUMNS"]

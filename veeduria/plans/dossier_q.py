@@ -12,6 +12,7 @@ from veeduria.operators import dossier as D
 from veeduria.plans import oracle as O
 from veeduria.plans.catalog import ALL_BINDINGS, FLAG_BINDING, TEST, alerts_cte, alerts_df, register
 from veeduria.plans.context import Context
+from veeduria.session import reuse
 
 ORDER_SQL = ("severidad DESC, valor_cop DESC, codigo ASC, nit_entidad ASC NULLS LAST, "
              "documento_proveedor ASC NULLS LAST, id_contrato ASC NULLS LAST, anio ASC NULLS LAST, "
@@ -20,11 +21,12 @@ ORDER_SQL = ("severidad DESC, valor_cop DESC, codigo ASC, nit_entidad ASC NULLS
 
 def build(ctx: Context, n: int, per_flag: int | None, mode: str) -> DataFrame:
     a = alerts_df(ctx)
-    top = D.top_alerts(a, n, per_flag)
+    top = reuse(D.top_alerts(a, n, per_flag))   # flags run once for all bindings
     parts = []
     for b in ALL_BINDINGS:
         codes = [k for k, v in FLAG_BINDING.items() if v == b]
-        parts.append(D.evidence(ctx.contracts(b, TEST), top, 10, mode, TEST, codes))
+        parts.append(D.evidence(ctx.contracts(b, TEST), top, 10, mode, TEST, codes,
+                                top_rows=D.top_bound(n, per_flag)))
     ev = functools.reduce(DataFrame.unionByName, parts)
     head = top.select("rank", "codigo", "bandera", F.col("nombre_entidad").alias("a_entidad"),
                       F.col("proveedor").alias("a_proveedor"), F.col("anio").alias("a_anio"), "detalle",

@@ -18,8 +18,9 @@ its size). Two classes link at Jaccard 0.75 or more. No link is estimated:
    compared exactly. Members that are already connected need no comparison,
    so a dense group costs about one comparison per member, and only a
    spanning forest of the links leaves the task. A cluster beyond
-   ``BLOCK_SHINGLES`` is cut into blocks by size and each pair of blocks that
-   can have links is a task of its own.
+   ``BLOCK_SHINGLES``, or of very unequal sizes, is cut into blocks of
+   neighbouring sizes and each pair of blocks that can have links is a task of
+   its own; so a long text does not widen the bitmaps of short ones.
 4. The components of the forests, named by their smallest document id.
 
 Defined results: a null text counts as empty; a document without words has
@@ -33,6 +34,7 @@ and ``text`` are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +45,12 @@ from veeduria.llm.common import tidy, tidy_group
 from veeduria.llm.fingerprints import Hasher, mixed
 from veeduria.llm.recurring import mark_recurring
 from veeduria.operators.graph import connected_components
-from veeduria.session import reuse
+from veeduria.session import drop_written, reuse
 
 WORDS = 5
 PERCENT = 75
 BLOCK_SHINGLES = 4_000_000
+WIDE = 16
 BITMAP = 1024
 FAN_OUT = 16
 
@@ -140,18 +143,25 @@ def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def clusters(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(c1, cluster): classes that share a prefix shingle are together."""
-    occ = sets.select("c1", "n", F.explode_outer("tokens").alias("token"))
-    shared = (occ.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
-                 .groupBy("c1").agg(F.first("n").alias("n"),
-                                    F.sort_array(F.collect_set(F.struct("df", "token"))).alias("t")))
+    occ = sets.select("c1", F.explode_outer("tokens").alias("token"))
+    # counted before the rows meet, and written: a join of two plain
+    # shuffles, of which a hot shingle's rows can be split
+    often = reuse(occ.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    shared = (occ.join(often, "token").groupBy("c1").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("t"))
+                 .join(sets.groupBy("c1").agg(F.first("n").alias("n")), "c1"))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     take = prefix - (F.col("n") - F.size("t"))      # the shingles of no other class come first
     head = (shared.withColumn("take", take.cast("int")).where("take > 0")
                   .select("c1", F.explode_outer(F.slice(F.col("t"), F.lit(1), F.col("take"))).alias("t"))
                   .select("c1", "t.token"))
-    lead = F.min("c1").over(Window.partitionBy("token"))
-    edges = head.withColumn("lead", lead).where("c1 <> lead").select("c1", "lead").distinct()
-    return connected_components(edges, "c1", "lead").select(F.col("node").alias("c1"), F.col("component").alias("cluster"))
+    head = reuse(head)
+    lead = reuse(head.groupBy("token").agg(F.min("c1").alias("lead"), F.count(F.lit(1)).alias("k"))
+                     .where("k > 1").drop("k"))
+    edges = head.join(lead, "token").where("c1 <> lead").select("c1", "lead").distinct()
+    found = connected_components(edges, "c1", "lead")
+    for t in (often, head, lead):
+        drop_written(t)
+    return found.select(F.col("node").alias("c1"), F.col("component").alias("cluster"))
 
 
 class Tree:
@@ -193,9 +203,17 @@ def forest(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int
     (numbered after ``left``), by dual traversal."""
     sets = left if right is None else left + right
     label = np.arange(len(sets))
+    parts = {i: [i] for i in range(len(sets))}
     bits = max(BITMAP, 1 << (2 * max(map(len, sets), default=1)).bit_length())
     links: list[tuple[int, int]] = []
 
+    def join(x: int, y: int):
+        """The smaller part takes the label of the larger."""
+        small, large = sorted((int(x), int(y)), key=lambda k: len(parts[k]))
+        moved = parts.pop(small)
+        label[moved] = large
+        parts[large] += moved
+
     def traverse(a: Tree, off_a: int, b: Tree, off_b: int):
         top = (len(a.levels) - 1, 0, len(b.levels) - 1, 0)
         stack = [top] if a.sets and b.sets else []
@@ -219,7 +237,7 @@ def forest(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int
                     s, t = a.sets[u], b.sets[v]
                     if linked(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t), percent):
                         links.append((off_a + u, off_b + v))
-                        label[label == label[off_b + v]] = label[off_a + u]
+                        join(label[off_a + u], label[off_b + v])
 
     one = Tree(left, bits)
     traverse(one, 0, one, 0)
@@ -230,17 +248,37 @@ def forest(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int
     return links
 
 
+def blocks(sets: DataFrame, cluster: DataFrame, percent: int = PERCENT, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """(c1, c2, n, cluster, block). A cluster is one block while it has at
+    most ``block`` shingles and its trees' bitmaps, as wide as its largest
+    set asks for, stay within ``WIDE`` times as many bits. Beyond, it is cut
+    into bands in which sizes grow by ``100 / percent`` at most, and a band
+    into parts of about ``block`` shingles by the hash of the class: sums per
+    band decide, no window holds a cluster. Block numbers grow with the
+    band."""
+    sized = sets.select("c1", "c2", "n").distinct().join(cluster, "c1")
+    growth = max(math.log(100 / percent), 0.01)
+    band = F.floor(F.log(F.col("n").cast("double")) / growth)
+    sized = reuse(sized.withColumn("band", band))
+    bands = sized.groupBy("cluster", "band").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("k"), F.max("n").alias("top"))
+    whole = (bands.groupBy("cluster").agg(F.sum("all").alias("all"), F.sum("k").alias("k"), F.max("top").alias("top"))
+                  .select("cluster", ((F.col("all") <= block) & (F.col("k") * F.col("top") <= WIDE * block)).alias("whole")))
+    cut = reuse(bands.join(whole, "cluster").where("not whole")
+                     .select("cluster", "band", F.ceil(F.col("all") / block).alias("parts")))
+    part = F.pmod(F.xxhash64("c1", "c2"), F.col("parts"))
+    return (sized.join(cut, ["cluster", "band"], "left")
+                 .select("c1", "c2", "n", "cluster",
+                         F.when(F.col("parts").isNull(), F.lit(-1)).otherwise(F.shiftleft(F.col("band"), 32) + part).alias("block")))
+
+
 def links(sets: DataFrame, cluster: DataFrame, percent: int = PERCENT, block: int = BLOCK_SHINGLES) -> DataFrame:
     """(a, b): spanning forests of the links within all clusters."""
-    sized = sets.select("c1", "c2", "n").distinct().join(cluster, "c1")
-    upto = F.sum("n").over(Window.partitionBy("cluster").orderBy("n", "c1", "c2")
-                           .rowsBetween(Window.unboundedPreceding, -1))
-    sized = reuse(sized.withColumn("block", F.floor(F.coalesce(upto, F.lit(0)) / block)))
+    sized = reuse(blocks(sets, cluster, percent, block))
     ranges = sized.groupBy("cluster", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     other = ranges.select(F.col("cluster").alias("k2"), F.col("block").alias("right"), F.col("lo").alias("lo2"),
                           F.col("hi").alias("hi2"))
-    # sizes grow with the block number: a pair can link if the smaller
-    # block's largest set is long enough for the larger block's smallest
+    # sizes grow with the band: a pair of blocks can link if the first one's
+    # largest set is long enough for the second one's smallest
     pairs = (ranges.withColumnRenamed("block", "left")
                    .join(other, (F.col("cluster") == F.col("k2")) & (F.col("left") <= F.col("right")))
                    .where(100 * F.col("hi") >= percent * F.col("lo2")))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from veeduria.llm.common import partitions, tidy, tidy_group
 
-CHUNK_HASHES = 2_000_000
+CHUNK_HASHES = 1_000_000
 _SENT = "bucket int, chunk long, at binary, cut binary, known binary, meta binary"
 _FOUND = "chunk long, at binary, meta binary"
 
@@ -75,6 +75,7 @@ def mark_recurring(docs: DataFrame, hashes: Callable, finish: Callable, schema:
             once = np.flatnonzero(counts == 1)
             place = np.zeros(len(values), "<u4")
             place[inverse] = np.arange(len(every), dtype="<u4")       # right where a value is single
+            del every, inverse
             rows = []
             many = np.flatnonzero(counts > 1)
             once = once[np.lexsort((place[once], home[once]))]

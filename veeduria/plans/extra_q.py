@@ -122,6 +122,7 @@ watch AS (SELECT nit_entidad FROM alertas WHERE nit_entidad IS NOT NULL GROUP BY
           HAVING least(100, sum(severidad)) >= 100)"""))
 def xw(ctx: Context):
     """XW activity of a watchlist (buyers whose score reaches 100)."""
+    ctx.keep()
     c = ctx.contracts(DEFAULT, TEST)
     a = reuse(FL.run_flags_shared(c, TEST))     # flags run once for both consumers
     watch = S.entity_scores(a).where(F.col("score") >= 100).select(F.col("key").alias("nit_entidad"))

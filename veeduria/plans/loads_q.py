@@ -15,7 +15,7 @@ from veeduria.plans.catalog import DEFAULT, TEST, alerts_df, register, with_aler
 from veeduria.plans.context import Context
 from veeduria.plans.sources_q import landed_text
 from veeduria.schema import ALERT
-from veeduria.session import scratch_table_dir
+from veeduria.session import reuse, scratch_table_dir
 from veeduria.sources import landed as L
 from veeduria.sources import sinks as K
 from veeduria.sources.journal import Table
@@ -30,8 +30,9 @@ def _dir(ctx: Context, name: str) -> str:
 
 
 def _rows(ctx: Context) -> DataFrame:
-    return ctx.contracts(DEFAULT, TEST).select("id_contrato", "nit_entidad", "documento_proveedor",
-                                               "valor_del_contrato", "fecha_de_firma", "anio")
+    """The rows that the loads of a query are cut from, joined once."""
+    return reuse(ctx.contracts(DEFAULT, TEST).select("id_contrato", "nit_entidad", "documento_proveedor",
+                                                     "valor_del_contrato", "fecha_de_firma", "anio"))
 
 
 def _out(t: Table) -> DataFrame:

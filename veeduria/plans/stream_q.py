@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from veeduria.plans.catalog import register
 from veeduria.plans.context import Context
-from veeduria.session import scratch_table_dir
+from veeduria.session import drop_written, reuse, scratch_table_dir
+from veeduria.sources import sinks as K
 from veeduria.streaming import refresh as RF
 
 
@@ -97,7 +98,8 @@ def st_flags(ctx: Context):
     from veeduria.plans.sources_q import landed_text
     base, ckpt = _dirs(ctx, "st_flags")
     landed = base.rsplit("/", 1)[0] + "/landed"
-    raw = landed_text(ctx.raw_contracts(DEFAULT))
+    bound = reuse(ctx.raw_contracts(DEFAULT))           # both arrivals are cut from it
+    raw = landed_text(bound)
     day = F.col("fecha_de_firma")                       # ISO text compares in date order
     first, again = day < F.lit(CUT), (day >= F.lit("1997-01-01")) & (day < F.lit("1997-04-01"))
     wrong = {"valor_del_contrato": (2 * F.col("valor_del_contrato").cast("decimal(18,4)")).cast("string"),
@@ -105,7 +107,8 @@ def st_flags(ctx: Context):
              "fecha_de_firma": F.regexp_replace("fecha_de_firma", "^1997", "1996")}
     early = raw.where(first).select(*[F.when(again, wrong[c]).otherwise(F.col(c)).alias(c) if c in wrong else F.col(c)
                                       for c in raw.columns])
-    early.write.mode("overwrite").json(f"{landed}/arrival=1")
+    K.write_json(early, f"{landed}/arrival=1")
     FR.run_refresh(ctx.spark, landed, base, ckpt, TEST)
-    raw.where(~first | again).write.mode("overwrite").json(f"{landed}/arrival=2")
+    K.write_json(raw.where(~first | again), f"{landed}/arrival=2")
+    drop_written(bound)
     return FR.run_refresh(ctx.spark, landed, base, ckpt, TEST)

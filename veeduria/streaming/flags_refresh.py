@@ -38,6 +38,7 @@ from veeduria.operators.derive import derive
 from veeduria.operators.normalize import normalize
 from veeduria.params import Params
 from veeduria.schema import ALERT, CONTRACT
+from veeduria.session import drop_written, reuse
 from veeduria.sources.landed import CORRUPT, LANDED_SCHEMA, is_parsed
 
 YEAR_FLAGS = ["F01", "F04", "F06", "F08"]
@@ -96,21 +97,25 @@ def _refresh(norm: DataFrame, batch_id: int, out_dir: str, p: Params) -> None:
     (_versions(spark, out_dir, p, below=batch_id).join(ids, "id_contrato", "left_semi")
         .select("id_contrato", F.col("batch_id").alias("old_batch"), "anio", "nit_entidad").distinct()
         .write.mode("overwrite").parquet(f"{out_dir}/replaced/batch_id={batch_id}"))
-    c = contracts_table(spark, out_dir, p)
     gone = _replaced(spark, out_dir).where(F.col("batch_id") == batch_id)
     changed = new.select("anio", "nit_entidad").unionByName(gone.select("anio", "nit_entidad"))
     years = sorted(r[0] for r in changed.select("anio").distinct().collect())
     buyers = changed.where(F.col("nit_entidad").isNotNull()).select("nit_entidad").distinct()
     y02 = sorted(set(years) | {y + 1 for y in years})
-    by_year = [FL.REGISTRY[k].build(c.where(F.col("anio").isin(years)), p) for k in YEAR_FLAGS]
-    f02_rows = c.where(F.col("anio").isin(sorted(set(y02) | {y - 1 for y in y02})))
-    by_year.append(FL.f02_jump(f02_rows, p).where(F.col("anio").isin(y02)))
+    # the current versions are found once for all flags, not by each flag and its labels
+    c = contracts_table(spark, out_dir, p)
+    near = reuse(c.where(F.col("anio").isin(sorted({y + d for y in y02 for d in (-1, 0)}))))
+    own = reuse(c.join(buyers, "nit_entidad", "left_semi")
+                 .select("nit_entidad", "nombre_entidad", "mes_firma", "valor_del_contrato"))
+    by_year = [FL.REGISTRY[k].build(near.where(F.col("anio").isin(years)), p) for k in YEAR_FLAGS]
+    by_year.append(FL.f02_jump(near, p).where(F.col("anio").isin(y02)))
     parts = [a.withColumn("clave", F.col("anio").cast("string")) for a in by_year]
-    parts.append(FL.f03_spike(c.join(buyers, "nit_entidad", "left_semi"), p)
-                   .withColumn("clave", F.col("nit_entidad")))
+    parts.append(FL.f03_spike(own, p).withColumn("clave", F.col("nit_entidad")))
     parts += [FL.REGISTRY[k].build(new, p).withColumn("clave", F.lit(None).cast("string")) for k in ROW_FLAGS]
     functools.reduce(DataFrame.unionByName, parts).write.mode("overwrite").parquet(
         f"{out_dir}/alerts/batch_id={batch_id}")
+    drop_written(near)
+    drop_written(own)
     keys = [(k, str(y)) for k in YEAR_FLAGS for y in years] + [("F02", str(y)) for y in y02]
     (spark.createDataFrame(keys, "codigo string, clave string")
           .unionByName(buyers.select(F.lit("F03").alias("codigo"), F.col("nit_entidad").alias("clave")))
@@ -127,11 +132,11 @@ def _batch_writer(out_dir: str, p: Params):
     def write(batch: DataFrame, batch_id: int) -> None:
         bad = batch.where(~is_parsed()).select(F.col(CORRUPT).alias("registro"), "id_contrato")
         bad.write.mode("overwrite").parquet(f"{out_dir}/rejected/batch_id={batch_id}")
-        norm = normalize(batch.where(is_parsed())).persist()    # read by every flag; lost parts are parsed again
+        norm = reuse(normalize(batch.where(is_parsed())))       # read by every flag, parsed once
         try:
             _refresh(norm, batch_id, out_dir, p)
         finally:
-            norm.unpersist()
+            drop_written(norm)
     return write
 
 

@@ -7,6 +7,7 @@ import datetime as dt
 
 import pytest
 
+from veeduria.operators import scores as S
 from veeduria.operators.normalize import normalize
 import __spark_entry__  # noqa: F401  (registers every query)
 from veeduria.plans import catalog as C
@@ -66,6 +67,21 @@ def test_flags_read_one_written_join(spark, star, name):
     assert "l_orderkey" not in plan, "the star join is planned again"
 
 
+def test_kept_rows_hold_what_reads_can_not_make_cheaply(spark, star):
+    ctx = Context(spark, star)
+    ctx.keep()
+    assert not {"id_contrato", "objeto_del_contrato", "valor_pagado", "nit_entidad_cliente"} & set(ctx._kept.columns)
+    cleaned = B.join_tables(ctx.tables, cleaned=True)._jdf.queryExecution().optimizedPlan().toString()
+    trims = [line for line in cleaned.splitlines() if "trim(" in line]
+    assert trims and not any("l_suppkey" in line for line in trims), "cleaned per contract"
+
+
+@pytest.mark.parametrize("score", [S.entity_scores, S.supplier_scores])
+def test_scores_read_the_alerts_once(spark, star, score):
+    plan = _plan(score(C.CATALOG["r01_alerts"].build(Context(spark, star))))
+    assert "severidad" not in plan, "the alerts are planned again for the ranks"
+
+
 def test_loads_are_cut_from_rows_joined_once(spark, star):
     assert "l_orderkey" not in _plan(loads_q._rows(Context(spark, star)))
 

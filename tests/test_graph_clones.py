@@ -7,6 +7,7 @@ import random
 
 from veeduria.operators.clones import exact_clones, near_clones
 from veeduria.operators.graph import connected_components
+from veeduria.session import reuse
 
 
 def union_find(edges):
@@ -110,3 +111,17 @@ def test_near_clones_against_brute_force(spark):
     assert got_groups(df) == brute_groups(docs)
     ex = {(r.doc_id, r.grupo, r.n) for r in exact_clones(df, "doc_id", "text").collect()}
     assert ex == {(i * 10 + j, i * 10, 2) for i in range(12) for j in (0, 2)}
+
+
+def test_only_sets_of_candidates_are_written(spark, monkeypatch):
+    from veeduria.operators import clones
+
+    written = []
+    monkeypatch.setattr(clones, "reuse", lambda df: (written.append(reuse(df)), written[-1])[1])
+    base = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:-1] + ["other"])), (2, " ".join(base[:-1] + ["other"])), (3, " ".join(base).upper())]
+    rows += [(i, " ".join(f"x{i}y{j}" for j in range(30))) for i in range(10, 60)] + [(None, "a b c"), (70, None), (71, " \t")]
+    got = clones.near_clones(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 4), (2, 1, 4), (2, 1, 4), (3, 1, 4)]
+    sets = [df.count() for df in written if "hs" in df.columns]
+    assert sets and max(sets) == 2, "sets of texts without a candidate are written"

@@ -25,3 +25,24 @@ def test_encoder_equals_whole_texts(name, drops_space, keep, monkeypatch):
     got = [ids for i in range(0, len(texts), 50) for ids in e.encode(texts[i:i + 50])]
     want = [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     assert [t for t, a, b in zip(texts, got, want) if a != b] == []
+
+
+@pytest.mark.parametrize("name, drops", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_chunks_are_looked_up_once_per_call(name, drops):
+    e = Encoder(public_tokenizers.path(name), drops)
+    texts = ["la casa\nque, la", "la\tcasa", "", None, "la  casa que", " que", "una casa", "\x1ccasa la", "la |casa|",
+             "casa que,\nla CASA"] * 3
+    asked = []
+
+    class Counted(dict):
+        def __getitem__(self, key):
+            asked.append(key)
+            return dict.__getitem__(self, key)
+    want = [b"".join(np.array(i, "<u4").tobytes() for i in
+                     [e.tokenizer.encode(t or "", add_special_tokens=False).ids]) for t in texts]
+    e.known = Counted()
+    assert e.encode(texts) == want
+    e.known, plain = Counted(e.known), ["la casa que"] * 50
+    asked.clear()
+    assert e.encode(plain) == e.encode(plain[:1]) * 50 and len(asked) <= 10      # 150 words
+    assert e.encode([]) == [] and e.encode(["", None]) == [b"", b""]

@@ -4,8 +4,10 @@ Byte-pair encoders first cut a text into pre-tokens that never span certain
 white-space borders, so a text's ids are the ids of its chunks, one after
 the other. Chunks repeat, so each distinct chunk is encoded once by the
 library and kept; a document's ids are then one join of byte strings
-(little-endian unsigned 32-bit ids). A text whose white space does not allow
-the cut is encoded whole.
+(little-endian unsigned 32-bit ids). Arrow cuts the texts, finds the distinct
+chunks of many texts at once and joins their ids, so Python sees a chunk once
+for all of these. A text whose white space does not allow the cut is encoded
+whole.
 """
 
 from __future__ import annotations
@@ -13,16 +15,19 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Where a space has white space before or after it, or the text starts or
 # ends with white space, cutting at spaces could change pre-tokens.
-_UNSAFE = tuple({p for c in " \t\n\x0b\x0c\r" for p in (" " + c, c + " ")})
+_WHITE = "\t\n\x0b\x0c\r"
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_ODD_ASCII = re.compile("[\x1c-\x1f]")
+_ODD_LATIN = "\x1c\x1d\x1e\x1f\x85\xa0"
 # White space beside which a line feed is no pre-token of its own.
 _FEEDS = ("\n\n", "\t", "\x0b", "\x0c", "\r")
 _RUNS = re.compile(r"[ \t\n\x0b\f\r]*[^ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+")
 
+FIRST = "\x1c"      # in no text that is cut at its white space alone
 KEEP_CHUNKS = 400_000
 KEEP_CHARS = 48
 # Signs that end a word. Letters and the signs after them are different
@@ -101,27 +106,29 @@ class Encoder:
         for part in _parts(bars, 20_000):
             yield from zip(part, self._together([self._chunk(k) for k in part]))
 
-    def _cut(self, text: str) -> list[str] | None:
+    def _cut(self, text: str) -> str | list[str] | None:
         """Keys of the chunks: words, or words with the space before them cut
-        off; chunks as they are (the first word) are marked by a space."""
+        off; chunks as they are (the first word) are marked by a space. A text
+        that is cut at its white space alone is given in one piece, with
+        ``FIRST`` as that mark."""
         if not text:
             return []
-        odd = not text.isascii() and _ODD_SPACE.search(text) or _ODD_ASCII.search(text)
+        latin = _latin(text)
+        odd = any(c in text for c in _ODD_LATIN) if latin else _ODD_SPACE.search(text)
         if self.drops_space:
             if odd:
                 return [w.decode() for w in text.encode().split()]
             # the tokenizer lowers letters itself; where that is one to one
             # (Latin-1), words that differ by case share a chunk
-            return (text.lower() if _latin(text) else text).split()
+            return text.lower() if latin else text
         if odd:
             return None
-        if any(p in text for p in _UNSAFE) or text[0].isspace() or text[-1].isspace():
+        if "  " in text or text[0].isspace() or text[-1].isspace() or any(
+                " " + c in text or c + " " in text for c in _WHITE if c in text):
             return [" " + c for c in _RUNS.findall(text)]
         if "\n" in text and not any(x in text for x in _FEEDS):
             text = text.replace("\n", " \n")        # a word keeps the line feed before it
-        words = text.split(" ")
-        words[0] = " " + words[0]
-        return words
+        return FIRST + text
 
     def _chunk(self, key: str) -> str:
         if self.drops_space:
@@ -155,11 +162,17 @@ class Encoder:
         if len(self.known) > KEEP_CHUNKS // 2:
             self.known, self.older = {}, self.known
         known, older, long = self.known, self.older, {}
-        missing = set().union(*[w for w in cut if w]).difference(known)
+        plain = pa.array([c for c in cut if isinstance(c, str)], pa.large_string())
+        lists = pc.ascii_split_whitespace(plain) if self.drops_space else pc.split_pattern(plain, " ")
+        words = lists.values.dictionary_encode()
+        keys = [" " + k[1:] if k[:1] == FIRST else k for k in words.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        values = list(map(known.get, keys))
+        gaps = [i for i, ids in enumerate(values) if ids is None]
+        missing = {keys[i] for i in gaps}.union(*[c for c in cut if isinstance(c, list)]).difference(known, ("",))
         again = [w for w in missing if w in older]
         known.update((w, older[w]) for w in again)
         missing.difference_update(again)
-        made = [(w, *parts) for w in missing if (parts := self._parts_of(w))]
+        made = [(w, *parts) for w in missing if not w.isalpha() and (parts := self._parts_of(w))]
         missing.difference_update([w for w, *_ in made])
         stems = {stem for _, _, stem, _ in made if stem}.difference(known, missing)
         again = [w for w in stems if w in older]
@@ -171,7 +184,22 @@ class Encoder:
             ids = head + (known[stem] if stem in known else long[stem] if stem else b"") + tail
             (known if len(w) <= KEEP_CHARS else long)[w] = ids
         table = known if not long else _Both(known, long)
-        return [self._whole(t) if w is None else b"".join(map(table.__getitem__, w)) for t, w in zip(texts, cut)]
+        for i in gaps:
+            values[i] = table[keys[i]] if keys[i] else b""
+        ids = pa.array(values, pa.large_binary()).take(words.indices)
+        plain = iter(_pieces(ids, lists.offsets))
+        return [next(plain) if isinstance(c, str) else self._whole(t) if c is None
+                else b"".join(map(table.__getitem__, c)) for t, c in zip(texts, cut)]
+
+
+def _pieces(values: pa.Array, offsets: pa.Array):
+    """The values between offsets, joined."""
+    _, ends, data = values.buffers()
+    if data is None:
+        return [b""] * (len(offsets) - 1)
+    at = np.frombuffer(ends, np.int64)[offsets.to_numpy()].tolist()
+    data = memoryview(data)
+    return [bytes(data[a:b]) for a, b in zip(at, at[1:])]
 
 
 class _Both:

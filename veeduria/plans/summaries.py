@@ -18,7 +18,7 @@ from veeduria.plans import reports as R
 from veeduria.plans.catalog import DEFAULT, TEST, alerts_df, register, with_alerts, with_ctes
 from veeduria.plans.context import Context
 from veeduria.plans.profiles import ENTITY, entity_summary
-from veeduria.session import scratch_table_dir
+from veeduria.session import reuse, scratch_table_dir
 from veeduria.sources import sinks as K
 
 CC = O.cte_name(DEFAULT)
@@ -42,15 +42,16 @@ def national_peak(c: DataFrame) -> DataFrame:
 
 def departments_of_largest(a: DataFrame, dims: DataFrame, n: int = 12) -> DataFrame:
     """R28 each listed department's value as a percentage of the largest one
-    (of the published values; the list has ``n`` rows)."""
-    g = R.geography(a, dims, n)
+    (of the published values; the list has ``n`` rows, written once for the
+    list and its largest value)."""
+    g = reuse(R.geography(a, dims, n))
     top = g.agg(F.max("v").alias("m")).select("m").scalar()
     return g.select("d", "v", round_half(F.lit(100.0) * F.col("v") / F.when(top != 0, top), 1).alias("pct"))
 
 
 def geography_all(a: DataFrame, dims: DataFrame, n: int = 20) -> DataFrame:
     """R11 as the dashboard has it: buyers without a department are a row."""
-    g = a.join(dims, "nit_entidad").groupBy("departamento").agg(F.sum("valor_cop").alias("valor"))
+    g = R.value_by_buyer(a).join(dims, "nit_entidad").groupBy("departamento").agg(F.sum("valor_cop").alias("valor"))
     return g.orderBy(F.desc("valor"), F.asc_nulls_last("departamento")).limit(n)
 
 

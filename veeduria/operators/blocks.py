@@ -19,13 +19,13 @@ from veeduria.session import reuse
 PART = "_part"
 
 
-def dealt(df: DataFrame, order: list[str]) -> DataFrame:
+def dealt(df: DataFrame, order: list[str], drop: list[str] | None = None) -> DataFrame:
     """``df`` in range blocks of ``order`` (nulls first), written and read
-    back, with the block's number in ``_part``. Rows that are equal in
-    ``order`` share a block."""
+    back without the columns ``drop``, with the block's number in ``_part``.
+    Rows that are equal in ``order`` share a block."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in order])
-    return reuse(ranges.withColumn(PART, F.spark_partition_id()))
+    return reuse(ranges.withColumn(PART, F.spark_partition_id()).drop(*(drop or [])))
 
 
 def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:

@@ -19,6 +19,10 @@ _XD = """SELECT c.id_contrato, c.documento_proveedor, CAST(c.fecha_de_firma AS V
        CAST(c.valor_del_contrato AS DOUBLE) AS valor_del_contrato"""
 
 
+#: What the result needs of a contract; the as-of join moves and writes every column it is given.
+_CONTRACT = ("id_contrato", "documento_proveedor", "fecha_de_firma", "valor_del_contrato")
+
+
 @register("xd_donor", with_ctes(f"""{_XD}, CAST(d.fecha AS VARCHAR) AS fecha_donacion, CAST(d.monto AS DOUBLE) AS monto_donacion,
        CAST(datediff('day', d.fecha, c.fecha_de_firma) AS INTEGER) AS dias_desde_donacion
 FROM {NC} c ASOF JOIN d ON c.documento_proveedor = d.donante AND c.fecha_de_firma >= d.fecha
@@ -31,9 +35,8 @@ def xd_donor(ctx: Context):
     o = ctx.tables.orders.where(F.col("o_orderstatus") == "P")
     gifts = o.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("donante"),
                      F.col("o_orderdate").alias("fecha"), F.col("o_totalprice").cast("decimal(18,2)").alias("monto"))
-    r = X.donor_contracts(ctx.contracts(NATION_CUSTOMER, TEST), gifts, DAYS)
-    return r.select("id_contrato", "documento_proveedor", "fecha_de_firma", "valor_del_contrato", "fecha_donacion",
-                    "monto_donacion", "dias_desde_donacion")
+    r = X.donor_contracts(ctx.contracts(NATION_CUSTOMER, TEST).select(*_CONTRACT), gifts, DAYS)
+    return r.select(*_CONTRACT, "fecha_donacion", "monto_donacion", "dias_desde_donacion")
 
 
 @register("xd_ex_official", with_ctes(f"""{_XD}, CAST(d.fin AS VARCHAR) AS fin_cargo, d.cargo,
@@ -48,9 +51,8 @@ def xd_ex_official(ctx: Context):
     o = ctx.tables.orders.where(F.col("o_orderpriority") == "5-LOW")
     posts = o.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("persona"),
                      F.col("o_orderdate").alias("fin"), F.col("o_orderstatus").alias("cargo"))
-    r = X.ex_official_contracts(ctx.contracts(NATION_CUSTOMER, TEST), posts, DAYS)
-    return r.select("id_contrato", "documento_proveedor", "fecha_de_firma", "valor_del_contrato", "fin_cargo", "cargo",
-                    "dias_desde_cargo")
+    r = X.ex_official_contracts(ctx.contracts(NATION_CUSTOMER, TEST).select(*_CONTRACT), posts, DAYS)
+    return r.select(*_CONTRACT, "fin_cargo", "cargo", "dias_desde_cargo")
 
 
 _DIGIT = "left(CAST(CAST(floor(valor_del_contrato) AS DECIMAL(38,0)) AS VARCHAR), 1)"

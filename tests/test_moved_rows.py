@@ -4,15 +4,14 @@ exports compressed; and the same rows by it."""
 from __future__ import annotations
 
 import datetime as dt
-import glob
 
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (registers every query)
 from veeduria.operators.asof import asof_join
 from veeduria.operators.normalize import normalize
 from veeduria.plans import catalog as C
+from veeduria.plans import summaries
 from veeduria.plans.context import Context
 from veeduria.sources import bindings as B
 
@@ -38,7 +37,7 @@ def star(spark, tmp_path_factory):
                     for k, _ in names for i in range(2)]),
         "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double,"
                      " l_discount double, l_tax double, l_linestatus string, l_shipdate timestamp_ntz",
-                     [(k * 10 + i, 1 + i, s, n, 1000.0 * (n + 1), 0.1, 0.02, "FO"[i], DAY)
+                     [(k * 10 + i, 1 + i, s, n, 20000.0 * (n + 1), 0.1, 0.02, "FO"[i], DAY)
                       for k, _ in names for i in range(2) for n, (s, _) in enumerate(names)]),
     }
     for name, (schema, rows) in tables.items():
@@ -84,3 +83,25 @@ def test_odd_names_and_keys_are_cleaned_alike(spark, star, b):
     kept.keep()
     own = normalize(Context(spark, star).raw_contracts(b))
     assert _rows(kept.normalized(b)) == _rows(own) and own.count() == 98
+
+
+def test_alert_csv_is_compressed(spark, star):
+    df = C.CATALOG["s11_csv"].build(Context(spark, star))
+    assert df.inputFiles() and all(f.endswith(".csv.gz") for f in df.inputFiles())
+    assert _rows(df) == _rows(C.CATALOG["r01_alerts"].build(Context(spark, star))) and df.count() > 0
+
+
+def test_alerts_keep_no_payments(spark, star):
+    ctx = Context(spark, star)
+    C.alerts_df(ctx)
+    assert not set(B.PAYMENTS) & set(ctx._kept.columns)
+    c, own = ctx.contracts(C.DEFAULT, C.TEST), Context(spark, star).contracts(C.DEFAULT, C.TEST)
+    assert set(own.columns) - set(c.columns) == {"valor_pagado", "valor_de_pago_adelantado"}
+    assert _rows(c) == _rows(own.select(c.columns))
+
+
+def test_bundle_works_out_the_alerts_once(spark, star):
+    sections = summaries.bundle_sections(Context(spark, star))
+    for name in ("banderas", "top_entidades", "top_contratistas", "alertas_top"):
+        plan = sections[name][0]._jdf.queryExecution().optimizedPlan().toString()
+        assert "o_orderdate" not in plan, f"{name} plans the flags again"

@@ -160,7 +160,7 @@ def r27_headings(ctx: Context):
 # ---------------------------------------------------------------- bundle ---
 def bundle_sections(ctx: Context) -> dict:
     """S12 the nine sections in the published order, each with its order."""
-    a = alerts_df(ctx)         # first: it keeps the star join, which the contracts are then read from
+    a = reuse(alerts_df(ctx))  # seven sections read it; first: it keeps the star join, which the contracts are then read from
     c = _c(ctx)
     k = R.kpi(c).crossJoin(R.alert_kpi(a).select(F.col("n").alias("alertas"), F.col("v").alias("valor_alerta")))  # 1 x 1 rows
     today = c.agg(F.to_date(F.max("fecha_de_firma")).alias("fecha"))

@@ -4,6 +4,7 @@ exports compressed; and the same rows by it."""
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 import pytest
 
@@ -14,6 +15,8 @@ from veeduria.plans import catalog as C
 from veeduria.plans import summaries
 from veeduria.plans.context import Context
 from veeduria.sources import bindings as B
+from veeduria.sources.landed import CORRUPT, LANDED_SCHEMA
+from veeduria.streaming import flags_refresh as FR
 
 DAY = dt.datetime(1997, 3, 5)
 
@@ -105,3 +108,62 @@ def test_bundle_works_out_the_alerts_once(spark, star):
     for name in ("banderas", "top_entidades", "top_contratistas", "alertas_top"):
         plan = sections[name][0]._jdf.queryExecution().optimizedPlan().toString()
         assert "o_orderdate" not in plan, f"{name} plans the flags again"
+
+
+# ------------------------------------------------------------- alert refresh --
+def _land(folder, arrival, records, junk=""):
+    path = folder / f"arrival={arrival}"
+    path.mkdir(parents=True)
+    text = "".join(json.dumps({"id_contrato": k, "nit_entidad": "9", "documento_proveedor": "8",
+                               "valor_del_contrato": v, "fecha_de_firma": d}) + "\n" for k, v, d in records)
+    (path / "p.json").write_text(text + junk)
+
+
+def _joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join LeftAnti")
+
+
+def test_only_folders_with_replaced_versions_are_joined(spark, tmp_path):
+    landed, out, ckpt = tmp_path / "landed", str(tmp_path / "out"), str(tmp_path / "ckpt")
+
+    def held():
+        return sorted((r.id_contrato or "", str(r.valor_del_contrato), r.anio) for r in FR.contracts_table(spark, out).collect())
+    _land(landed, 1, [("a", "1", "2020-01-01T00:00:00"), ("b", "2", "2021-01-01T00:00:00"), ("b", "3", "2021-02-01T00:00:00"),
+                      ("c", "4", "2022-01-01T00:00:00"), ("bad", "x", "2022-01-01T00:00:00"), (None, "5", "2021-01-01T00:00:00")],
+          '{"id_contrato": "c", "valor\n')
+    FR.run_refresh(spark, str(landed), out, ckpt)
+    assert _joins(FR.contracts_table(spark, out)) == 0
+    assert held() == [("", "5.00", 2021), ("a", "1.00", 2020), ("b", "2.00", 2021), ("b", "3.00", 2021), ("c", "4.00", 2022)]
+    assert [r.registro for r in FR.rejected_records(spark, out).collect()] == ['{"id_contrato": "c", "valor']
+    # b moves to another year, a is no valid contract any more, a line that can't be parsed names c
+    _land(landed, 2, [("b", "6", "2020-05-01T00:00:00"), ("a", "-1", "2020-01-01T00:00:00"), (None, "7", "2021-01-01T00:00:00")],
+          '{"id_contrato": "c", "fecha\n')
+    FR.run_refresh(spark, str(landed), out, ckpt)
+    want = [("", "5.00", 2021), ("", "7.00", 2021), ("b", "6.00", 2020), ("c", "4.00", 2022)]
+    assert held() == want
+    plan = FR.contracts_table(spark, out)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftAnti") == 1 and "0/2020" in plan and "0/2021" in plan and "0/2022" not in plan
+    _land(landed, 3, [("b", "8", "2023-05-01T00:00:00")])
+    FR.run_refresh(spark, str(landed), out, ckpt)
+    assert held() == sorted([w for w in want if w[0] != "b"] + [("b", "8.00", 2023)])
+
+
+def test_landed_text_is_parsed_once(spark, tmp_path):
+    landed, out, ckpt = tmp_path / "landed", str(tmp_path / "out"), str(tmp_path / "ckpt")
+    _land(landed, 1, [("a", "1", "2020-01-01T00:00:00"), ("bad", "x", "2022-01-01T00:00:00")], "{\n")
+    scans = []
+
+    class Batch:
+        """Counts how often a batch is taken as input."""
+        def __init__(self, df):
+            self.df = df
+
+        def __getattr__(self, name):
+            if name in ("select", "where", "withColumn", "withColumns"):
+                scans.append(name)
+            return getattr(self.df, name)
+    batch = spark.read.schema(LANDED_SCHEMA).option("columnNameOfCorruptRecord", CORRUPT).json(str(landed))
+    spark.createDataFrame([], FR._REPLACED).write.parquet(f"{out}/replaced/batch_id=-1")
+    FR._batch_writer(out, C.TEST)(Batch(batch), 0)
+    assert len(scans) == 1
+    assert spark.read.parquet(f"{out}/contracts/batch_id=0").where("anio is null").count() == 2

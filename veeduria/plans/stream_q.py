@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from veeduria.plans.catalog import register
 from veeduria.plans.context import Context
-from veeduria.session import drop_written, reuse, scratch_table_dir
+from veeduria.session import move_folder, scratch_table_dir
 from veeduria.sources import sinks as K
 from veeduria.streaming import refresh as RF
 
@@ -98,17 +98,20 @@ def st_flags(ctx: Context):
     from veeduria.plans.sources_q import landed_text
     base, ckpt = _dirs(ctx, "st_flags")
     landed = base.rsplit("/", 1)[0] + "/landed"
-    bound = reuse(ctx.raw_contracts(DEFAULT))           # both arrivals are cut from it
-    raw = landed_text(bound)
+    raw = landed_text(ctx.raw_contracts(DEFAULT))
     day = F.col("fecha_de_firma")                       # ISO text compares in date order
     first, again = day < F.lit(CUT), (day >= F.lit("1997-01-01")) & (day < F.lit("1997-04-01"))
     wrong = {"valor_del_contrato": (2 * F.col("valor_del_contrato").cast("decimal(18,4)")).cast("string"),
              "nombre_entidad": F.concat(F.lit("ZZ "), F.col("nombre_entidad")),
              "fecha_de_firma": F.regexp_replace("fecha_de_firma", "^1997", "1996")}
-    early = raw.where(first).select(*[F.when(again, wrong[c]).otherwise(F.col(c)).alias(c) if c in wrong else F.col(c)
-                                      for c in raw.columns])
-    K.write_json(early, f"{landed}/arrival=1")
-    FR.run_refresh(ctx.spark, landed, base, ckpt, TEST)
-    K.write_json(raw.where(~first | again), f"{landed}/arrival=2")
-    drop_written(bound)
-    return FR.run_refresh(ctx.spark, landed, base, ckpt, TEST)
+    # both arrivals are written from one join, aside, and moved in when they land
+    arrivals = F.array_compact(F.array(F.when(first, 1), F.when(~first | again, 2)))
+    early = (F.col("arrival") == 1) & again
+    rows = raw.select("*", F.explode(arrivals).alias("arrival"))
+    K.write_json(rows.select(*[F.when(early, wrong[c]).otherwise(F.col(c)).alias(c) if c in wrong else F.col(c)
+                               for c in rows.columns]), f"{landed}_aside", partition_by=("arrival",))
+    for n in (1, 2):
+        if not move_folder(ctx.spark, f"{landed}_aside/arrival={n}", f"{landed}/arrival={n}"):
+            K.write_json(raw.limit(0), f"{landed}/arrival={n}")         # an arrival without records
+        alerts = FR.run_refresh(ctx.spark, landed, base, ckpt, TEST)
+    return alerts

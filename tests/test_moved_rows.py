@@ -7,8 +7,10 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (registers every query)
+from veeduria.operators import flags as FL
 from veeduria.operators.asof import asof_join
 from veeduria.operators.normalize import normalize
 from veeduria.plans import catalog as C
@@ -167,3 +169,19 @@ def test_landed_text_is_parsed_once(spark, tmp_path):
     FR._batch_writer(out, C.TEST)(Batch(batch), 0)
     assert len(scans) == 1
     assert spark.read.parquet(f"{out}/contracts/batch_id=0").where("anio is null").count() == 2
+
+
+@pytest.mark.parametrize("years", [0, 1])
+def test_arrivals_end_in_a_full_run(spark, star, tmp_path, years):
+    """With every contract of a year before, the second arrival has no records."""
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        df = spark.read.parquet(f"{star}/{t}.parquet")
+        if t == "orders":
+            df = df.withColumn("o_orderdate", F.expr(f"o_orderdate - make_interval({years})"))
+        df.write.parquet(f"{tmp_path}/{t}.parquet")
+    keys = ["codigo", "nit_entidad", "documento_proveedor", "id_contrato", "anio", "valor_cop", "severidad"]
+    got = C.CATALOG["st_flags"].build(Context(spark, str(tmp_path)))
+    want = FL.run_flags(Context(spark, str(tmp_path)).contracts(C.DEFAULT, C.TEST), C.TEST)
+    assert sorted(tuple(map(str, r[:5])) + (float(r[5]), r[6]) for r in got.select(keys).collect()) == sorted(
+        tuple(map(str, r[:5])) + (float(r[5]), r[6]) for r in want.select(keys).collect())
+    assert {r.anio for r in got.collect()} == {1997 - years}
